@@ -101,7 +101,7 @@ def merge_intervals(
     """
     k, s, e = F.col(key), F.col(start), F.col(end)
     ok = (s >= 0) & (s < e) if valid is None else valid
-    spans = df.select(k.alias("key"), s.cast("long").alias("s"), e.cast("long").alias("e")).where(ok & F.col("key").isNotNull())
+    spans = df.where(ok & k.isNotNull()).select(k.alias("key"), s.cast("long").alias("s"), e.cast("long").alias("e"))
     merged = spans.mapInPandas(_partial, "key string, s long, e long")
     n = shuffle_parts(df.sparkSession)
     blocks = (

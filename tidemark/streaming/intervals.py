@@ -29,7 +29,8 @@ def stream_intervals(df: DataFrame, key: str, start: str, end: str) -> DataFrame
     null, negative, reversed or empty span change nothing; repeated rows change nothing.
     """
     s, e = F.col(start), F.col(end)
-    rows = df.select(F.col(key).alias("key"), s.cast("long").alias("s"), e.cast("long").alias("e")).where((s >= 0) & (s < e) & F.col(key).isNotNull())
+    good = df.where((s >= 0) & (s < e) & F.col(key).isNotNull())
+    rows = good.select(F.col(key).alias("key"), s.cast("long").alias("s"), e.cast("long").alias("e"))
     return rows.groupBy("key").applyInPandasWithState(
         _update,
         "key string, kind string, range_start long, range_end long",
