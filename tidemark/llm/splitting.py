@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.arrays import offsets
+
 #: Characters that end a sentence.
 SENTENCE_ENDS = ".!?。！？…"
 
-#: Piece lengths whose running sums are taken at once; sums of such blocks are taken first.
-BLOCK = 256
-
 
 def piece_pattern(limit: int, fill: float = 0.5) -> str:
     """Bounded-quantifier alternatives in order of boundary strength.
@@ -34,19 +33,6 @@ def piece_pattern(limit: int, fill: float = 0.5) -> str:
     )
 
 
-def _starts(lengths: Column) -> Column:
-    """Running sums before each element, in blocks, so that long arrays don't cost their square."""
-    total = lambda a: F.aggregate(a, F.lit(0).cast("int"), lambda acc, x: acc + x)
-    n = F.size(lengths)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.slice(lengths, b * BLOCK + 1, BLOCK))
-    sums = F.transform(blocks, total)
-    inside = F.transform(
-        blocks,
-        lambda part, b: F.transform(part, lambda _, i: total(F.slice(sums, F.lit(1), b)) + total(F.slice(part, F.lit(1), i))),
-    )
-    return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.flatten(inside))
-
-
 def split_oversized(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, limit: int = 1600, overlap: int = 200, fill: float = 0.5
 ) -> DataFrame:
@@ -68,7 +54,7 @@ def split_oversized(
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.length("__text") > limit)
     rows = rows.select("__id", F.regexp_extract_all("__text", F.lit(piece_pattern(core, fill)), F.lit(0)).alias("p"))
     rows = rows.select("__id", "p", F.transform("p", F.length).alias("n"))
-    rows = rows.select("__id", "p", "n", _starts(F.col("n")).alias("at"))
+    rows = rows.select("__id", "p", "n", offsets(F.col("n")).alias("at"))
 
     def piece(i: Column) -> Column:
         text, n, at = F.get("p", i), F.get("n", i), F.get("at", i)
