@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Lengths summed at once; sums of such blocks are taken first.
-BLOCK = 256
+BLOCK = 64
 
 
 def offsets(lengths: Column) -> Column:

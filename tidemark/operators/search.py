@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.arrays import dot, ordered_distinct
 from tidemark.functions.text import analyse, terms
@@ -110,7 +111,7 @@ def vector_top_batch(df: DataFrame, queries: DataFrame, k: int, *, vec_col: str,
     return top.select(F.col("q").alias(query_id), F.col("id").alias(id_col), "metric_value", "rank")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _analysed(texts: pd.Series) -> pd.Series:
     return texts.map(analyse)
 
@@ -145,10 +146,10 @@ def bm25(index: DataFrame, sizes: DataFrame, query: str, *, k: float = 1.2, b: f
     return (out.where(F.col("n_terms") == len(wanted)) if conjunctive else out).select("id", "score")
 
 
-def bm25_top(df: DataFrame, scores: DataFrame, n: int, *, id_col: str = "chunk_id", drop_unmatched: bool = False) -> DataFrame:
-    """The ``n`` best rows of ``df`` by score, with ``metric_value``; texts without a match follow with null, unless dropped; ties by ``id_col``."""
+def bm25_top(df: DataFrame, scores: DataFrame, n: int | None, *, id_col: str = "chunk_id", drop_unmatched: bool = False) -> DataFrame:
+    """The ``n`` best rows of ``df`` by score, or all in any order for None, with ``metric_value``; texts without a match follow with null, unless dropped; ties by ``id_col``."""
     joined = df.join(scores.withColumnRenamed("score", "metric_value").withColumnRenamed("id", id_col), id_col, "inner" if drop_unmatched else "left")
-    return joined.orderBy(F.desc_nulls_last("metric_value"), id_col).limit(n)
+    return joined if n is None else joined.orderBy(F.desc_nulls_last("metric_value"), id_col).limit(n)
 
 
 def matches_all(text: Column, query: str) -> Column:

@@ -10,6 +10,7 @@ from urllib.parse import urlsplit
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import text as X
 from tidemark.functions import urls
@@ -61,7 +62,7 @@ def _as_sources(pages: DataFrame) -> DataFrame:
     return pages.select(*((F.col(c) if c in pages.columns else F.lit(None)).cast(k.replace(";", ",")).alias(c) for c, k in kinds.items()))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _joined(links: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([[u for x in (ls if ls is not None else []) if (u := urls.canonical_url(x, b))] for ls, b in zip(links, base)])
 
