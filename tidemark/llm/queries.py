@@ -139,6 +139,43 @@ SELECT query_id, chunk_id FROM o WHERE place <= 3
 """
 
 
+P5_CLEANED_SQL = f"""
+WITH hits AS ({P5_SQL}),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents WHERE text IS NOT NULL),
+k AS (SELECT doc_id, array_to_string(list(line ORDER BY line_no), chr(10)) AS kept FROM l ANTI JOIN hits USING (doc_id, line_no) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text FROM documents LEFT JOIN k USING (doc_id)
+"""
+
+P2_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT doc_a, doc_b FROM c JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE k >= 0.6 * (x.n + y.n - k)
+"""
+
+_SPANS = """
+WITH g AS (SELECT doc_id, i, hash(text[i:i + 299]) AS h FROM
+           (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300)),
+m AS (SELECT h FROM g GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+s AS (SELECT doc_id, i - 1 AS s FROM g SEMI JOIN m USING (h)),
+b AS (SELECT *, CASE WHEN s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 300 THEN 1 ELSE 0 END AS f FROM s),
+k AS (SELECT *, sum(f) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM b),
+p AS (SELECT doc_id, CAST(min(s) AS BIGINT) AS span_start, CAST(max(s) + 300 AS BIGINT) AS span_end FROM k GROUP BY doc_id, k)
+"""
+
+P10_SQL = _SPANS + "SELECT doc_id, span_start, span_end FROM p"
+
+P10_SHARED_SQL = _SPANS + """, t AS (SELECT doc_id, CAST(sum(span_end - span_start) AS BIGINT) AS c FROM p GROUP BY doc_id)
+SELECT doc_id, coalesce(length(text), 0) AS n_chars, coalesce(c, 0) AS shared_chars,
+       CASE WHEN coalesce(length(text), 0) > 0 THEN coalesce(c, 0) / length(text)::DOUBLE ELSE 0.0 END AS shared
+FROM documents LEFT JOIN t USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """For the queries that SQL answers on whole tables; the others are tested against brute force or round trips."""
-    return {"p5_found": P5_SQL, "p6_found": P6_SQL, "p7_found": P7_SQL}
+    return {
+        "p2_found": P2_SQL, "p5_found": P5_SQL, "p5_cleaned": P5_CLEANED_SQL, "p6_found": P6_SQL, "p7_found": P7_SQL,
+        "p10_found": P10_SQL, "p10_shared": P10_SHARED_SQL,
+    }
