@@ -135,7 +135,7 @@ UNDER = 8.0
 _CODE_LIKE = ("heading", "underline", "table", "fence", "quote", "bold")
 _KEEP = frozenset(P.shape(k) for k in _CODE_LIKE)
 _SETEXT = P.shape("underline")
-_RELATED = P.shape("cue_related")
+_RELATED, _ROW = P.shape("cue_related"), P.shape("segments3")
 
 
 def label_page(text: str, w: list[float]) -> list[int]:
@@ -148,6 +148,8 @@ def label_page(text: str, w: list[float]) -> list[int]:
             continue
         own = P.features(s)
         cost = sum([w[f] for f in own])
+        if _RELATED in own and _ROW in own:
+            cost += UNDER  # the heading and its links on one line
         fence = s.startswith(("```", "~~~"))
         if fence or fenced:
             cost = -FIXED

@@ -63,6 +63,7 @@ _KINDS = list(CUES)
 _CUE = [re.compile(p) for p in CUES.values()]  # for lines in lower case
 _MARK = re.compile(r"(?:[*+-]|\d{1,3}[.)])\s+")
 _LINK = re.compile(r"\[[^\]\n]*\]\([^)\s]*\)")
+_TARGET = re.compile(r"\]\([^)\s]*\)")
 _SPLIT = re.compile(r"\s+[|·•/>»›–—-]\s+|\s{2,}|\t")
 _WORDS = re.compile(r"\w+(?:[-']\w+)*")
 _HAN = re.compile(r"[\u3400-\u9fff\u3040-\u30ff\uac00-\ud7af]")
@@ -129,8 +130,9 @@ def features(s: str) -> tuple[int, ...]:
             out.append(_AT["short_segments"])
         if re.search(r"\s[>»›/]\s", body):
             out.append(_AT["crumbs"])
-    words = _WORDS.findall(body.lower())
-    han = len(_HAN.findall(body)) if not body.isascii() else 0
+    shown = _TARGET.sub("]", body) if links else body  # where links lead is no text
+    words = _WORDS.findall(shown.lower())
+    han = len(_HAN.findall(shown)) if not shown.isascii() else 0
     n = len(words) + han // 3
     ended = bool(_PROSE_END.search(body))
     if n <= 2 and len(body) <= 18 and han <= 4 and not ended and out[-1] not in _BODY:
@@ -138,12 +140,12 @@ def features(s: str) -> tuple[int, ...]:
     out.append(_AT["one_word" if n <= 1 else "two_words" if n == 2 else "six_words" if n <= 6 else "twelve_words" if n <= 12 else "more_words"])
     if ended:
         out.append(_AT["sentence"])
-    if len(body) > 110 or han > 40:
+    if len(shown) > 110 or han > 40:
         out.append(_AT["long"])
     if " " not in body:
         out.append(_AT["no_space"])
-    if len(body) <= 110 or n <= 16:
-        low = body.lower().replace("\u00a0", " ")
+    if len(shown) <= 110 or n <= 16 or len(parts) > 1:
+        low = " ".join(body.lower().split())
         out += [_AT[f"cue_{k}"] for k, c in zip(_KINDS, _CUE) if c.search(low)]
     if n <= 30:
         out += {crc32(w.encode()) % WORDS for w in words}
@@ -161,7 +163,7 @@ def weak_label(s: str, own: tuple[int, ...], places: set[str]) -> int | None:
     f = set(own)
     if f & _BODY:
         return 0
-    if f & _CUE_NUMBERS and _AT["more_words"] not in f:
+    if f & _CUE_NUMBERS and (_AT["more_words"] not in f or (_AT["cue_related"] in f and _AT["segments3"] in f)):
         return 1
     if menu_like(own) or f & _FURNITURE or (_AT["short_segments"] in f and _AT["sentence"] not in f):
         return 1
