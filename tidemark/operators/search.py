@@ -66,7 +66,8 @@ def vector_top(df: DataFrame, vector: Sequence[float], k: int, *, vec_col: str =
     """
     rows = df.where(where) if where is not None else df
     rows = rows.where(F.size(vec_col) == len(vector))
-    return rows.withColumn("metric_value", distance_to(vector, method)(F.col(vec_col))).orderBy(F.asc("metric_value"), id_col).limit(k)
+    value = F.coalesce(distance_to(vector, method)(F.col(vec_col)), F.lit(float("nan")))  # pandas hands NaN back as null
+    return rows.withColumn("metric_value", value).orderBy(F.asc("metric_value"), id_col).limit(k)
 
 
 def vector_top_batch(df: DataFrame, queries: DataFrame, k: int, *, vec_col: str, id_col: str, query_id: str, query_vec: str, method: str = "cosine_distance", max_queries: int = 10_000) -> DataFrame:
