@@ -99,8 +99,9 @@ def test_one_ranking(spark):
         (2, 1, [("bm25", 5.0)]), (2, 2, [("bm25", 5.0)]), (None, 1, [("bm25", 1.0)]), (3, None, [("bm25", 1.0)]), (4, 7, [("bm25", float("inf")), ("x", 1e-320)]),
     ]
     df = spark.createDataFrame([(*r, "n") for r in rows], "query_id long, chunk_id int, metrics array<struct<name string, value double>>, name string")
-    for influence in ("component", "equal"):
-        got = {(r.query_id, r.chunk_id): r.place for r in ranking.fuse(df, influence=influence).collect()}
+    for influence, hot in (("component", 10), ("equal", 10), ("component", 1), ("equal", 2)):
+        got = {(r.query_id, r.chunk_id): r.place for r in ranking.fuse(df, influence=influence, hot_rows=hot).collect()}
+        assert {(r.query_id, r.chunk_id, r.place) for r in ranking.top(df, 2, influence=influence, hot_rows=hot).collect()} == {(*k, p) for k, p in got.items() if p <= 2}
         assert set(got) == {(1, 10), (1, 11), (1, 12), (1, 13), (1, 14), (2, 1), (2, 2), (4, 7)}
         assert {got[1, 10], got[1, 11]} == {1, 2} and (got[1, 12], got[1, 13], got[1, 14]) == (3, 4, 5) and (got[2, 1], got[2, 2]) == (1, 2)
     assert ranking.fuse(df.limit(0)).count() == 0
@@ -114,7 +115,8 @@ def test_first_component_points_in_declared_directions(spark):
             x = r.random()
             rows.append((q, c, [("bm25", 1000 * x + r.random()), ("cosine_distance", 1 - x + 0.01 * r.random()), ("similarity", x + 0.01 * r.random())]))
     df = spark.createDataFrame(rows, "query_id long, chunk_id int, metrics array<struct<name string, value double>>")
-    weights = ranking.loadings(ranking.rank_scores(df))
+    names = ["bm25", "cosine_distance", "similarity"]
+    weights = ranking.loadings(ranking.rank_scores(df, names), names)
     assert all(0.5 < w < 0.65 for w in weights.values()) and len(weights) == 3
 
 

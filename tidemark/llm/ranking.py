@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.plans.durable import cut
+from tidemark.plans.durable import cut, shuffle_parts
 from tidemark.plans.prefix import magnitude_bucket, running_sum
 
 #: Names whose smaller values are better.
@@ -15,6 +18,9 @@ SMALLER_IS_BETTER = ("cosine_distance", "negative_inner_product")
 #: Most different metric names; their correlation matrix goes to the driver.
 MAX_NAMES = 500
 
+#: Rows from which on a query is spread over tasks; those of smaller ones are ranked in one.
+HOT_ROWS = 50_000
+
 
 def metric_name(name: Column) -> Column:
     """Names are compared trimmed, lower-cased, with - as _."""
@@ -29,12 +35,11 @@ def _scores(df: DataFrame, smaller: tuple[str, ...]) -> DataFrame:
     return m.groupBy("query_id", "chunk_id", "name").agg(F.max(good).alias("goodness"))
 
 
-def rank_scores(df: DataFrame, smaller: tuple[str, ...] = SMALLER_IS_BETTER) -> DataFrame:
+def rank_spread(df: DataFrame, smaller: tuple[str, ...] = SMALLER_IS_BETTER) -> DataFrame:
     """Rows (query_id, chunk_id, name, z): each name's values in a query as mid-ranks from 0 (worst) to 1 (best).
 
     A chunk without a name that others of its query have ranks with that name's worst. Where all chunks are equal z is 0.5
-    for all. Ranks come from running counts over buckets of the value, so a query with a third of all rows isn't
-    one task.
+    for all. Ranks come from running counts over buckets of the value, so no task holds a whole query.
     """
     scores = cut(_scores(df, smaller))
     chunks = df.select("query_id", "chunk_id").where(F.col("query_id").isNotNull() & F.col("chunk_id").isNotNull()).distinct()
@@ -52,58 +57,174 @@ def rank_scores(df: DataFrame, smaller: tuple[str, ...] = SMALLER_IS_BETTER) ->
     return full.join(mid, ["query_id", "name", "g"]).select("query_id", "chunk_id", "name", "z")
 
 
-def loadings(ranks: DataFrame) -> dict[str, float]:
+def _names(df: DataFrame) -> list[str]:
+    """The different metric names, in order."""
+    m = df.select(F.explode("metrics").alias("m")).select(metric_name(F.col("m.name")).alias("name"))
+    rows = m.where("name is not null and name <> ''").distinct().limit(MAX_NAMES + 1).collect()
+    if len(rows) > MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} metric names")
+    return sorted(r[0] for r in rows)
+
+
+def mid_ranks(group: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Ranks from 0 (worst) to 1 (best) within each group of a column; ties share the middle, a lone value has 0.5."""
+    order = np.lexsort((values, group))
+    g, v = group[order], values[order]
+    new_group = np.concatenate([[True], g[1:] != g[:-1]])
+    new_value = new_group | np.concatenate([[True], v[1:] != v[:-1]])
+    at = np.arange(len(g))
+    start = np.maximum.accumulate(np.where(new_group, at, 0))
+    first = np.maximum.accumulate(np.where(new_value, at, 0))
+    ends = np.append(np.flatnonzero(new_value)[1:], len(g)) - 1
+    last = ends[np.cumsum(new_value) - 1]
+    ends = np.append(np.flatnonzero(new_group)[1:], len(g)) - 1
+    size = ends[np.cumsum(new_group) - 1] - start + 1
+    out = np.empty(len(g))
+    out[order] = np.where(size > 1, ((first + last) / 2 - start) / np.maximum(size - 1, 1), 0.5)
+    return out
+
+
+def _rank_whole(query: np.ndarray, chunk: np.ndarray, row: np.ndarray, name: np.ndarray, good: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, chunk, ranks by name) of complete queries; ``row``, ``name`` and ``good`` are the metrics of their rows."""
+    pairs, own = np.unique(np.stack([query, chunk], axis=1), axis=0, return_inverse=True)
+    own = own.reshape(-1)
+    best = np.full((len(pairs), k), -np.inf)
+    given = np.zeros((len(pairs), k), bool)
+    np.maximum.at(best, (own[row], name), good)
+    given[own[row], name] = True
+    group = np.unique(pairs[:, 0], return_inverse=True)[1].reshape(-1)
+    z = np.full((len(pairs), k), np.nan)
+    for j in range(k):
+        worst = np.full(group.max(initial=-1) + 1, np.inf)
+        some = np.zeros(len(worst), bool)
+        at = given[:, j]
+        np.minimum.at(worst, group[at], best[at, j])
+        some[group[at]] = True
+        inside = some[group]
+        filled = np.where(at, best[:, j], worst[group])
+        z[inside, j] = mid_ranks(group[inside], filled[inside]) if inside.any() else []
+    return pairs[:, 0], pairs[:, 1], z
+
+
+def rank_scores(df: DataFrame, names: list[str], smaller: tuple[str, ...] = SMALLER_IS_BETTER, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Rows (query_id, chunk_id, z): the rank of each of ``names`` in the query, from 0 (worst) to 1 (best); null where no chunk has the name.
+
+    A chunk without a name that others of its query have ranks with that name's worst. One shuffle brings a query's rows together;
+    ranks are array operations over many queries at once. Queries of more than ``hot_rows`` rows go through
+    :func:`rank_spread`.
+    """
+    rows = df.where(F.col("query_id").isNotNull() & F.col("chunk_id").isNotNull())
+    kinds = [rows.schema[c].dataType for c in ("query_id", "chunk_id")]
+    hot = cut(rows.groupBy("query_id").count().where(F.col("count") > hot_rows).select("query_id"))
+    parts = []
+    if hot.limit(1).count():
+        spread = rank_spread(rows.join(F.broadcast(hot), "query_id", "left_semi"), smaller)  # one row for each hot_rows rows at most
+        found = spread.groupBy("query_id", "chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "z"))).alias("m"))
+        whole = rows.join(F.broadcast(hot), "query_id", "left_semi").select("query_id", "chunk_id").distinct()
+        listed = whole.join(found, ["query_id", "chunk_id"], "left")
+        parts.append(listed.select("query_id", "chunk_id", F.array(*(F.col("m")[n] for n in names)).cast("array<double>").alias("z")))
+        rows = rows.join(F.broadcast(hot), "query_id", "left_anti")
+    known = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
+    place = lambda m: (F.array_position(known, metric_name(m["name"])) - 1).cast("int")
+    usable = F.filter(F.coalesce("metrics", F.array().cast(df.schema["metrics"].dataType)), lambda m: m["value"].isNotNull() & ~F.isnan(m["value"]) & (F.coalesce(place(m), F.lit(-1)) >= 0))
+    lists = rows.select(
+        F.col("query_id").cast("long"), F.col("chunk_id").cast("long"), F.transform(usable, place).alias("k"),
+        F.transform(usable, lambda m: F.when(metric_name(m["name"]).isin(*smaller), -m["value"]).otherwise(m["value"])).alias("g"),
+    )
+    size = len(names)
+
+    def rank(batch: pa.Table) -> pa.RecordBatch:
+        batch = batch.combine_chunks()
+        query, chunk = (batch.column(c).to_numpy() for c in ("query_id", "chunk_id"))
+        k, g = (batch.column(c).combine_chunks() for c in ("k", "g"))
+        row = np.repeat(np.arange(len(query)), k.value_lengths().to_numpy(zero_copy_only=False))
+        q, c, z = _rank_whole(query, chunk, row, k.flatten().to_numpy(zero_copy_only=False), g.flatten().to_numpy(zero_copy_only=False), size)
+        flat = pa.array(z.ravel(), from_pandas=True)
+        offsets = pa.array(np.arange(len(q) + 1, dtype=np.int32) * size)
+        return pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.ListArray.from_arrays(offsets, flat)], ["query_id", "chunk_id", "z"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # rows from the last query on, which may go on in the next batch
+        for b in batches:
+            table = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            query = table.column("query_id").to_numpy()
+            if not len(query):
+                continue
+            cut_at = int(np.searchsorted(query, query[-1]))
+            if cut_at:
+                yield rank(table.slice(0, cut_at))
+            held = table.slice(cut_at)
+        if held is not None and held.num_rows:
+            yield rank(held)
+
+    together = lists.repartition(shuffle_parts(df.sparkSession), "query_id").sortWithinPartitions("query_id")
+    out = together.mapInArrow(run, "query_id long, chunk_id long, z array<double>")
+    out = out.select(F.col("query_id").cast(kinds[0]).alias("query_id"), F.col("chunk_id").cast(kinds[1]).alias("chunk_id"), "z")
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
+def loadings(ranks: DataFrame, names: list[str]) -> dict[str, float]:
     """The first principal component of the rank-transformed scores, every loading in its metric's declared direction.
 
-    Sums of products over pairs of names are one aggregate of all rows; only that matrix of names reaches the
-    driver. Pairs of names count where a chunk has both. The component's sign is arbitrary: it's turned so that most of it is positive,
-    and a name that still points backwards counts with 0.
+    Sums of products over pairs of names are taken in each batch and added up; only that matrix of names reaches the
+    driver. A pair of names counts where a query has both. The component's sign is arbitrary: it's turned so that most of it is
+    positive, and a name that still points backwards counts with 0.
     """
-    each = ranks.groupBy("query_id", "chunk_id").agg(F.collect_list(F.struct("name", "z")).alias("s"))
-    pairs = each.select(F.explode("s").alias("x"), "s").select("x", F.explode("s").alias("y"))
-    zx, zy = F.col("x.z") - 0.5, F.col("y.z") - 0.5
-    sums = pairs.groupBy(F.col("x.name").alias("a"), F.col("y.name").alias("b")).agg(
-        F.count("*").alias("n"), F.sum(zx).alias("sx"), F.sum(zy).alias("sy"), F.sum(zx * zx).alias("xx"), F.sum(zy * zy).alias("yy"), F.sum(zx * zy).alias("xy")
-    )
-    rows = sums.limit(MAX_NAMES * MAX_NAMES + 1).collect()
-    if len(rows) > MAX_NAMES * MAX_NAMES:
-        raise ValueError(f"more than {MAX_NAMES} metric names")
-    names = sorted({r["a"] for r in rows})
-    if not names:
+    k = len(names)
+    if not k:
         return {}
-    at = {n: i for i, n in enumerate(names)}
-    c = np.eye(len(names))
-    for r in rows:
-        vx, vy = r["xx"] - r["sx"] ** 2 / r["n"], r["yy"] - r["sy"] ** 2 / r["n"]
-        if r["a"] != r["b"] and vx > 1e-12 and vy > 1e-12:
-            c[at[r["a"]], at[r["b"]]] = (r["xy"] - r["sx"] * r["sy"] / r["n"]) / np.sqrt(vx * vy)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, k, k))
+        for b in batches:
+            z = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, k) - 0.5
+            given = (~np.isnan(z)).astype(float)
+            z = np.nan_to_num(z)
+            total += np.stack([given.T @ given, z.T @ given, (z * z).T @ given, z.T @ z])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(4 * k * k)), pa.array(total.ravel())], ["i", "s"])
+
+    sums = ranks.select("z").mapInArrow(run, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()  # 4 k k rows
+    flat = np.zeros(4 * k * k)
+    for r in sums:
+        flat[r["i"]] = r["s"]
+    n, x, xx, xy = flat.reshape(4, k, k)
+    n = np.maximum(n, 1)
+    var = xx - x * x / n
+    spread = np.sqrt(np.maximum(var, 0) * np.maximum(var.T, 0))
+    c = np.where(spread > 1e-12, (xy - x * x.T / n) / np.maximum(spread, 1e-12), 0.0)
+    np.fill_diagonal(c, 1.0)
     first = np.linalg.eigh((c + c.T) / 2)[1][:, -1]
     first = first * (1 if first.sum() >= 0 else -1)
-    return {n: float(max(first[at[n]], 0.0)) for n in names}
+    return {name: float(max(v, 0.0)) for name, v in zip(names, first)}
+
+
+def _scored(df: DataFrame, smaller: tuple[str, ...], influence: str, hot_rows: int) -> DataFrame:
+    """Rows (query_id, chunk_id, score)."""
+    names = _names(df)
+    ranks = cut(rank_scores(df, names, smaller, hot_rows))
+    weights = loadings(ranks, names) if influence == "component" else dict.fromkeys(names, 1.0)
+    w = F.array(*(F.lit(weights[n]) for n in names)) if names else F.array().cast("array<double>")
+    total = F.aggregate(F.zip_with("z", w, lambda z, x: F.coalesce(z * x, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
+    return ranks.select("query_id", "chunk_id", F.round(total, 9).alias("score"))
 
 
-def fuse(df: DataFrame, *, smaller: tuple[str, ...] = SMALLER_IS_BETTER, influence: str = "component") -> DataFrame:
+def fuse(df: DataFrame, *, smaller: tuple[str, ...] = SMALLER_IS_BETTER, influence: str = "component", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows (query_id, chunk_id, score, place): each query's chunks in one order.
 
     ``influence`` "component" weighs the rank-transformed scores by the first principal component, "equal" weighs all
     names of a query alike. Chunks of equal score are ordered by chunk_id. A chunk given twice, as repeated or late row,
     counts once with the better of each value; null and NaN values and names are missing; chunks without any metric
-    come last with score 0; rows of a null query or chunk are left out; an empty table gives no rows.
+    come last with score 0; rows of a null query or chunk are left out; an empty table gives no rows. Ids are integers.
+    Places are running counts over buckets of the score, so no query is one task.
     """
-    ranks = cut(rank_scores(df, smaller))
-    chunks = df.select("query_id", "chunk_id").where(F.col("query_id").isNotNull() & F.col("chunk_id").isNotNull()).distinct()
-    weights = loadings(ranks) if influence == "component" else {}
-    if weights:
-        table = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))
-        part = F.col("z") * F.coalesce(table[F.col("name")], F.lit(0.0))
-    else:
-        part = F.col("z")
-    scored = ranks.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
-    scored = chunks.join(scored, ["query_id", "chunk_id"], "left").na.fill(0.0, ["score"])
-    order = [(-F.col("score")).alias("neg"), F.col("chunk_id")]
-    return running_sum(scored.withColumn("neg", order[0]), ["query_id"], magnitude_bucket(F.col("neg")), [F.col("neg"), F.col("chunk_id")], F.lit(1), "place").drop("neg")
-
-
-def top(df: DataFrame, n: int = 3, **options) -> DataFrame:
-    """The first ``n`` chunks of each query, rows (query_id, chunk_id, score, place)."""
-    return fuse(df, **options).where(F.col("place") <= n)
+    scored = _scored(df, smaller, influence, hot_rows).withColumn("neg", -F.col("score"))
+    return running_sum(scored, ["query_id"], magnitude_bucket(F.col("neg")), [F.col("neg"), F.col("chunk_id")], F.lit(1), "place").drop("neg")
+
+
+def top(df: DataFrame, n: int = 3, *, smaller: tuple[str, ...] = SMALLER_IS_BETTER, influence: str = "component", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The first ``n`` chunks of each query as in :func:`fuse`. Each task sends on its best ``n`` of a query only."""
+    first = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    scored = _scored(df, smaller, influence, hot_rows)
+    return scored.withColumn("place", F.row_number().over(first).cast("long")).where(F.col("place") <= n)
