@@ -45,3 +45,12 @@ def spread(df: DataFrame) -> DataFrame:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def grouped(df: DataFrame, key: str) -> DataFrame:
+    """Bring rows of a key together in as many partitions as are set, two a core at least.
+
+    Groups that take long but are small in bytes would else be coalesced into a few tasks.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(shuffle_parts(spark), 2 * cores(spark)), key)
