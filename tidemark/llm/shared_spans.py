@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.fm_index import FMIndex, shared_ranges
-from tidemark.plans.durable import BROADCAST_ROWS, cut, shuffle_parts, spread
+from tidemark.plans.durable import BROADCAST_ROWS, cut, grouped, shuffle_parts, spread
 
 #: Length of the grams whose least hash marks a window; code points aimed at in a shard of the index.
-GRAM, SHARD = 48, 1_500_000
+GRAM, SHARD = 150, 1_500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -145,7 +145,7 @@ def _search(pieces: DataFrame, least: int, shards: int) -> DataFrame:
         return pa.Table.from_arrays([*part.columns, ranges], ["grp", "p1", "p2", "ranges"])
 
     sharded = pieces.withColumn("shard", F.pmod(F.xxhash64("grp"), F.lit(shards)))
-    return sharded.groupBy("shard").applyInArrow(run, "grp long, p1 long, p2 long, ranges array<struct<s:long,e:long>>")
+    return grouped(sharded, "shard").groupBy("shard").applyInArrow(run, "grp long, p1 long, p2 long, ranges array<struct<s:long,e:long>>")
 
 
 def _window_ranges(regions: DataFrame, least: int) -> DataFrame:
