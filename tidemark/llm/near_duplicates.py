@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.durable import BROADCAST_ROWS, cut, shuffle_parts, spread
+from tidemark.plans.durable import BROADCAST_ROWS, cut, grouped, shuffle_parts, spread
 
 #: Bits of a text's bitmap; rows of a tile.
 BITS, TILE = 1024, 512
@@ -162,7 +162,7 @@ def _candidates(sig: DataFrame, t: float) -> DataFrame:
         pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
         return pa.table({"ra": pairs[:, 0], "rb": pairs[:, 1]})
 
-    return packed.groupBy("pack").applyInArrow(run, "ra long, rb long").distinct()
+    return grouped(packed, "pack").groupBy("pack").applyInArrow(run, "ra long, rb long").distinct()
 
 
 def near_duplicates(

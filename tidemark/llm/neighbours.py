@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.plans.durable import BROADCAST_ROWS, cut, spread
+from tidemark.plans.durable import BROADCAST_ROWS, cut, grouped, spread
 
 SEED = 20240229
 #: Vectors the driver's trees are fitted on, and the most cells a tree may have; all vectors are indexed.
@@ -238,7 +238,7 @@ def similar_pairs(
         pairs = np.unique(np.stack([lo, hi], axis=1), axis=0) if len(lo) else np.zeros((0, 2), np.int64)
         return pa.table({"ha": pairs[:, 0], "hb": pairs[:, 1]})
 
-    rough = cut(cells.groupBy("cell").applyInArrow(search, "ha long, hb long").distinct())
+    rough = cut(grouped(cells, "cell").groupBy("cell").applyInArrow(search, "ha long, hb long").distinct())
     wanted = rough.select(F.explode(F.array("ha", "hb")).alias("h")).distinct()
     if rough.count() <= BROADCAST_ROWS:  # at most two ids of 8 bytes a pair
         wanted = F.broadcast(wanted)
