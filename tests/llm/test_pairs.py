@@ -49,6 +49,25 @@ def test_neighbours_with_dirty_vectors_and_copies(spark):
     assert empty.columns == ["a", "b", "cosine"] and empty.count() == 0
 
 
+def test_most_similar_of_stated_queries(spark):
+    r = np.random.default_rng(6)
+    x = r.standard_normal((1200, 16)) + 2 * r.standard_normal((30, 16))[r.integers(0, 30, 1200)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000 + i, x[0].tolist()) for i in range(3)]
+    df = spark.createDataFrame([(*v, 1) for v in [*rows, rows[3], rows[3], (9000, None), (9001, [0.0] * 16), (9002, [1.0]), (None, rows[0][1])]], "id int, e array<double>, rank int")
+    got = neighbours.most_similar(df, df.where("id % 20 = 0"), "id", "e", k=5, dim=16).collect()
+    v = np.array([v for _, v in rows])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    ids = np.array([i for i, _ in rows])
+    hit = total = 0
+    for a in np.flatnonzero(ids % 20 == 0):
+        mine = [g.neighbour_id for g in sorted((g for g in got if g.query_id == ids[a]), key=lambda g: g.rank)]
+        best = [j for j in np.lexsort((ids, -np.round(v[a] @ v.T, 6))) if j != a][:5]
+        assert len(mine) == 5 == len(set(mine)) and ids[a] not in mine
+        hit, total = hit + len(set(mine) & set(ids[best].tolist())), total + 5
+    assert hit / total >= 0.9 and {g.query_id for g in got} == set(ids[ids % 20 == 0].tolist())
+    assert neighbours.most_similar(df.limit(0), df, "id", "e", dim=16).count() == 0 == neighbours.most_similar(df, df.limit(0), "id", "e", dim=16).count()
+
+
 def test_chi_square_quantile():
     assert abs(neighbours.chi_square_quantile(0.95, 8) - 15.5073) < 1e-3
     assert abs(neighbours.chi_square_quantile(0.5, 2) - 1.38629) < 1e-4

@@ -19,6 +19,8 @@ SAMPLE_ROWS, MAX_CELLS = 20_000, 4_096
 CELL_ROWS, BLOCK_ROWS = 2_048, 256
 #: 8-bit cosines are wrong by less than this; exact ones decide.
 ROUGH = 0.01
+#: Queries that are broadcast at once, and rows a task indexes at once, when stated queries search all rows.
+QUERY_BLOCK, INDEX_BLOCK = 50_000, 100_000
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -280,3 +282,85 @@ def similar_pairs(
 
     pairs = copies.union(cross).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "cosine")
     return pairs.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+
+
+def search_index(q: np.ndarray, q_points: np.ndarray, x: np.ndarray, points: np.ndarray, k: int, chi: float) -> tuple[np.ndarray, np.ndarray]:
+    """(cosines, rows of ``x``), each queries x ``k``: the best verified until the chi-square test holds; row -1 where there are fewer.
+
+    As in :func:`search_cell`, for queries that are not themselves the index.
+    """
+    best, rows = np.full((len(q), k), -2, np.float32), np.full((len(q), k), -1)
+    blocks = _blocks(points, 2 * BLOCK_ROWS)
+    low, high = np.array([points[b].min(axis=0) for b in blocks]), np.array([points[b].max(axis=0) for b in blocks])
+    for own in _blocks(q_points, BLOCK_ROWS):
+        a, b = q_points[own].min(axis=0), q_points[own].max(axis=0)
+        apart = (np.maximum(0, np.maximum(low - b, a - high)) ** 2).sum(axis=1)
+        top, at = best[own], rows[own]
+        for j in np.argsort(apart, kind="stable"):
+            if apart[j] > chi * 2 * (1 - float(top[:, -1].min())):
+                break
+            s = q[own] @ x[blocks[j]].T
+            better = np.flatnonzero((s > top[:, -1:]).any(axis=1))
+            if not len(better):
+                continue
+            c = np.concatenate([top[better], s[better]], axis=1)
+            r = np.concatenate([at[better], np.broadcast_to(blocks[j], (len(better), len(blocks[j])))], axis=1)
+            order = np.argpartition(-c, k - 1, axis=1)[:, :k]
+            order = np.take_along_axis(order, np.argsort(-np.take_along_axis(c, order, 1), axis=1, kind="stable"), 1)
+            top[better], at[better] = np.take_along_axis(c, order, 1), np.take_along_axis(r, order, 1)
+        best[own], rows[own] = top, at
+    return best, rows
+
+
+def most_similar(
+    df: DataFrame, queries: DataFrame, id_col: str, vec_col: str, *, k: int = 5, dim: int = 64, m: int = 6, probability: float = 0.9
+) -> DataFrame:
+    """Rows (query_id, neighbour_id, cosine, rank): the ``k`` most similar other ids of each query, whatever their cosine.
+
+    Both tables have ``id_col`` (whole numbers) and ``vec_col``. Usable vectors are as in :func:`similar_pairs`; a repeated row counts once;
+    equally similar ids are in order; queries without a usable vector and rows of a null id have no result.
+
+    Queries go out in blocks of at most 50,000 (13 MB), by hash of their id; every task indexes its rows by a kd-tree over ``m``
+    projections and sends on each query's best ``k`` of them. A neighbour is missed with a probability of at most
+    1 - ``probability``, less where blocks hold more than was asked.
+    """
+    chi, wide = chi_square_quantile(probability, m), projections(dim, m, 1)
+    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dim)).dropDuplicates(["id"])
+    asked = cut(asked)
+    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK * 1.05))
+    base = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dim)))
+    found = None
+    for n in range(blocks):
+        table = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).toArrow()
+        keep, q = _dense(table.column("v"), dim) if table.num_rows else (np.zeros(0, int), np.zeros((0, dim), np.float32))
+        shared = df.sparkSession.sparkContext.broadcast((table.column("id").to_numpy()[keep] if len(keep) else np.zeros(0, np.int64), q))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, q = shared.value
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def search() -> Iterator[pa.RecordBatch]:
+                ids, first = np.unique(np.concatenate([h[0] for h in held]), return_index=True)
+                x = np.concatenate([h[1] for h in held])[first]
+                if not len(x) or not len(q):
+                    return
+                c, r = search_index(q, q @ wide, x, x @ wide, k + 1, chi)
+                who, other = np.repeat(names, k + 1), np.where(r.ravel() >= 0, ids[r.ravel()], -1)
+                ok = (r.ravel() >= 0) & (who != other)
+                yield pa.RecordBatch.from_arrays([pa.array(who[ok]), pa.array(other[ok]), pa.array(c.ravel()[ok].astype(np.float64))], ["query_id", "neighbour_id", "cosine"])
+
+            for b in batches:
+                rows, x = _dense(b.column(1), dim)
+                held.append((b.column(0).to_numpy()[rows], x))
+                if sum(len(h[0]) for h in held) >= INDEX_BLOCK:
+                    yield from search()
+                    held = []
+            if held:
+                yield from search()
+
+        part = base.mapInArrow(run, "query_id long, neighbour_id long, cosine double")
+        w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "neighbour_id")
+        once = part.groupBy("query_id", "neighbour_id").agg(F.max("cosine").alias("cosine"))
+        part = cut(once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+        found = part if found is None else found.unionByName(part)
+    return found

@@ -21,6 +21,12 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
 
 
+def p1_similar(spark: SparkSession, folder: str) -> DataFrame:
+    """Every chunk whose id is divisible by 20 asks all chunks."""
+    chunks = _table(spark, folder, "stored_chunks").select("chunk_id", "embedding")
+    return neighbours.most_similar(chunks, chunks.where("chunk_id % 20 = 0"), "chunk_id", "embedding").withColumn("cosine", F.round("cosine", 4))
+
+
 def _duplicates(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return near_duplicates.near_duplicates(_table(spark, folder, "documents"), threshold=0.6, width=3)
 
@@ -96,7 +102,7 @@ def p10_shared(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     own = (
-        p1_found, p2_found, p2_groups, p3_found, p3_body, p5_found, p5_cleaned, p6_found, p6_order, p7_found, p7_pieces, p8_ids,
+        p1_found, p1_similar, p2_found, p2_groups, p3_found, p3_body, p5_found, p5_cleaned, p6_found, p6_order, p7_found, p7_pieces, p8_ids,
         p9_found, p9_mix, p9_shares, p10_found, p10_shared,
     )
     return {q.__name__: q for q in own}
