@@ -62,6 +62,9 @@ def test_search_and_freshness(made, docs):
     assert made.retrieve_bm25("red rings", 50, conjunctive=True).count() == 0
     near = made.retrieve_vss("largest rings", 2).collect()
     assert near[0].origin == "saturn" and near[0].metric_value <= near[1].metric_value
+    fts = made.retrieve_fts("Largest planet", 5, attributes_filter="tenant = 't1'").collect()
+    assert {r.origin for r in fts} == {"jupiter"} and fts[0].metrics[0].name == "ts_rank" and fts[0].metric_value > 0
+    assert [r.chunk_id for r in made.retrieve_vss("largest rings", 2, method="l2_distance").collect()] == [r.chunk_id for r in made.retrieve_vss("largest rings", 2, method="euclidean_distance").collect()]
     seen = [r.chunk_id for r in near]
     more = made.retrieve_vss("largest rings", 2, attributes_filter={"type": "nin", "key": "chunk_id", "value": seen}).collect()
     assert not set(seen) & {r.chunk_id for r in more}

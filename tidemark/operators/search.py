@@ -16,11 +16,15 @@ from tidemark.functions.text import analyse, terms
 #: Distances by name. All sort upwards.
 METRICS = ("cosine_distance", "euclidean_distance", "negative_inner_product")
 
+#: Other names of distances.
+ALIASES = {"l2_distance": "euclidean_distance", "inner_product": "negative_inner_product"}
+
 METRIC_LIST = "array<struct<name:string,value:double>>"
 
 
 def distance(a: Column, b: Column, method: str = "cosine_distance") -> Column:
     """The distance of two arrays, as double, in the JVM. A zero vector's cosine distance is NaN and sorts last."""
+    method = ALIASES.get(method, method)
     if method == "negative_inner_product":
         return -dot(a, b)
     if method == "euclidean_distance":
@@ -33,6 +37,7 @@ def distance(a: Column, b: Column, method: str = "cosine_distance") -> Column:
 
 def distance_to(vector: Sequence[float], method: str = "cosine_distance") -> Callable[[Column], Column]:
     """The distance of a column to one vector: a matrix times the vector for each Arrow batch."""
+    method = ALIASES.get(method, method)
     if method not in METRICS:
         raise ValueError(f"unknown distance {method!r}; known: {', '.join(METRICS)}")
     q = np.asarray(vector, np.float64)
@@ -76,6 +81,7 @@ def vector_top_batch(df: DataFrame, queries: DataFrame, k: int, *, vec_col: str,
     The stated queries, at most ``max_queries`` (checked), meet all rows in blocks of Arrow batches by matrix products; each batch sends on
     its own best k of each query, so no pairs are materialised.
     """
+    method = ALIASES.get(method, method)
     asked = queries.select(query_id, query_vec).where(F.col(query_vec).isNotNull()).limit(max_queries + 1).collect()
     if len(asked) > max_queries:
         raise ValueError(f"more than {max_queries} queries; ask in parts")

@@ -345,9 +345,17 @@ class Store:
         best = search.bm25_top(rows, scores, top_k, drop_unmatched=where is not None or conjunctive)
         return self._result(best, "bm25")
 
+    def retrieve_fts(self, query: str, top_k: int = 3, *, attributes_filter=None) -> DataFrame:
+        """The chunks whose texts hold every term of the query, without stemming or index, by a rank above 0; contexts aren't searched."""
+        where = self._filter(attributes_filter)
+        rows = self._with_text(self.embeddings if where is None else self.embeddings.where(where))
+        hits = rows.where(search.matches_all(F.col("text"), query)).withColumn("metric_value", search.rank_all(F.col("text"), query))
+        best = hits.drop("text").orderBy(F.desc("metric_value"), "chunk_id").limit(top_k)
+        return self._result(best, "ts_rank")
+
     def _result(self, best: DataFrame, name: str) -> DataFrame:
         """At most top_k rows: their place, texts, and the metric as a list."""
-        down = name == "bm25"
+        down = name in ("bm25", "ts_rank")
         w = Window.partitionBy().orderBy(F.desc_nulls_last("metric_value") if down else F.asc("metric_value"), "chunk_id")
         placed = F.broadcast(best.drop("embedding").withColumn("arrival", F.row_number().over(w)))  # top_k rows
         d = self.documents.withColumnRenamed("text", "__text")
