@@ -185,6 +185,17 @@ def test_shared_spans_equal_brute_force(spark):
     want = brute_spans(rows, 40)
     assert {tuple(x) for x in shared_spans.shared_spans(df, least=40).collect()} == want
     assert {tuple(x) for x in shared_spans.shared_spans(df, least=40, shard=50).collect()} == want  # groups too large for a shard
+    long = [(i, t) for i, t in rows if i is not None and t]
+    windows = shared_spans.Windows(40)
+    whole = {i: windows.runs(t) for i, t in long}
+    old, shared_spans.SLICE = shared_spans.SLICE, 50
+    try:
+        for i, t in long:  # slices cover each window once, with the mark it has in the whole
+            mark, first, last = windows.runs(t)
+            at = {w: m for m, a, b in zip(mark.tolist(), first.tolist(), last.tolist()) for w in range(a, b + 1)}
+            assert at == {w: m for m, a, b in zip(*(z.tolist() for z in whole[i])) for w in range(a, b + 1)} and len(at) == max(0, len(t) - 39)
+    finally:
+        shared_spans.SLICE = old
     part = {x.doc_id: x for x in shared_spans.shared_part(df.where("doc_id is not null"), least=40).collect()}
     assert part[200].shared_chars == 0 and part[101].shared == 1.0 and part[203].shared_chars == 3000
     assert shared_spans.shared_spans(df.limit(0), least=40).count() == 0

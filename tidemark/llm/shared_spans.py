@@ -14,6 +14,8 @@ from tidemark.plans.durable import BROADCAST_ROWS, cut, grouped, shuffle_parts,
 
 #: Length of the grams whose least hash marks a window; code points aimed at in a shard of the index.
 GRAM, SHARD = 150, 1_500_000
+#: Windows of a text that are looked at together, so that very long texts take no more memory.
+SLICE = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -39,7 +41,11 @@ class Windows:
             self.down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, _INVERSE)]))
 
     def runs(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(mark, first window, last window) of each run, in order."""
+        """(mark, first window, last window) of each run, in order; a run ends where a slice does."""
+        parts = [(at, *self._slice(text[at : at + SLICE + self.least - 1])) for at in range(0, max(1, len(text) - self.least + 1), SLICE)]
+        return tuple(np.concatenate([p[i] + (p[0] if i > 1 else np.uint64(0)) for p in parts]) for i in (1, 2, 3))
+
+    def _slice(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         c = _codes(text)
         if len(c) < self.least:
             z = np.zeros(0, np.int64)
@@ -155,7 +161,8 @@ def _window_ranges(regions: DataFrame, least: int) -> DataFrame:
         import xxhash
 
         for b in batches:
-            for i, at, piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())
+            for i, at, piece in ((i, at + k, p[k : k + SLICE // 10 + least - 1]) for i, at, p in rows for k in range(0, len(p) - least + 1, SLICE // 10)):
                 data = piece.encode("utf-32-le", "surrogatepass")
                 n = len(piece) - least + 1
                 digests = b"".join(xxhash.xxh3_128_digest(data[4 * k : 4 * (k + least)]) for k in range(n))
