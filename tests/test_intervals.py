@@ -77,3 +77,12 @@ def test_stream_of_intervals(spark, tmp_path):
     )
     query.awaitTermination(120)
     assert set(seen) == {("a", "period", 0, 9), ("a", "period", 20, 25), ("a", "gap", 9, 20)}
+
+
+def test_salted_join_equals_a_join(spark):
+    from tidemark.plans.skew import salted_join
+
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(300)] + [(None, "hot"), (1, None)], "id int, k string")
+    few = spark.createDataFrame([("hot", 1), ("hot", 2), ("k3", 3), (None, 4)], "k string, v int")
+    for salts in (1, 16):
+        assert sorted(map(str, salted_join(rows, few, ["k"], "id", salts).collect())) == sorted(map(str, rows.join(few, "k").select("k", "id", "v").collect()))
