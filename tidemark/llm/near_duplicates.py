@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.durable import BROADCAST_ROWS, cut, grouped, shuffle_parts, spread
+from tidemark.plans.skew import salted_join
 
 #: Bits of a text's bitmap; rows of a tile.
 BITS, TILE = 1024, 512
@@ -127,8 +128,7 @@ def _candidates(sig: DataFrame, t: float) -> DataFrame:
     full = entries.groupBy("key").count().where("count > 1")
     # A hot bucket is cut into tiles by hash; each pair of tiles is a unit of its own.
     full = full.withColumn("tiles", F.ceil(F.col("count") / TILE).cast("int"))
-    salted = full.withColumn("salt", F.explode(F.array(*map(F.lit, range(4)))))
-    placed = entries.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(4)).cast("int")).join(salted, ["key", "salt"])
+    placed = salted_join(entries, full, ["key"], "rep", 4)
     placed = placed.withColumn("tile", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("tiles").cast("long")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     lo, hi = F.least("tile", "other"), F.greatest("tile", "other")
@@ -184,7 +184,7 @@ def near_duplicates(
     sig = cut(_signatures(df, id_col, text_col, width, bands, rows))
     members = sig.select("id", "s1", "s2").distinct()
     reps = members.groupBy("s1", "s2").agg(F.min("id").alias("rep"))
-    members = cut(members.join(reps, ["s1", "s2"]).select("id", "rep"))
+    members = cut(salted_join(members, reps, ["s1", "s2"], "id", 4).select("id", "rep"))
     one = sig.join(members.where("id = rep").select("id", "rep"), "id").dropDuplicates(["rep"]).select("rep", "n", "bits", "keys")
     pairs = cut(_candidates(cut(one), threshold))
     wanted = pairs.select(F.explode(F.array("ra", "rb")).alias("id")).distinct()

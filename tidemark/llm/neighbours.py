@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.durable import BROADCAST_ROWS, cut, grouped, spread
+from tidemark.plans.skew import salted_join
 
 SEED = 20240229
 #: Vectors the driver's trees are fitted on, and the most cells a tree may have; all vectors are indexed.
@@ -266,7 +267,7 @@ def similar_pairs(
 
     copied = groups.where(F.col("size") > 1).select("h")
     others = heads.join(copied, "h").select("h", F.col("id").alias("other"), F.col("place"))
-    inside = members.join(copied, "h").join(others, "h").where(F.col("id") != F.col("other"))
+    inside = salted_join(members, others, ["h"], "id").where(F.col("id") != F.col("other"))
     own_place = heads.select("h", "id", F.col("place").alias("own"))
     inside = inside.join(own_place, ["h", "id"], "left").where(
         F.when(F.col("own").isNull() | (F.col("own") > F.col("place")), F.col("place") <= k).otherwise(F.col("place") <= k + 1)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.fm_index import FMIndex, shared_ranges
 from tidemark.plans.durable import BROADCAST_ROWS, cut, grouped, shuffle_parts, spread
+from tidemark.plans.skew import salted_join
 
 #: Length of the grams whose least hash marks a window; code points aimed at in a shard of the index.
 GRAM, SHARD = 150, 1_500_000
@@ -171,8 +172,7 @@ def _window_ranges(regions: DataFrame, least: int) -> DataFrame:
 
     windows = regions.select("id", "at", "piece").mapInArrow(run, "id long, s long, h1 long, h2 long")
     known = windows.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("h1", "h2")
-    salted = known.withColumn("salt", F.explode(F.array(*map(F.lit, range(8)))))
-    hits = windows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(8)).cast("int")).join(salted, ["h1", "h2", "salt"])
+    hits = salted_join(windows, known, ["h1", "h2"], "id")
     return hits.select("id", "s", (F.col("s") + least).alias("e"))
 
 
@@ -195,8 +195,7 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = spread(docs)
     marks = cut(_marks(docs, least))
     shared = marks.groupBy("mark").agg(F.min("id").alias("grp"), F.max("id").alias("high")).where("grp <> high").select("mark", "grp")
-    salted = shared.withColumn("salt", F.explode(F.array(*map(F.lit, range(8)))))
-    hits = marks.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(8)).cast("int")).join(salted, ["mark", "salt"])
+    hits = salted_join(marks, shared, ["mark"], "id", 4)
     wanted = cut(hits.groupBy("id").agg(F.collect_set(F.struct("mark", "grp")).alias("wanted")))
     if (wanted.select(F.sum(F.size("wanted"))).collect()[0][0] or 0) <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
@@ -211,8 +210,7 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     small = pieces.join(F.broadcast(large), "grp", "left_anti") if has_large else pieces  # at most size / (4 * shard) groups
     shards = max(shuffle_parts(df.sparkSession), -(-(total[0] or 0) // shard))
     ranges = cut(_search(small, least, shards))
-    spread_ranges = ranges.withColumn("salt", F.explode(F.array(*map(F.lit, range(4)))))
-    at = regions.select("id", "grp", "at", "p1", "p2", F.pmod(F.xxhash64("id"), F.lit(4)).cast("int").alias("salt")).join(spread_ranges, ["grp", "p1", "p2", "salt"])
+    at = salted_join(regions.select("id", "grp", "at", "p1", "p2"), ranges, ["grp", "p1", "p2"], "id", 4)
     spans = at.select("id", "at", F.explode("ranges").alias("r")).select("id", (F.col("at") + F.col("r.s")).alias("s"), (F.col("at") + F.col("r.e")).alias("e"))
     if has_large:
         spans = spans.union(_window_ranges(regions.join(F.broadcast(large), "grp", "left_semi"), least))
