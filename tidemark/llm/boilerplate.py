@@ -25,11 +25,8 @@ def fit(pages: list[str], rounds: int = 200, rate: float = 1.0, decay: float = 1
     met = Counter(w for s in {s for lines in lines_of for s in lines if s and len(s) < 120} if P.menu_like(P.features(s)) for w in P.words(s))
     places = {w for w, n in met.items() if n > 1}
     for lines in lines_of:
-        fenced = False
-        for s, after in zip(lines, [*lines[1:], ""]):
-            if s.startswith(("```", "~~~")):
-                fenced = not fenced
-            if not s or fenced or s in seen or (len(after) > 2 and not after.strip("=-")):
+        for s, after, code in zip(lines, [*lines[1:], ""], P.code_lines(lines)):
+            if not s or code or s in seen or (len(after) > 2 and not after.strip("=-")):
                 continue
             seen.add(s)
             own = P.features(s)
@@ -141,24 +138,20 @@ _RELATED, _ROW = P.shape("cue_related"), P.shape("segments3")
 def label_page(text: str, w: list[float]) -> list[int]:
     """Numbers of the non-blank lines outside the main body."""
     numbers, costs, marks, owns, lines = [], [], [], [], []
-    fenced = False
-    for k, line in enumerate(text.split("\n")):
-        s = line.strip()
+    whole = [x.strip() for x in text.split("\n")]
+    for k, (s, code) in enumerate(zip(whole, P.code_lines(whole))):
         if not s:
             continue
         own = P.features(s)
         cost = sum([w[f] for f in own])
         if _RELATED in own and _ROW in own:
             cost += UNDER  # the heading and its links on one line
-        fence = s.startswith(("```", "~~~"))
-        if fence or fenced:
+        if code:
             cost = -FIXED
         elif not _KEEP.isdisjoint(own):
             cost = -FIXED
             if _SETEXT in own and numbers and numbers[-1] == k - 1 and not marks[-1]:
                 costs[-1] = -FIXED  # the underlined heading
-        if fence:
-            fenced = not fenced
         numbers.append(k), costs.append(max(-FIXED, min(cost, FIXED))), marks.append(P.marker(s)), owns.append(own), lines.append(s)
     edges = []
     under = False  # inside the list below a heading such as "Related:"

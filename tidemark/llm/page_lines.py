@@ -174,6 +174,31 @@ def weak_label(s: str, own: tuple[int, ...], places: set[str]) -> int | None:
     return 0
 
 
+def code_lines(lines: list[str]) -> list[bool]:
+    """Which stripped lines are code or its fences. A fence with an info string opens a block even in an open one; one that nothing closes ends at the first blank line."""
+    out, begun = [False] * len(lines), -1
+
+    def close_at_blank() -> None:
+        for k in range(begun, len(lines)):
+            if not lines[k]:
+                break
+            out[k] = True
+
+    for k, s in enumerate(lines):
+        if not s.startswith(("```", "~~~")):
+            continue
+        if begun >= 0 and not s.strip("`~"):
+            out[begun : k + 1] = [True] * (k + 1 - begun)
+            begun = -1
+        else:
+            if begun >= 0:
+                close_at_blank()
+            begun = k
+    if begun >= 0:
+        close_at_blank()
+    return out
+
+
 def words(s: str) -> set[str]:
     return set(_WORDS.findall(s.lower()))
 
