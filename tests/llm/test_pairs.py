@@ -87,6 +87,25 @@ def test_search_stops_without_losing_near_vectors():
     assert len(got & want) / len(want) > 0.97 and not got - {(i, int(j)) for i, j in zip(*np.nonzero(s >= 0.9))}
 
 
+def recall_of_pairs(spark, x):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, e array<double>")
+    got = {(p.a, p.b) for p in neighbours.similar_pairs(df, "id", "e", dim=x.shape[1]).collect()}
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    want = {(min(i, int(j)), max(i, int(j))) for i in range(len(x)) for j in np.argsort(-s[i])[:5] if s[i, j] >= 0.9}
+    return len(got & want) / len(want)
+
+
+def test_neighbours_across_cells_of_a_crowd(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 64)
+    r = np.random.default_rng(11)
+    x = r.standard_normal((2400, 64))
+    x[:800] = unit(r.standard_normal(64)) + 0.03 * r.standard_normal((800, 64))
+    x[800:1200] = x[1200:1600] + 0.4 * r.standard_normal((400, 64))
+    recall = recall_of_pairs(spark, x / np.linalg.norm(x, axis=1, keepdims=True))
+    assert recall > 0.98, recall
+
+
 def edited(words, r, n):
     words = list(words)
     for _ in range(n):

@@ -17,9 +17,13 @@ SEED = 20240229
 #: Vectors the driver's trees are fitted on, and the most cells a tree may have; all vectors are indexed.
 SAMPLE_ROWS, MAX_CELLS = 20_000, 4_096
 #: Aimed size of a cell; rows of a block of the tree inside a cell.
-CELL_ROWS, BLOCK_ROWS = 2_048, 256
+CELL_ROWS, BLOCK_ROWS = 4_096, 256
+#: Places that a neighbour is drawn at, for each row and tree, to see how far beyond its own cell a row is to be sent.
+DRAWS = 16
 #: 8-bit cosines are wrong by less than this; exact ones decide.
 ROUGH = 0.01
+#: Added to cosines of 32-bit sums where a bound is to hold.
+ROUNDING = 2e-6
 #: Queries that are broadcast at once, and rows a task indexes at once, when stated queries search all rows.
 QUERY_BLOCK, INDEX_BLOCK = 50_000, 100_000
 
@@ -110,44 +114,101 @@ def _blocks(points: np.ndarray, most: int) -> list[np.ndarray]:
     return out
 
 
-def search_cell(x: np.ndarray, points: np.ndarray, k: int, least: float, chi: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (row, neighbour row, cosine): up to ``k`` neighbours of each row with a cosine of at least ``least``.
+def _gaps(points: np.ndarray, others: np.ndarray, tree: tuple[np.ndarray, np.ndarray], depth: int) -> np.ndarray:
+    """Squared distance of each point to the cell that the other point of its row lies in."""
+    dims, cuts = tree
+    node, rows, off = np.zeros(len(points), np.int64), np.arange(len(points)), np.zeros_like(points)
+    for _ in range(depth):
+        d, c = dims[node], cuts[node]
+        own, side = points[rows, d], others[rows, d] > c
+        off[rows, d] = np.where((own > c) != side, np.maximum(off[rows, d], np.abs(own - c)), off[rows, d])
+        node = 2 * node + 1 + side
+    return (off * off).sum(axis=1)
 
-    Blocks are met in the order of their projected distance. Their vectors are verified until the distance of the next
-    block, squared, is above ``chi`` times the squared distance to the k-th best so far, or to ``least``: with
-    the quantile's probability nothing nearer is then left.
+
+def cells_within(points: np.ndarray, reach: np.ndarray, tree: tuple[np.ndarray, np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, cells): each point's own cell, and all others whose squared distance to it is at most ``reach``."""
+    dims, cuts = tree
+    row, node, off = np.arange(len(points)), np.zeros(len(points), np.int64), np.zeros_like(points)
+    for _ in range(depth):
+        d, c = dims[node], cuts[node]
+        own = points[row, d]
+        side = own > c
+        over = off.copy()
+        i = np.arange(len(row))
+        over[i, d] = np.maximum(over[i, d], np.abs(own - c))
+        ok = (over * over).sum(axis=1) <= reach[row]
+        row, off = np.concatenate([row, row[ok]]), np.concatenate([off, over[ok]])
+        node = np.concatenate([2 * node + 1 + side, 2 * node[ok] + 1 + ~side[ok]])
+    return row, node - ((1 << depth) - 1)
+
+
+def reach_of(points: np.ndarray, cosine: np.ndarray, tree: tuple[np.ndarray, np.ndarray], depth: int, share: float, random: np.random.Generator) -> np.ndarray:
+    """The squared distance to cells within which a neighbour at ``cosine`` lies with a probability of ``share``.
+
+    Projections of two unit vectors are normal with their cosine as correlation, so places of the neighbour are drawn from that.
     """
-    blocks = _blocks(points, BLOCK_ROWS)
-    low = np.array([points[b].min(axis=0) for b in blocks])
-    high = np.array([points[b].max(axis=0) for b in blocks])
-    apart = np.maximum(0, np.maximum(low[:, None] - high[None], low[None] - high[:, None]))
-    apart = (apart * apart).sum(axis=2)
+    c = cosine[:, None]
+    drawn = [_gaps(points, (c * points + np.sqrt(1 - c * c) * random.standard_normal(points.shape)).astype(np.float32), tree, depth) for _ in range(DRAWS)]
+    return np.sort(np.stack(drawn), axis=0)[min(DRAWS, math.ceil(share * DRAWS)) - 1]
+
+
+def _wider(cosine: np.ndarray, angle: np.ndarray) -> np.ndarray:
+    """The cosine of an angle larger by ``angle``."""
+    wide = np.cos(np.minimum(np.arccos(np.clip(cosine, -1, 1)) + angle, math.pi)) - ROUNDING
+    return np.where(angle > 0, wide, cosine)
+
+
+def _search(
+    q: np.ndarray, q_points: np.ndarray, own_row: np.ndarray, x: np.ndarray, points: np.ndarray, k: int, least: np.ndarray, slack: np.ndarray, chi: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of ``q``, rows of ``x``, cosines) of all that can be among a row's ``k`` best; and what each k-th best reaches for sure.
+
+    ``slack``: the angle by which those of a row of ``q`` may be wrong. ``own_row``: a row's place in ``x``, or -1.
+    """
+    sure = np.array(least, np.float64)
+    blocks, asking = _blocks(points, BLOCK_ROWS), _blocks(q_points, BLOCK_ROWS) if len(q) else []
+    low, high = np.array([points[b].min(axis=0) for b in blocks]), np.array([points[b].max(axis=0) for b in blocks])
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for i, own in enumerate(blocks):
-        worst = np.full(len(own), least, np.float32)  # the k-th best cosine of each row
-        best: list[list] = [[], [], []]
-        for j in np.argsort(apart[i], kind="stable"):
-            if apart[i, j] > chi * 2 * (1 - float(worst.min())):
+    for own in asking:
+        a, b = q_points[own].min(axis=0), q_points[own].max(axis=0)
+        apart = (np.maximum(0, np.maximum(low - b, a - high)) ** 2).sum(axis=1)
+        far, wrong, self_row = sure[own], slack[own], own_row[own]
+        worst = _wider(far, wrong).astype(np.float32)
+        r, c, v = np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32)
+        for j in np.argsort(apart, kind="stable"):
+            if apart[j] > chi * 2 * (1 - float(far.min())):
                 break
-            s = x[own] @ x[blocks[j]].T
-            if i == j:
-                np.fill_diagonal(s, -2)
-            a, b = np.nonzero(s >= worst[:, None])
-            if not len(a):
+            s = q[own] @ x[blocks[j]].T
+            i, at = np.nonzero(s >= worst[:, None])
+            new = blocks[j][at]
+            other = new != self_row[i]
+            i, at, new = i[other], at[other], new[other]
+            if not len(i):
                 continue
-            best[0].append(a), best[1].append(blocks[j][b]), best[2].append(s[a, b])
-            q, c = np.concatenate(best[0]), np.concatenate(best[2])
-            order = np.lexsort((-c, q))
-            place = np.arange(len(q)) - np.searchsorted(q[order], q[order])
-            keep = order[place < k]
-            full = order[place == k - 1]
-            best = [[q[keep]], [np.concatenate(best[1])[keep]], [c[keep]]]
-            worst[q[full]] = np.maximum(worst[q[full]], c[full])
-        if best[0]:
-            out.append((own[best[0][0]], best[1][0], best[2][0]))
+            r, c, v = np.concatenate([r, i]), np.concatenate([c, new]), np.concatenate([v, s[i, at]])
+            order = np.lexsort((-v, r))
+            r, c, v = r[order], c[order], v[order]
+            full = np.flatnonzero(np.arange(len(r)) - np.searchsorted(r, r) == k - 1)
+            far[r[full]] = np.maximum(far[r[full]], _wider(v[full].astype(np.float64), wrong[r[full]]))
+            worst = _wider(far, wrong).astype(np.float32)
+            good = v >= worst[r]
+            r, c, v = r[good], c[good], v[good]
+        sure[own] = far
+        out.append((own[r], c, v))
     if not out:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32)
-    return tuple(np.concatenate(z) for z in zip(*out))
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32), sure
+    return *(np.concatenate(z) for z in zip(*out)), sure
+
+
+def search_cell(x: np.ndarray, points: np.ndarray, k: int, least: float, chi: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (row, neighbour row, cosine): the ``k`` neighbours of each row, and ties, with a cosine of at least ``least``.
+
+    Blocks are met in the order of their projected distance. Their vectors are verified until the distance of the next
+    block, squared, is above ``chi`` times the squared distance to the k-th best so far, or to ``least``: with
+    the quantile's probability nothing nearer is then left in the cell.
+    """
+    return _search(x, points, np.arange(len(x)), x, points, k, np.full(len(x), least), np.zeros(len(x)), chi)[:3]
 
 
 def _hashes(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
@@ -174,9 +235,9 @@ def _vectors(df: DataFrame, vec_col: str, dim: int) -> DataFrame:
     return df.select(F.col(vec_col).alias("v")).mapInArrow(run, "h long, x binary")
 
 
-def _cells(df: DataFrame, vec_col: str, dim: int, m: int, trees: int) -> tuple[DataFrame, int]:
-    """Rows (cell, h, scale, q): each vector, in 8 bits, once for each tree; and the trees' depth."""
-    rows = df.select(F.col(vec_col).alias("v")).where(F.size("v") == dim)
+def _first_cells(df: DataFrame, id_col: str, vec_col: str, dim: int, m: int, trees: int) -> tuple[DataFrame, list, int]:
+    """Rows (cell, h, wrong, q): each vector in 8 bits, the angle it is wrong by, and its cell in the first tree; the trees, their depth."""
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(vec_col).alias("v")).where(F.size("v") == dim)
     n = df.count()
     wide = projections(dim, m, trees)
     sample = rows.sample(False, min(1.0, SAMPLE_ROWS / max(n, 1)), SEED).limit(2 * SAMPLE_ROWS).toArrow()
@@ -185,7 +246,7 @@ def _cells(df: DataFrame, vec_col: str, dim: int, m: int, trees: int) -> tuple[D
     depth = max(0, math.ceil(math.log2(max(1, n / CELL_ROWS))))
     depth = min(depth, int(math.log2(MAX_CELLS)), int(math.log2(max(1, len(x) // 8))) if len(x) >= 8 else 0)
     forest = [fit_tree(x @ wide[:, t * m : (t + 1) * m], depth) for t in range(trees)]
-    shared = df.sparkSession.sparkContext.broadcast(forest)
+    tree = forest[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -198,17 +259,20 @@ def _cells(df: DataFrame, vec_col: str, dim: int, m: int, trees: int) -> tuple[D
             h, x = h[new], x[first[new]]
             if not len(h):
                 continue
-            scale = np.abs(x).max(axis=1) / 127
+            scale = (np.abs(x).max(axis=1) / 127).astype(np.float32)
             q = np.rint(x / scale[:, None]).astype(np.int8)
+            off = np.sqrt(((q * scale[:, None].astype(np.float64) - x) ** 2).sum(axis=1))
+            wrong = np.arcsin(np.minimum(off, 1)) * 1.001 + 1e-6
             data = pa.array([r.tobytes() for r in q], pa.binary())
-            p = x @ wide
-            for t in range(trees):
-                cell = route(p[:, t * m : (t + 1) * m], shared.value[t], depth) + (t << depth)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell.astype(np.int32)), pa.array(h), pa.array(scale.astype(np.float32)), data], ["cell", "h", "scale", "q"]
-                )
+            cell = route(_unit(q) @ wide[:, :m], tree, depth)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(h), pa.array(wrong.astype(np.float32)), data], ["cell", "h", "wrong", "q"])
+
+    return spread(rows).mapInArrow(run, "cell int, h long, wrong float, q binary"), forest, depth
 
-    return spread(rows).mapInArrow(run, "cell int, h long, scale float, q binary"), depth
+
+def _unit(q: np.ndarray) -> np.ndarray:
+    x = q.astype(np.float32)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def similar_pairs(
@@ -222,25 +286,63 @@ def similar_pairs(
     ``k`` others. Extra columns are ignored; an empty table gives no rows.
 
     Method: ``trees`` Gaussian projections to ``m`` dimensions, each indexed by a kd-tree whose upper splits are fitted
-    on at most 2 x 20,000 sampled vectors and whose cells are searched alone, through a kd-tree of their own
-    (:func:`search_cell`), until the chi-square test of ``probability`` holds. Splits at medians keep cells even where vectors
-    crowd. Candidates have 8-bit cosines; exact ones decide, over the candidates' vectors only.
+    on at most 2 x 20,000 sampled vectors. Splits at medians keep cells even where vectors crowd. A first round searches
+    the first tree's cells alone, which bounds each row's k-th best. Then each row is sent to its own cell of every tree and
+    to all cells near enough (:func:`reach_of`) that a neighbour at that bound, or at ``min_cosine``, is in a cell met of at least
+    one tree with ``probability``, however deep the trees are; nearer ones more likely. A cell is searched through a
+    kd-tree of its own until the chi-square test of ``probability`` holds. Cosines there are of 8-bit vectors, whose error in
+    angle is known; the best of them go on, and exact cosines decide.
     """
     chi = chi_square_quantile(probability, m)
-    cells, depth = _cells(df, vec_col, dim, m, trees)
-    wide, keep, least = projections(dim, m, trees), 2 * k + 6, min_cosine - ROUGH
+    ids = _hashes(df, id_col, vec_col, dim)
+    members = cut(ids.groupBy("id").agg(F.min("h").alias("h"), (F.min("h") < F.max("h")).alias("several")))
+    first_cells, forest, depth = _first_cells(df, id_col, vec_col, dim, m, trees)
+    if not members.where("several").isEmpty():  # vectors that are no id's must not take a place among the k best
+        first_cells = first_cells.join(ids.join(members.select("h"), "h", "left_anti").select("h").distinct(), "h", "left_anti").select("cell", "h", "wrong", "q")
+    members = members.select("id", "h")
+    wide, share = projections(dim, m, trees), 1 - (1 - probability) ** (1 / trees)
+    shared = df.sparkSession.sparkContext.broadcast(forest)
+
+    def read(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        q = np.frombuffer(b"".join(table.column("q").to_pylist()), np.int8).reshape(-1, dim)
+        return q, table.column("wrong").to_numpy().astype(np.float64)
+
+    def send(table: pa.Table) -> pa.Table:
+        _, first = np.unique(table.column("h").to_numpy(), return_index=True)
+        table = table.take(pa.array(first))
+        q, wrong = read(table)
+        x = _unit(q)
+        p = x @ wide
+        sure = _search(x, p[:, :m], np.arange(len(x)), x, p[:, :m], k, np.full(len(x), min_cosine), wrong + wrong.max(), chi)[3]
+        random = np.random.default_rng(SEED + 2)
+        table = table.append_column("sure", pa.array(sure))
+        out = []
+        for t in range(trees):
+            for i in range(0, len(x), 1024):
+                at = p[i : i + 1024, t * m : (t + 1) * m]
+                row, cell = cells_within(at, reach_of(at, sure[i : i + 1024], shared.value[t], depth, share, random), shared.value[t], depth)
+                home = route(at, shared.value[t], depth)[row] == cell
+                part = table.take(pa.array(row + i))
+                out.append(pa.table({"cell": (cell + (t << depth)).astype(np.int32), "home": home, **{c: part.column(c) for c in ("h", "wrong", "sure", "q")}}))
+        return pa.concat_tables(out)
 
     def search(table: pa.Table) -> pa.Table:
         tree = table.column("cell")[0].as_py() >> depth
-        h, first = np.unique(table.column("h").to_numpy(), return_index=True)
-        q = np.frombuffer(b"".join(table.column("q").to_pylist()), np.int8).reshape(-1, dim)[first]
-        x = q.astype(np.float32)
-        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-        a, b, _ = search_cell(x, x @ wide[:, tree * m : (tree + 1) * m], keep, least, chi)
+        home = table.column("home").to_numpy()
+        table = pa.concat_tables([table.filter(pa.array(home)), table.filter(pa.array(~home))])
+        h, n = table.column("h").to_numpy(), int(home.sum())
+        q, wrong = read(table)
+        x = _unit(q)
+        p = x @ wide[:, tree * m : (tree + 1) * m]
+        own = np.where(np.arange(len(x)) < n, np.arange(len(x)), -1)
+        if not n:
+            return pa.table({"ha": np.zeros(0, np.int64), "hb": np.zeros(0, np.int64)})
+        a, b, _, _ = _search(x, p, own, x[:n], p[:n], 2 * k + 6, table.column("sure").to_numpy() - ROUGH, np.zeros(len(x)), chi)
         lo, hi = np.minimum(h[a], h[b]), np.maximum(h[a], h[b])
         pairs = np.unique(np.stack([lo, hi], axis=1), axis=0) if len(lo) else np.zeros((0, 2), np.int64)
         return pa.table({"ha": pairs[:, 0], "hb": pairs[:, 1]})
 
+    cells = grouped(first_cells, "cell").groupBy("cell").applyInArrow(send, "cell int, home boolean, h long, wrong float, sure double, q binary")
     rough = cut(grouped(cells, "cell").groupBy("cell").applyInArrow(search, "ha long, hb long").distinct())
     wanted = rough.select(F.explode(F.array("ha", "hb")).alias("h")).distinct()
     if rough.count() <= BROADCAST_ROWS:  # at most two ids of 8 bytes a pair
@@ -258,8 +360,6 @@ def similar_pairs(
     near = cut(near.where(F.col("cosine") >= min_cosine))
 
     # Ids of each point. Groups of copies are counted, and only their first k + 1 members take part as neighbours.
-    members = _hashes(df, id_col, vec_col, dim).groupBy("id").agg(F.min("h").alias("h"))
-    members = cut(members)
     first = Window.partitionBy("h").orderBy("id")
     heads = members.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1)
     heads = cut(heads)
