@@ -106,6 +106,13 @@ def test_neighbours_across_cells_of_a_crowd(spark, monkeypatch):
     assert recall > 0.98, recall
 
 
+def test_neighbours_closer_together_than_eight_bits_tell(spark):
+    r = np.random.default_rng(12)
+    x = unit(r.standard_normal(64)) + 0.001 * r.standard_normal((700, 64))
+    recall = recall_of_pairs(spark, x / np.linalg.norm(x, axis=1, keepdims=True))
+    assert recall > 0.99, recall
+
+
 def edited(words, r, n):
     words = list(words)
     for _ in range(n):

@@ -20,8 +20,6 @@ SAMPLE_ROWS, MAX_CELLS = 20_000, 4_096
 CELL_ROWS, BLOCK_ROWS = 4_096, 256
 #: Places that a neighbour is drawn at, for each row and tree, to see how far beyond its own cell a row is to be sent.
 DRAWS = 16
-#: 8-bit cosines are wrong by less than this; exact ones decide.
-ROUGH = 0.01
 #: Added to cosines of 32-bit sums where a bound is to hold.
 ROUNDING = 2e-6
 #: Queries that are broadcast at once, and rows a task indexes at once, when stated queries search all rows.
@@ -291,7 +289,7 @@ def similar_pairs(
     to all cells near enough (:func:`reach_of`) that a neighbour at that bound, or at ``min_cosine``, is in a cell met of at least
     one tree with ``probability``, however deep the trees are; nearer ones more likely. A cell is searched through a
     kd-tree of its own until the chi-square test of ``probability`` holds. Cosines there are of 8-bit vectors, whose error in
-    angle is known; the best of them go on, and exact cosines decide.
+    angle is known: every candidate that can be among the k best goes on, and exact cosines decide.
     """
     chi = chi_square_quantile(probability, m)
     ids = _hashes(df, id_col, vec_col, dim)
@@ -337,7 +335,7 @@ def similar_pairs(
         own = np.where(np.arange(len(x)) < n, np.arange(len(x)), -1)
         if not n:
             return pa.table({"ha": np.zeros(0, np.int64), "hb": np.zeros(0, np.int64)})
-        a, b, _, _ = _search(x, p, own, x[:n], p[:n], 2 * k + 6, table.column("sure").to_numpy() - ROUGH, np.zeros(len(x)), chi)
+        a, b, _, _ = _search(x, p, own, x[:n], p[:n], k, table.column("sure").to_numpy(), wrong + wrong[:n].max(), chi)
         lo, hi = np.minimum(h[a], h[b]), np.maximum(h[a], h[b])
         pairs = np.unique(np.stack([lo, hi], axis=1), axis=0) if len(lo) else np.zeros((0, 2), np.int64)
         return pa.table({"ha": pairs[:, 0], "hb": pairs[:, 1]})
