@@ -192,3 +192,12 @@ def test_line_features_are_sorted_and_within_size():
         if s.strip():
             own = page_lines.features(s.strip())
             assert list(own) == sorted(own) and own[-1] < page_lines.SIZE
+
+
+def test_long_lines_are_judged_by_their_words(weights):
+    menu = "  ".join(f"{a} {b}" for a in ("Blog", "Pricing", "Help", "Login", "Forum") for b in ("news", "desk", "list", "shop", "team"))
+    notice = "We use cookies on this site to measure how it is used, and show content that fits what you read here before. " * 2 + "Our privacy policy says more, and all rights reserved."
+    assert len(menu) > 200 and len(notice) > 200
+    assert boilerplate.label_page(f"# Title\n\nThe parser reads each token and keeps the longest match of all.\n\n{menu}", weights.tolist()) == [4]
+    names = {page_lines.SHAPE[i - page_lines.WORDS] for i in page_lines.features(notice) if i >= page_lines.WORDS}
+    assert {"cue_cookie", "cue_rights", "cue_legal", "long"} <= names and page_lines.weak_label(notice, page_lines.features(notice), set()) is None

@@ -84,11 +84,6 @@ _BODY = frozenset(_AT[k] for k in ("heading", "underline", "table", "fence", "qu
 _FURNITURE = frozenset(_AT[k] for k in ("links_only", "link_only"))
 
 
-#: A long line that opens like none of the marked kinds is a paragraph, whatever its words.
-_OPENING = frozenset("#=-_*|`~>+0123456789©")
-_PARAGRAPH = tuple(sorted(_AT[k] for k in ("bias", "long", "more_words", "sentence")))
-
-
 def marker(s: str) -> str:
     """The list marker of a stripped line: * - + or 1, else empty."""
     m = _MARK.match(s)
@@ -98,8 +93,6 @@ def marker(s: str) -> str:
 @lru_cache(maxsize=60_000)
 def features(s: str) -> tuple[int, ...]:
     """The features that a stripped line has, as sorted numbers below ``SIZE``."""
-    if len(s) > 200 and s[0] not in _OPENING and "](" not in s:
-        return _PARAGRAPH
     out = [_AT["bias"]]
     mark = _MARK.match(s)
     body = s[mark.end() :] if mark else s
@@ -137,16 +130,16 @@ def features(s: str) -> tuple[int, ...]:
     ended = bool(_PROSE_END.search(body))
     if n <= 2 and len(body) <= 18 and han <= 4 and not ended and out[-1] not in _BODY:
         out.append(_AT["tiny"])
-    out.append(_AT["one_word" if n <= 1 else "two_words" if n == 2 else "six_words" if n <= 6 else "twelve_words" if n <= 12 else "more_words"])
+    extended = len(shown) > 200 and not links  # few words of such a length are no menu entry
+    out.append(_AT["more_words" if extended else "one_word" if n <= 1 else "two_words" if n == 2 else "six_words" if n <= 6 else "twelve_words" if n <= 12 else "more_words"])
     if ended:
         out.append(_AT["sentence"])
     if len(shown) > 110 or han > 40:
         out.append(_AT["long"])
-    if " " not in body:
+    if " " not in body and not extended:
         out.append(_AT["no_space"])
-    if len(shown) <= 110 or n <= 16 or len(parts) > 1:
-        low = " ".join(body.lower().split())
-        out += [_AT[f"cue_{k}"] for k, c in zip(_KINDS, _CUE) if c.search(low)]
+    low = " ".join(body.lower().split())
+    out += [_AT[f"cue_{k}"] for k, c in zip(_KINDS, _CUE) if c.search(low)]
     if n <= 30:
         out += {crc32(w.encode()) % WORDS for w in words}
     return tuple(sorted(out))
@@ -165,6 +158,8 @@ def weak_label(s: str, own: tuple[int, ...], places: set[str]) -> int | None:
         return 0
     if f & _CUE_NUMBERS and (_AT["more_words"] not in f or (_AT["cue_related"] in f and _AT["segments3"] in f)):
         return 1
+    if f & _CUE_NUMBERS and _AT["long"] in f:
+        return None  # a long notice, or prose that has the words of one
     if menu_like(own) or f & _FURNITURE or (_AT["short_segments"] in f and _AT["sentence"] not in f):
         return 1
     if _AT["sentence"] not in f and 2 < len(w := _WORDS.findall(s.lower())) < 13 and places.issuperset(w):
