@@ -201,3 +201,11 @@ def test_long_lines_are_judged_by_their_words(weights):
     assert boilerplate.label_page(f"# Title\n\nThe parser reads each token and keeps the longest match of all.\n\n{menu}", weights.tolist()) == [4]
     names = {page_lines.SHAPE[i - page_lines.WORDS] for i in page_lines.features(notice) if i >= page_lines.WORDS}
     assert {"cue_cookie", "cue_rights", "cue_legal", "long"} <= names and page_lines.weak_label(notice, page_lines.features(notice), set()) is None
+
+
+def test_sampled_pages_come_from_the_whole_table(spark):
+    rows = [(f"page {i} " + "x" * (250_000 if i == 1990 else 5),) for i in range(2000)]
+    got = boilerplate.sampled_pages(spark.createDataFrame(rows + rows[:1], "text string").coalesce(1), "text", 1000)
+    numbers = [int(t.split()[1]) for t in got]
+    assert len(set(numbers)) == 1000 and 400 < sum(n >= 1000 for n in numbers) < 600
+    assert len(max(boilerplate.sampled_pages(spark.createDataFrame(rows, "text string"), "text", 3000), key=len)) > 250_000

@@ -172,24 +172,28 @@ def label_page(text: str, w: list[float]) -> list[int]:
     return [k for k, kept in zip(numbers, minimum_cut(costs, edges)) if not kept]
 
 
-def _weights(df: DataFrame, text_col: str) -> np.ndarray:
-    """The classifier, fitted on a bounded sample: pages in the order of a hash of their text."""
-    pages = df.select(F.col(text_col).alias("text")).where("text is not null")
-    n = pages.count()
-    some = pages.sample(False, min(1.0, 2 * SAMPLE_PAGES / max(n, 1)), 5).limit(SAMPLE_PAGES)
-    return fit([r[0] for r in some.select(F.substring("text", 1, 200_000)).collect()])
+def sampled_pages(df: DataFrame, text_col: str, sample_pages: int) -> list[str]:
+    """The ``sample_pages`` different texts of the smallest hashes, wherever in the table they are."""
+    pages = df.select(F.col(text_col).alias("text")).where("text is not null").withColumn("h", F.xxhash64("text"))
+    first = F.broadcast(pages.select("h").distinct().orderBy("h").limit(sample_pages))
+    return [r[0] for r in pages.join(first, "h").groupBy("h").agg(F.min("text").alias("text")).orderBy("h").select("text").collect()]
 
 
-def furniture_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, weights: np.ndarray | None = None) -> DataFrame:
+def _weights(df: DataFrame, text_col: str, sample_pages: int) -> np.ndarray:
+    """The classifier, fitted on a bounded sample: whole pages in the order of a hash of their text."""
+    return fit(sampled_pages(df, text_col, sample_pages))
+
+
+def furniture_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, weights: np.ndarray | None = None, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     """Rows (id_col, line_no): the non-blank lines that are not part of the page's main body, numbered from 0.
 
     A line classifier (structure, cues in six languages, words) gives each line a cost of either label; lines of a block, items
     of a list, and a heading of links with its list are tied by smoothness edges; the labelling is the minimum cut of that
-    graph. The classifier is fitted here, on at most 1,500 sampled pages' lines that label themselves; ``weights``
+    graph. The classifier is fitted here, on the lines of at most ``sample_pages`` different pages that label themselves; ``weights``
     from :func:`fit` replace it. Headings, code, tables and quotes always stay. Null, empty and blank texts have no rows; a
     repeated row of a page has its rows repeatedly; other columns are ignored.
     """
-    model = df.sparkSession.sparkContext.broadcast((_weights(df, text_col) if weights is None else weights).tolist())
+    model = df.sparkSession.sparkContext.broadcast((_weights(df, text_col, sample_pages) if weights is None else weights).tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = model.value
@@ -206,9 +210,9 @@ def furniture_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.mapInArrow(run, f"id {kind}, line_no long").withColumnRenamed("id", id_col)
 
 
-def main_body(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, weights: np.ndarray | None = None) -> DataFrame:
+def main_body(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, weights: np.ndarray | None = None, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     """Rows (id_col, text): each page's text without its furniture lines. Null texts stay null, empty ones empty."""
-    model = df.sparkSession.sparkContext.broadcast((_weights(df, text_col) if weights is None else weights).tolist())
+    model = df.sparkSession.sparkContext.broadcast((_weights(df, text_col, sample_pages) if weights is None else weights).tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = model.value
