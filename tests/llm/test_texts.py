@@ -209,3 +209,11 @@ def test_sampled_pages_come_from_the_whole_table(spark):
     numbers = [int(t.split()[1]) for t in got]
     assert len(set(numbers)) == 1000 and 400 < sum(n >= 1000 for n in numbers) < 600
     assert len(max(boilerplate.sampled_pages(spark.createDataFrame(rows, "text string"), "text", 3000), key=len)) > 250_000
+
+
+def test_opposing_metrics_both_count(spark):
+    rows = [(q, c, [("bm25", float(c)), ("cosine_similarity", -float(c))]) for q in range(20) for c in range(6)]
+    df = spark.createDataFrame(rows, "query_id long, chunk_id int, metrics array<struct<name string, value double>>")
+    names = ["bm25", "cosine_similarity"]
+    w = ranking.loadings(ranking.rank_scores(df, names, ranking.SMALLER_IS_BETTER, ranking.HOT_ROWS), names)
+    assert all(abs(w[n] - 0.5**0.5) < 1e-9 for n in names)

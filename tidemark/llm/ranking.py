@@ -169,8 +169,8 @@ def loadings(ranks: DataFrame, names: list[str]) -> dict[str, float]:
     """The first principal component of the rank-transformed scores, every loading in its metric's declared direction.
 
     Sums of products over pairs of names are taken in each batch and added up; only that matrix of names reaches the
-    driver. A pair of names counts where a query has both. The component's sign is arbitrary: it's turned so that most of it is
-    positive, and a name that still points backwards counts with 0.
+    driver. A pair of names counts where a query has both. Ranks are oriented already, so each loading counts by its
+    size, also of a name that opposes the others.
     """
     k = len(names)
     if not k:
@@ -196,8 +196,7 @@ def loadings(ranks: DataFrame, names: list[str]) -> dict[str, float]:
     c = np.where(spread > 1e-12, (xy - x * x.T / n) / np.maximum(spread, 1e-12), 0.0)
     np.fill_diagonal(c, 1.0)
     first = np.linalg.eigh((c + c.T) / 2)[1][:, -1]
-    first = first * (1 if first.sum() >= 0 else -1)
-    return {name: float(max(v, 0.0)) for name, v in zip(names, first)}
+    return {name: float(abs(v)) for name, v in zip(names, first)}
 
 
 def _scored(df: DataFrame, smaller: tuple[str, ...], influence: str, hot_rows: int) -> DataFrame:
