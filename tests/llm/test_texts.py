@@ -217,3 +217,14 @@ def test_opposing_metrics_both_count(spark):
     names = ["bm25", "cosine_similarity"]
     w = ranking.loadings(ranking.rank_scores(df, names, ranking.SMALLER_IS_BETTER, ranking.HOT_ROWS), names)
     assert all(abs(w[n] - 0.5**0.5) < 1e-9 for n in names)
+
+
+def test_sources_of_no_share_count_in_the_mix(spark):
+    rows = [(i, s, "word " * 10) for i, s in enumerate(["big"] * 30 + ["zero"] * 20 + ["none"] * 10)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    goal = spark.createDataFrame([("big", 1.0, 1), ("zero", 0.0, 1), ("none", None, 1)], "source string, target_share double, max_repeats int")
+    mix, report = mixing.mix(df, goal)
+    r = {x.source: x for x in report.collect()}
+    assert set(r) == {"big", "zero", "none"} and r["zero"].mixed_tokens == 0 == r["none"].mixed_tokens
+    assert {x.source for x in mix.collect()} == {"big"} and not r["big"].reachable and r["zero"].reachable
+    assert abs(r["big"].most_possible_share - 0.5) < 1e-9

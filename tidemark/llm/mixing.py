@@ -15,10 +15,12 @@ MAX_TARGETS = 10_000
 
 
 def _targets(targets: DataFrame) -> DataFrame:
-    """One row a source: spelled alike, the largest share and cap of a repeated one; shares of null or 0 ask for nothing."""
+    """One row a source: spelled alike, the largest share and cap of a repeated one; shares of null, NaN and less than 0 are 0."""
     rows = targets.select(source_key(F.col("source")).alias("key"), F.col("source").alias("name"), F.col("target_share").alias("share"), F.col("max_repeats").alias("cap"))
-    rows = rows.where(F.col("key").isNotNull() & (F.col("share") > 0) & ~F.isnan("share"))
-    rows = rows.groupBy("key").agg(F.min("name").alias("name"), F.max("share").alias("share"), F.greatest(F.coalesce(F.max("cap"), F.lit(1)), F.lit(0)).alias("cap"))
+    share = F.col("share")
+    rows = rows.where(F.col("key").isNotNull()).withColumn("share", F.when((share > 0) & ~F.isnan("share"), share).otherwise(0.0))
+    cap = F.coalesce(F.when(F.max("share") > 0, F.max(F.when(F.col("share") > 0, F.col("cap")))).otherwise(F.max("cap")), F.lit(1))
+    rows = rows.groupBy("key").agg(F.min("name").alias("name"), F.max("share").alias("share"), F.greatest(cap, F.lit(0)).alias("cap"))
     if rows.count() > MAX_TARGETS:
         raise ValueError(f"more than {MAX_TARGETS} targets")
     return rows
@@ -59,19 +61,20 @@ def mix(df: DataFrame, targets: DataFrame, *, budget: int | None = None, seed: i
     ``reachable`` is whether the source's finish times last to the end of a mix of budget size.
 
     Documents of other or no source, of null and empty texts don't take part; a row given twice takes part twice; a
-    listed source without documents mixes 0 tokens and isn't reachable; without any document the mix is empty.
+    listed source without documents mixes 0 tokens and isn't reachable; one of no share counts in the size, mixes 0 tokens and is reachable; without any document the mix is empty.
     Running sums go by buckets of the shuffle key, so a source that holds a third of the rows is many tasks. Only the
     targets, at most 10,000 rows, are collected and broadcast.
     """
     queued, goal = _queue(df, targets, seed, tokenizer, folder)
     rows = goal.collect()
-    total = sum(r["tokens"] for r in rows)
+    total = sum(r["tokens"] for r in rows)  # of all listed sources; those that ask for nothing only aren't served
+    rows = [r for r in rows if r["share"] > 0]
     size = total if budget is None else budget
     horizon = _horizon(rows, size)
     last = max((r["tokens"] * r["cap"] / r["share"] for r in rows), default=0.0)
     horizon = min(horizon, last)
     # A document finishes after it begins, so the exact end lies at the fluid one plus at most a document of each source.
-    shares = F.broadcast(goal.select("key", "name", "share", "cap", F.col("tokens").alias("all_tokens")))
+    shares = F.broadcast(goal.where("share > 0").select("key", "name", "share", "cap", F.col("tokens").alias("all_tokens")))
     turns = queued.join(shares, "key").withColumn("repeat", F.explode(F.sequence(F.lit(1), F.greatest("cap", F.lit(1)))))
     turns = turns.where(F.col("repeat") <= F.col("cap"))  # a cap of 0 leaves none
     turns = turns.withColumn("finish", ((F.col("repeat") - 1) * F.col("all_tokens") + F.col("until")) / F.col("share"))
@@ -90,6 +93,6 @@ def mix(df: DataFrame, targets: DataFrame, *, budget: int | None = None, seed: i
         F.col("tokens").alias("available_tokens"), F.col("mixed").alias("mixed_tokens"),
         F.when(whole > 0, F.col("mixed") / whole).otherwise(0.0).alias("actual_share"),
         (most / F.lit(float(max(size, 1)))).alias("most_possible_share"),
-        ((F.col("tokens") > 0) & (most / F.col("share") >= F.lit(float(size)))).alias("reachable"),
+        F.when(F.col("share") <= 0, True).otherwise((F.col("tokens") > 0) & (most / F.col("share") >= F.lit(float(size)))).alias("reachable"),
     )
     return taken, report
