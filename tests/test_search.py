@@ -106,3 +106,11 @@ def test_fusion_order(spark):
 def test_tool_json(spark):
     df = spark.createDataFrame([(2, "h", "two"), (1, None, "one")], "arrival int, context string, text string")
     assert search.tool_json(df).collect()[0].json == '[{"text":"one"},{"context":"h","text":"two"}]'
+
+
+def test_batch_asks_any_number_of_queries(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "id int, v array<double>")
+    ask = dict(vec_col="v", id_col="id", query_id="q", query_vec="v")
+    queries = df.withColumnRenamed("id", "q")
+    rows = [{tuple(r) for r in search.vector_top_batch(df, queries, 3, **ask, max_queries=n).collect()} for n in (40, 7)]
+    assert rows[0] == rows[1] and len(rows[0]) == 120

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -78,13 +79,17 @@ def vector_top(df: DataFrame, vector: Sequence[float], k: int, *, vec_col: str =
 def vector_top_batch(df: DataFrame, queries: DataFrame, k: int, *, vec_col: str, id_col: str, query_id: str, query_vec: str, method: str = "cosine_distance", max_queries: int = 10_000) -> DataFrame:
     """Rows (query_id, id_col, metric_value, rank): each query's ``k`` nearest rows.
 
-    The stated queries, at most ``max_queries`` (checked), meet all rows in blocks of Arrow batches by matrix products; each batch sends on
+    The stated queries, about ``max_queries`` at once by hash of their id, meet all rows in blocks of Arrow batches by matrix products; each batch sends on
     its own best k of each query, so no pairs are materialised.
     """
     method = ALIASES.get(method, method)
-    asked = queries.select(query_id, query_vec).where(F.col(query_vec).isNotNull()).limit(max_queries + 1).collect()
-    if len(asked) > max_queries:
-        raise ValueError(f"more than {max_queries} queries; ask in parts")
+    stated = queries.select(query_id, query_vec).where(F.col(query_vec).isNotNull())
+    n = stated.count()
+    if n > max_queries:
+        blocks, own = -(-n // max_queries), dict(vec_col=vec_col, id_col=id_col, query_id=query_id, query_vec=query_vec, method=method)
+        parts = [stated.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == i) for i in range(blocks)]
+        return reduce(DataFrame.unionByName, [vector_top_batch(df, p, k, **own, max_queries=n) for p in parts])
+    asked = stated.collect()
     dim = len(asked[0][1]) if asked else 0
     if any(len(r[1]) != dim for r in asked):
         raise ValueError("query vectors differ in length")
