@@ -13,33 +13,39 @@ from pyspark.sql import functions as F
 from tidemark.llm import page_lines as P
 from tidemark.plans.durable import spread
 
-#: Pages whose weakly labelled lines the classifier is fitted on.
-SAMPLE_PAGES = 1_500
+#: Pages whose weakly labelled lines the classifier is fitted on; documents of one source, or different sources, that make a line a repeated one.
+SAMPLE_PAGES, REPEATS = 3_000, 5
 
 
-def fit(pages: list[str], rounds: int = 200, rate: float = 1.0, decay: float = 1e-5) -> np.ndarray:
-    """Logistic weights of the line features, from lines that label themselves (:func:`page_lines.weak_label`)."""
-    rows, labels = [], []
+def fit(pages: list[str], repeated: set[str] = frozenset(), least: int = REPEATS, rounds: int = 200, rate: float = 1.0, decay: float = 1e-5) -> np.ndarray:
+    """Logistic weights of the line features, from lines that label themselves (:meth:`page_lines.Sample.weak_label`).
+
+    ``repeated``: keys of lines that stand in many documents. Each different line counts once.
+    """
+    read = [P.Page(t) for t in pages]
+    sample = P.Sample(read, repeated, least)
+    rows, given = [], []
     seen: set[str] = set()
-    lines_of = [[x.strip() for x in text.split("\n")] for text in pages]
-    met = Counter(w for s in {s for lines in lines_of for s in lines if s and len(s) < 120} if P.menu_like(P.features(s)) for w in P.words(s))
-    places = {w for w, n in met.items() if n > 1}
-    for lines in lines_of:
-        for s, after, code in zip(lines, [*lines[1:], ""], P.code_lines(lines)):
-            if not s or code or s in seen or (len(after) > 2 and not after.strip("=-")):
+    for p in read:
+        for i, s in enumerate(p.lines):
+            key = P.key(s)
+            if p.code[i] or key in seen:
                 continue
-            seen.add(s)
-            own = P.features(s)
-            y = P.weak_label(s, own, places)
+            seen.add(key)
+            if plain := p.plain_heading(i):
+                rows.append(plain), given.append(0)
+            if p.underlined[i]:
+                continue
+            y = sample.weak_label(p, i)
             if y is not None:
-                rows.append(own), labels.append(y)
+                rows.append(p.owns[i] + p.places(i)), given.append(y)
     w = np.zeros(P.SIZE)
     if not rows:
         return w
     index = np.concatenate([np.array(r) for r in rows])
     ptr = np.concatenate([[0], np.cumsum([len(r) for r in rows])[:-1]])
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    y = np.array(labels, float)
+    y = np.array(given, float)
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
     norm = np.maximum(np.bincount(index, weights=weight[row], minlength=P.SIZE), 5.0)
     for _ in range(rounds):
@@ -125,51 +131,47 @@ def minimum_cut(cost: list[float], edges: list[tuple[int, int, float]]) -> list[
     return label
 
 
-#: Capacities. FIXED ties headings, code and the like to the main body; the others are smoothness edges.
-FIXED, BLOCK, LIST, HEAD, APART = 50.0, 1.0, 3.0, 6.0, 0.15
-#: Added to the cost of keeping the items below a heading of links.
-UNDER = 8.0
-_CODE_LIKE = ("heading", "underline", "table", "fence", "quote", "bold")
-_KEEP = frozenset(P.shape(k) for k in _CODE_LIKE)
-_SETEXT = P.shape("underline")
-_RELATED, _ROW = P.shape("cue_related"), P.shape("segments3")
+#: Capacities. FIXED ties headings, code and the like to the main body; the others are smoothness edges: lines of a block, items of a
+#: list, a line that ends in a colon with each item below it, and neighbours with blank lines between them.
+FIXED, BLOCK, LIST, HEAD, APART = 50.0, 1.0, 3.0, 8.0, 0.15
 
 
-def label_page(text: str, w: list[float]) -> list[int]:
-    """Numbers of the non-blank lines outside the main body."""
-    numbers, costs, marks, owns, lines = [], [], [], [], []
-    whole = [x.strip() for x in text.split("\n")]
-    for k, (s, code) in enumerate(zip(whole, P.code_lines(whole))):
-        if not s:
-            continue
-        own = P.features(s)
-        cost = sum([w[f] for f in own])
-        if _RELATED in own and _ROW in own:
-            cost += UNDER  # the heading and its links on one line
-        if code:
-            cost = -FIXED
-        elif not _KEEP.isdisjoint(own):
-            cost = -FIXED
-            if _SETEXT in own and numbers and numbers[-1] == k - 1 and not marks[-1]:
-                costs[-1] = -FIXED  # the underlined heading
-        numbers.append(k), costs.append(max(-FIXED, min(cost, FIXED))), marks.append(P.marker(s)), owns.append(own), lines.append(s)
-    edges = []
-    under = False  # inside the list below a heading such as "Related:"
-    for i in range(1, len(numbers)):
+def graph(page: P.Page, w: list[float]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """What each line costs as main content, and the edges between lines that lie together.
+
+    A line that ends in a colon speaks for the list below it: each of its items is its child, and its cost counts once for each.
+    """
+    lines, numbers = page.lines, page.numbers
+    marks = [P.marker(s) for s in lines]
+    costs = [-FIXED if page.body(i) else max(-FIXED, min(sum([w[f] for f in own]) + sum([w[f] for f in page.places(i)]), FIXED)) for i, own in enumerate(page.owns)]
+    edges: list[tuple[int, int, float]] = []
+    head, first, loose = -1, 0, False
+    for i in range(1, len(lines)):
         joined = numbers[i] == numbers[i - 1] + 1
-        heads = _RELATED in owns[i - 1] and lines[i - 1].endswith((":", "："))
-        under = bool(marks[i]) and (heads or (under and marks[i] == marks[i - 1]))
-        if under:
-            costs[i] = max(costs[i], min(costs[i] + UNDER, FIXED))
-        if marks[i] and marks[i] == marks[i - 1]:
+        same = bool(marks[i]) and marks[i] == marks[i - 1]
+        if same and i == first + 1:
+            loose = not joined  # items with blank lines between them
+        if marks[i] and not (same and (joined or loose)):
+            first, loose = i, False
+            head = i - 1 if not marks[i - 1] and lines[i - 1].endswith((":", "：")) and not page.body(i - 1) else -1
+        elif not marks[i]:
+            head = -1
+        if same and i > first:
             edges.append((i - 1, i, LIST))
-        elif marks[i] and heads:
-            edges.append((i - 1, i, HEAD))
         elif joined and not marks[i] and not marks[i - 1]:
             edges.append((i - 1, i, BLOCK))
         elif not joined:
             edges.append((i - 1, i, APART))
-    return [k for k, kept in zip(numbers, minimum_cut(costs, edges)) if not kept]
+        if head >= 0:
+            edges.append((head, i, HEAD))
+            costs[head] *= (i - first + 2) / (i - first + 1)
+    return costs, edges
+
+
+def label_page(text: str, w: list[float]) -> list[int]:
+    """Numbers of the non-blank lines outside the main body."""
+    page = P.Page(text)
+    return [k for k, kept in zip(page.numbers, minimum_cut(*graph(page, w))) if not kept]
 
 
 def sampled_pages(df: DataFrame, text_col: str, sample_pages: int) -> list[str]:
@@ -179,21 +181,45 @@ def sampled_pages(df: DataFrame, text_col: str, sample_pages: int) -> list[str]:
     return [r[0] for r in pages.join(first, "h").groupBy("h").agg(F.min("text").alias("text")).orderBy("h").select("text").collect()]
 
 
-def _weights(df: DataFrame, text_col: str, sample_pages: int) -> np.ndarray:
+def repeated_keys(df: DataFrame, text_col: str, source_col: str | None, keys: list[str], least: int = REPEATS) -> set[str]:
+    """Those of ``keys`` (:func:`page_lines.key`) whose line stands in ``least`` different texts of a source, or in those of as many sources.
+
+    All texts of ``df`` are counted. The keys are broadcast, so only their lines move: each once for a text of a source, then
+    as counts. Null and blank sources are one source that counts for nothing by itself.
+    """
+    spark = df.sparkSession
+    known = spark.createDataFrame([(k,) for k in keys], "key string").select("key", F.xxhash64("key").alias("k"))
+    name = F.lower(F.trim(F.col(source_col))) if source_col else F.lit("")
+    rows = df.select(F.coalesce(name, F.lit("")).alias("s"), F.col(text_col).alias("text")).where("text is not null")
+    lines = rows.select(F.xxhash64("s").alias("src"), (F.col("s") != "").alias("named"), F.xxhash64("text").alias("copy"), F.explode(F.split("text", "\n")).alias("line"))
+    flat = F.regexp_replace(F.trim(F.regexp_replace(F.lower("line"), r"(?U)\s+", " ")), r"(?U)\d+", "0")
+    hits = lines.select("src", "named", "copy", F.xxhash64(flat).alias("k")).join(F.broadcast(known.select("k")), "k")
+    per = hits.distinct().groupBy("k", "src", "named").agg(F.count("*").alias("n"))
+    found = per.groupBy("k").agg(F.max(F.when(F.col("named"), F.col("n"))).alias("texts"), F.count_if("named").alias("sources"))
+    found = found.where((F.col("texts") >= least) | (F.col("sources") >= least))
+    return {r[0] for r in known.join(found, "k").select("key").collect()}  # at most as many as there are keys
+
+
+def _weights(df: DataFrame, text_col: str, source_col: str | None, sample_pages: int) -> np.ndarray:
     """The classifier, fitted on a bounded sample: whole pages in the order of a hash of their text."""
-    return fit(sampled_pages(df, text_col, sample_pages))
+    pages = sampled_pages(df, text_col, sample_pages)
+    keys = sorted({P.key(s) for t in pages for s in t.split("\n") if s.strip()})
+    source = source_col if source_col in df.columns else None
+    return fit(pages, repeated_keys(df, text_col, source, keys) if keys else set())
 
 
-def furniture_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, weights: np.ndarray | None = None, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
+def furniture_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: np.ndarray | None = None, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     """Rows (id_col, line_no): the non-blank lines that are not part of the page's main body, numbered from 0.
 
-    A line classifier (structure, cues in six languages, words) gives each line a cost of either label; lines of a block, items
-    of a list, and a heading of links with its list are tied by smoothness edges; the labelling is the minimum cut of that
-    graph. The classifier is fitted here, on the lines of at most ``sample_pages`` different pages that label themselves; ``weights``
-    from :func:`fit` replace it. Headings, code, tables and quotes always stay. Null, empty and blank texts have no rows; a
-    repeated row of a page has its rows repeatedly; other columns are ignored.
+    A line classifier (structure, place in the page, hashed words; no word lists) gives each line a cost of either label. Smoothness edges
+    tie the lines of a block, the items of a list, neighbours across blank lines, and a line that ends in a colon to each item below it
+    (:func:`graph`); the labelling is the minimum cut of that graph. The classifier is fitted here on at most ``sample_pages``
+    different pages, whose lines label themselves: by how often they stand in all texts of their source or in other sources
+    (:func:`repeated_keys`), and by their structure. ``weights`` from :func:`fit` replace it. Headings, code, tables, quotes and bold
+    notes always stay. Null, empty and blank texts have no rows; a repeated row of a page has its rows repeatedly; a table without ``source_col``
+    is one nameless source; other columns are ignored.
     """
-    model = df.sparkSession.sparkContext.broadcast((_weights(df, text_col, sample_pages) if weights is None else weights).tolist())
+    model = df.sparkSession.sparkContext.broadcast((_weights(df, text_col, source_col, sample_pages) if weights is None else weights).tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = model.value
@@ -210,9 +236,9 @@ def furniture_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.mapInArrow(run, f"id {kind}, line_no long").withColumnRenamed("id", id_col)
 
 
-def main_body(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, weights: np.ndarray | None = None, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
+def main_body(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: np.ndarray | None = None, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     """Rows (id_col, text): each page's text without its furniture lines. Null texts stay null, empty ones empty."""
-    model = df.sparkSession.sparkContext.broadcast((_weights(df, text_col, sample_pages) if weights is None else weights).tolist())
+    model = df.sparkSession.sparkContext.broadcast((_weights(df, text_col, source_col, sample_pages) if weights is None else weights).tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = model.value

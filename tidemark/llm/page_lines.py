@@ -1,87 +1,39 @@
-"""What a line of a page looks like: cues, structure and words, as features of a line classifier (problem 3)."""
+"""What a line of a page looks like: structure, place and words, as features of a line classifier (problem 3)."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 from zlib import crc32
 
-#: Cues of site furniture in English, German, French, Spanish, Russian and Chinese.
-CUES = {
-    "cookie": (
-        r"cookies?\b|small files|signed in\.|your settings|with your consent|cookie policy"
-        r"|merken\.|speichert daten|besuche zu z(?:ä|ae)hlen|fichiers pour|vos choix|mesurer les visites"
-        r"|guarda archivos|sus ajustes|medir las visitas|считать посещения|помнить настройки|файлы cookie"
-        r"|浏览器缓存|经您同意|记住您的设置|统计访问"
-    ),
-    "consent": (
-        r"^(?:ok(?:ay)?,? got it|accept all|allow(?: all)?|decline|reject(?: all)?|manage choices|understood"
-        r"|verstanden|einverstanden|alle zulassen|alle ablehnen|ablehnen|auswahl verwalten|j'ai compris|tout accepter|refuser|tout refuser"
-        r"|de acuerdo|aceptar todo|permitir todo|rechazar|понятно|принять все|отклонить|我知道了|全部接受|管理选项|拒绝)\b"
-    ),
-    "rights": (
-        r"©|\(c\) \d{4}|all rights reserved|rechte vorbehalten|droits réservés|derechos reservados|права защищены|版权所有"
-        r"|logo are marks|logo sind marken|sont des marques|son marcas|товарные знаки|商标|reproduction interdite"
-    ),
-    "legal": (
-        r"terms of use|privacy|imprint|accessibility|impressum|datenschutz|barrierefreiheit|nutzungsbedingungen"
-        r"|mentions légales|vie privée|plan du site|aviso legal|privacidad|mapa del sitio|условия|конфиденциальность|карта сайта"
-        r"|使用条款|隐私政策|网站地图"
-    ),
-    "share": (
-        r"share this|send to a friend|print this page|copy link|pass it on|seite teilen|weitersagen|partager cette|courriel - flux"
-        r"|comparta esta|compartir esta|correo - canal|поделиться|почта - лента|分享本页|复制链接"
-    ),
-    "news": (
-        r"sign up for|newsletter|in your inbox|monthly digest|release mail|rundbrief|monatsbrief|kostenlos bestellen|abonnieren"
-        r"|lettre mensuelle|abonnez|infolettre|boletín|suscríba|suscrib|подпишитесь|рассылк|订阅|简报"
-    ),
-    "skip": (
-        r"^skip to|^jump to|toggle the navigation|zum inhalt|zum hauptinhalt|inhalt der seite springen|navigation überspringen"
-        r"|aller au contenu|passer au contenu|saltar al|ir al contenido|перейти к содержанию|к основному|跳转到|跳到"
-    ),
-    "byline": (
-        r"^(?:posted|written|published|edited|reviewed) by\b|last updated|updated \d+|documentation crew|^verfasst von|^geschrieben von"
-        r"|^stand vor|gepflegt von|^aktualisiert|^rédigé par|^écrit par|^mis(?:e)? à jour|^escrito por|^redactado|^publicado por|^actualizado"
-        r"|^подготовил|^обновлено|^автор|^опубликовано|^本文由|^最近更新|维护$|^作者"
-    ),
-    "helpful": r"page helpful|seite hilfreich|page vous a-t-elle|le sirvió esta|страница была полезна|本页对您有帮助",
-    "built": r"site generator|^built with|^erstellt mit|^réalisé avec|^hecho con|^сделано на|^собрано|^本站由|站点生成",
-    "contact": r"write to the desk|^fragen\?|^des questions|^¿?preguntas|^вопросы\?|^有问题|联系.{1,20}团队",
-    "banner": r"preview is open|^new: |^neu: |^nouveau ?: |^nuevo: |^новое: |^新消息|vorschau .* offen|aperçu .* ouvert|vista previa|открыт просмотр|预览版",
-    "related": (
-        r"^(?:related|see also|read also|read next|more on this|more like this|you may also like|mehr dazu|siehe auch|lesen sie auch|weiterlesen"
-        r"|à lire aussi|voir aussi|lea también|véase también|ver también|читайте также|см\. также|相关阅读|延伸阅读)\s*[:：]"
-    ),
-    "pager": (
-        r"^(?:previous|prev|next|older|newer|zurück|vorherige|weiter|nächste|précédent|suivant|anterior|siguiente|назад|далее|предыдущая|上一页|下一页|上一篇|下一篇)\s*[:：]"
-        r"|^(?:page|seite|página|страница)\s+\d+\s+(?:of|von|sur|de|из)\s+\d+|^[«‹←<]\s|\s[»›→>]$|^第\s*\d+\s*页"
-    ),
-}
-
-_KINDS = list(CUES)
-_CUE = [re.compile(p) for p in CUES.values()]  # for lines in lower case
 _MARK = re.compile(r"(?:[*+-]|\d{1,3}[.)])\s+")
 _LINK = re.compile(r"\[[^\]\n]*\]\([^)\s]*\)")
 _TARGET = re.compile(r"\]\([^)\s]*\)")
 _SPLIT = re.compile(r"\s+[|·•/>»›–—-]\s+|\s{2,}|\t")
-_WORDS = re.compile(r"\w+(?:[-']\w+)*")
-_HAN = re.compile(r"[\u3400-\u9fff\u3040-\u30ff\uac00-\ud7af]")
-_PROSE_END = re.compile(r"[.!?。！？…:;,\"'”’)]$")
+_CRUMBS = re.compile(r"\s[>»›/]\s")
+_WORDS = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*|\d+|[^\w\s]")
+_HAN = re.compile(r"[㐀-鿿぀-ヿ가-힯]+")
+_LABEL = re.compile(r"(\w[^:：|»>/\n]{0,30}?)\s?(?::(?=\s|$)|：)")
+_PROSE_END = re.compile(r"[.!?。！？…:;,，；、\"'”’)]$")
+_BLANKS = re.compile(r"\s+")
+_DIGITS = re.compile(r"\d+")
 
 #: Hashed words; the features that follow them.
 WORDS = 1 << 13
 SHAPE = [
-    *(f"cue_{k}" for k in _KINDS), "heading", "underline", "table", "fence", "quote", "bold", "list", "link_only", "links_only", "link_and_text",
-    "tiny", "segments2", "segments3", "short_segments", "crumbs", "one_word", "two_words", "six_words", "twelve_words", "more_words", "sentence", "long", "no_space", "bias",
+    "heading", "underline", "table", "fence", "quote", "bold", "list", "link_only", "links_only", "link_and_text", "tiny", "segments2", "segments3",
+    "short_segments", "crumbs", "labelled", "label_only", "one_word", "two_words", "six_words", "twelve_words", "more_words", "sentence", "long", "no_space",
+    "before_title", "below_title", "first_lines", "last_lines", "near_end", "bias",
 ]
 _AT = {n: WORDS + i for i, n in enumerate(SHAPE)}
 SIZE = WORDS + len(SHAPE)
 
-
-_CUE_NUMBERS = frozenset(_AT[f"cue_{k}"] for k in _KINDS)
 _BODY = frozenset(_AT[k] for k in ("heading", "underline", "table", "fence", "quote", "bold"))
-_FURNITURE = frozenset(_AT[k] for k in ("links_only", "link_only"))
+_SHORT = frozenset(_AT[k] for k in ("one_word", "two_words", "six_words"))
+_LINKS = frozenset(_AT[k] for k in ("links_only", "link_only"))
+#: Non-blank lines that count as a page's first and last ones, and as near its end.
+FIRST, LAST, NEAR = 4, 3, 8
 
 
 def marker(s: str) -> str:
@@ -90,9 +42,53 @@ def marker(s: str) -> str:
     return "" if not m else ("1" if s[0].isdigit() else s[0])
 
 
-@lru_cache(maxsize=60_000)
+def key(s: str) -> str:
+    """What makes two lines the same: lower case, blanks run together, digits as 0."""
+    return _DIGITS.sub("0", _BLANKS.sub(" ", s.lower()).strip())
+
+
+def tokens(s: str) -> list[str]:
+    """Words, numbers as one, and marks of a line; runs of Han, kana and hangul as pairs of letters."""
+    out = []
+    for w in _WORDS.findall(s.lower()):
+        if w[0].isdigit():
+            out.append("0")
+        elif not w.isascii() and _HAN.search(w):
+            for run in _HAN.findall(w):
+                out += [run[i : i + 2] for i in range(max(1, len(run) - 1))]
+            out += _HAN.sub(" ", w).split()
+        else:
+            out.append(w)
+    return out
+
+
+def count_words(s: str, found: list[str]) -> int:
+    """How many words the tokens ``found`` of ``s`` stand for: one for each begun 16 letters, and for two Han letters."""
+    n = sum((len(w) + 15) // 16 for w in found if w[0].isalnum())
+    return n if s.isascii() else n - sum(max(1, len(m) - 1) - (len(m) + 1) // 2 for m in _HAN.findall(s))
+
+
+def label_of(s: str) -> str:
+    """The few words before a colon that a line opens with, else empty."""
+    m = _MARK.match(s)
+    m = _LABEL.match(s[m.end() :] if m else s)
+    return key(m[1]) if m and len(m[1].split()) < 5 else ""
+
+
+def opening(s: str) -> str:
+    """The first two words of a line of at most eleven that doesn't end as a sentence or its part does, else empty."""
+    if len(s) > 120 or _PROSE_END.search(s) or _MARK.match(s):
+        return ""
+    w = tokens(s)
+    return " ".join(w[:2]) if 2 < len(w) and count_words(s, w) < 12 else ""
+
+
 def features(s: str) -> tuple[int, ...]:
-    """The features that a stripped line has, as sorted numbers below ``SIZE``."""
+    """The features that a stripped line has by itself, as sorted numbers below ``SIZE``."""
+    return _features(s) if len(s) > 400 else _remembered(s)
+
+
+def _features(s: str) -> tuple[int, ...]:
     out = [_AT["bias"]]
     mark = _MARK.match(s)
     body = s[mark.end() :] if mark else s
@@ -114,6 +110,10 @@ def features(s: str) -> tuple[int, ...]:
     rest = _LINK.sub("", body).strip(" |·•/>»-–—") if links else body
     if links:
         out.append(_AT["link_and_text" if rest else ("links_only" if len(links) > 1 else "link_only")])
+    shown = _TARGET.sub("]", body) if links else body  # where links lead is no text
+    words = tokens(shown)
+    n = count_words(shown, words)
+    ended = bool(_PROSE_END.search(body))
     parts = [p for p in _SPLIT.split(body) if p]
     if len(parts) == 2:
         out.append(_AT["segments2"])
@@ -121,28 +121,25 @@ def features(s: str) -> tuple[int, ...]:
         out.append(_AT["segments3"])
         if sum(map(len, parts)) / len(parts) < 22:
             out.append(_AT["short_segments"])
-        if re.search(r"\s[>»›/]\s", body):
+        if _CRUMBS.search(body):
             out.append(_AT["crumbs"])
-    shown = _TARGET.sub("]", body) if links else body  # where links lead is no text
-    words = _WORDS.findall(shown.lower())
-    han = len(_HAN.findall(shown)) if not shown.isascii() else 0
-    n = len(words) + han // 3
-    ended = bool(_PROSE_END.search(body))
-    if n <= 2 and len(body) <= 18 and han <= 4 and not ended and out[-1] not in _BODY:
+    if label := _LABEL.match(body):
+        out.append(_AT["label_only" if label.end() == len(body) else "labelled"])
+        out.append(crc32(b"label " + key(label[1]).encode("utf-8", "replace")) % WORDS)
+    if n <= 2 and len(body) <= 18 and not ended and not _BODY & set(out):
         out.append(_AT["tiny"])
-    extended = len(shown) > 200 and not links  # few words of such a length are no menu entry
-    out.append(_AT["more_words" if extended else "one_word" if n <= 1 else "two_words" if n == 2 else "six_words" if n <= 6 else "twelve_words" if n <= 12 else "more_words"])
+    out.append(_AT["one_word" if n <= 1 else "two_words" if n == 2 else "six_words" if n <= 6 else "twelve_words" if n <= 12 else "more_words"])
     if ended:
         out.append(_AT["sentence"])
-    if len(shown) > 110 or han > 40:
+    if n > 18:
         out.append(_AT["long"])
-    if " " not in body and not extended:
+    if " " not in body:
         out.append(_AT["no_space"])
-    low = " ".join(body.lower().split())
-    out += [_AT[f"cue_{k}"] for k, c in zip(_KINDS, _CUE) if c.search(low)]
-    if n <= 30:
-        out += {crc32(w.encode()) % WORDS for w in words}
-    return tuple(sorted(out))
+    out += [crc32(w.encode("utf-8", "replace")) % WORDS for w in words]
+    return tuple(sorted(set(out)))
+
+
+_remembered = lru_cache(maxsize=60_000)(_features)
 
 
 def menu_like(own: tuple[int, ...]) -> bool:
@@ -151,22 +148,111 @@ def menu_like(own: tuple[int, ...]) -> bool:
     return not f & _BODY and bool(f & {_AT["tiny"], _AT["links_only"]} or (_AT["short_segments"] in f and _AT["sentence"] not in f and _AT["crumbs"] not in f))
 
 
-def weak_label(s: str, own: tuple[int, ...], places: set[str]) -> int | None:
-    """1 furniture, 0 main content, None where the line alone doesn't say. ``places``: words of menu-like lines."""
-    f = set(own)
-    if f & _BODY:
+class Page:
+    """A page's non-blank lines with their numbers, features and places."""
+
+    __slots__ = ("lines", "numbers", "owns", "code", "title", "underlined")
+
+    def __init__(self, text: str):
+        whole = [x.strip() for x in text.split("\n")]
+        code = code_lines(whole)
+        self.numbers = [k for k, s in enumerate(whole) if s]
+        self.lines = [whole[k] for k in self.numbers]
+        self.code = [code[k] for k in self.numbers]
+        self.owns = [features(s) for s in self.lines]
+        rule = _AT["underline"]
+        #: Headings that a rule of = or - underlines.
+        self.underlined = [
+            i + 1 < len(self.lines) and rule in self.owns[i + 1] and self.numbers[i + 1] == self.numbers[i] + 1 and self.lines[i + 1][0] in "=-" and not marker(s) and not self.code[i]
+            for i, s in enumerate(self.lines)
+        ]
+        #: The first heading; or, where long sentences come first, the line above them.
+        self.title = -1
+        for i, o in enumerate(self.owns):
+            if self.underlined[i] or (_AT["heading"] in o and not self.code[i]):
+                self.title = i
+                break
+            if _AT["sentence"] in o and _AT["more_words"] in o and not {_AT["segments2"], _AT["segments3"]} & set(o):
+                self.title = i - 1
+                break
+
+    def places(self, i: int) -> tuple[int, ...]:
+        """The features that a line has by its place in the page."""
+        out, n = [], len(self.lines)
+        if i < self.title:
+            out.append(_AT["before_title"])
+        elif i <= self.title + 2:
+            out.append(_AT["below_title"])
+        if i < FIRST:
+            out.append(_AT["first_lines"])
+        if i >= n - LAST:
+            out.append(_AT["last_lines"])
+        if i >= n - NEAR:
+            out.append(_AT["near_end"])
+        return tuple(out)
+
+    def plain_heading(self, i: int) -> tuple[int, ...]:
+        """The features of a heading as if it weren't marked as one; empty for other lines. Titles often stand so."""
+        s = self.lines[i].lstrip("# ") if _AT["heading"] in self.owns[i] and not self.code[i] else self.lines[i] if self.underlined[i] else ""
+        return features(s) + self.places(i) + ((_AT["before_title"],) if s and i == self.title else ()) if s else ()
+
+    def edge(self, i: int) -> bool:
+        """Above the title, within three lines below it, or near the end."""
+        return i < self.title + 4 or i >= len(self.lines) - NEAR
+
+    def rim(self, i: int) -> bool:
+        """Above the title or at the very end: where a repeated sentence or long line is no note."""
+        return i < self.title or i >= len(self.lines) - LAST
+
+    def body(self, i: int) -> bool:
+        """Headings, rules, code, tables, quotes and bold notes are content whatever they say."""
+        return self.code[i] or self.underlined[i] or not _BODY.isdisjoint(self.owns[i])
+
+
+class Sample:
+    """What the pages of a sample have in common: where their lines stand, the words of their menus, how their rows and short lines open."""
+
+    def __init__(self, pages: list[Page], repeated: set[str], least: int):
+        self.least = least
+        lines = {(s, o) for p in pages for s, o in zip(p.lines, p.owns)}
+        met = Counter(w for s, own in lines if menu_like(own) for w in set(tokens(s)))
+        self.names = {w for w, n in met.items() if n > 1}
+        self.labels = Counter(x for p in pages for x in {label_of(s) for s in p.lines} if x)
+        self.openings = Counter(x for p in pages for x in {opening(s) for i, s in enumerate(p.lines) if p.edge(i) and not p.body(i)} if x)
+        at, edge = Counter(), Counter()
+        for p in pages:
+            for i, (s, own) in enumerate(zip(p.lines, p.owns)):
+                if (k := key(s)) in repeated:
+                    at[k] += 1
+                    edge[k] += p.rim(i) if _AT["more_words"] in own or (_AT["sentence"] in own and not _SHORT & set(own)) else p.edge(i)
+        #: Repeated lines that mostly stand above the title, just below it or near the end, as site furniture does; and the others.
+        self.outer = {k for k, n in at.items() if edge[k] >= 0.7 * n}
+        self.inner = set(at) - self.outer
+
+    def weak_label(self, page: Page, i: int) -> int | None:
+        """1 furniture, 0 main content, None where nothing tells."""
+        if page.body(i):
+            return 0
+        f, s = set(page.owns[i]), page.lines[i]
+        k = key(s)
+        if k in self.outer:
+            return 1
+        ended = _AT["sentence"] in f
+        if menu_like(page.owns[i]) or f & _LINKS or (_AT["short_segments"] in f and not ended):
+            return 1
+        if not ended and f & {_AT["segments2"], _AT["segments3"]} and self.labels[label_of(s)] >= self.least:
+            return 1
+        if not ended and 2 < len(w := tokens(s)) < 13 and self.names.issuperset(w):
+            return 1
+        if page.edge(i) and self.openings[opening(s)] >= self.least:
+            return 1
+        if k in self.inner:  # furniture amid the text, or a note
+            return None if ended or _AT["more_words"] in f else 1
+        if ended and f & {_AT["twelve_words"], _AT["more_words"]}:
+            return 0
+        if f & {_AT["segments3"]} or page.edge(i):
+            return None
         return 0
-    if f & _CUE_NUMBERS and (_AT["more_words"] not in f or (_AT["cue_related"] in f and _AT["segments3"] in f)):
-        return 1
-    if f & _CUE_NUMBERS and _AT["long"] in f:
-        return None  # a long notice, or prose that has the words of one
-    if menu_like(own) or f & _FURNITURE or (_AT["short_segments"] in f and _AT["sentence"] not in f):
-        return 1
-    if _AT["sentence"] not in f and 2 < len(w := _WORDS.findall(s.lower())) < 13 and places.issuperset(w):
-        return 1
-    if _AT["segments3"] in f and _AT["long"] not in f:
-        return None
-    return 0
 
 
 def code_lines(lines: list[str]) -> list[bool]:
@@ -194,9 +280,5 @@ def code_lines(lines: list[str]) -> list[bool]:
     return out
 
 
-def words(s: str) -> set[str]:
-    return set(_WORDS.findall(s.lower()))
-
-
 def shape(name: str) -> int:
     return _AT[name]
