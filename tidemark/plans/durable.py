@@ -47,10 +47,18 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def grouped(df: DataFrame, key: str) -> DataFrame:
-    """Bring rows of a key together in as many partitions as are set, two a core at least.
+#: Bytes that a task is to read of a shuffle whose number of partitions is set here.
+TASK_BYTES = 64 << 20
+
+
+def parts_for(spark: SparkSession, size: float = 0) -> int:
+    """As many partitions as are set, two a core at least, and enough for ``size`` bytes."""
+    return max(shuffle_parts(spark), 2 * cores(spark), -(-int(size) // TASK_BYTES))
+
+
+def grouped(df: DataFrame, key: str, size: float = 0) -> DataFrame:
+    """Bring rows of a key together in :func:`parts_for` partitions for ``size`` bytes.
 
     Groups that take long but are small in bytes would else be coalesced into a few tasks.
     """
-    spark = df.sparkSession
-    return df.repartition(max(shuffle_parts(spark), 2 * cores(spark)), key)
+    return df.repartition(parts_for(df.sparkSession, size), key)
