@@ -225,3 +225,22 @@ def test_shared_spans_equal_brute_force(spark):
     part = {x.doc_id: x for x in shared_spans.shared_part(df.where("doc_id is not null"), least=40).collect()}
     assert part[200].shared_chars == 0 and part[101].shared == 1.0 and part[203].shared_chars == 3000
     assert shared_spans.shared_spans(df.limit(0), least=40).count() == 0
+
+
+def test_trees_go_deeper_than_their_sample():
+    r = np.random.default_rng(3)
+    tree = neighbours.Tree(r.standard_normal((64, 4)).astype(np.float32), 6)
+    assert (tree.base, tree.depth) == (3, 6)
+    x = r.standard_normal((4000, 4)).astype(np.float32)
+    cells = tree.route(x)
+    assert cells.min() >= 0 and cells.max() < 64 and len(np.unique(cells)) > 40
+    row, cell = tree.within(x, np.zeros(len(x)))
+    assert (cell[np.argsort(row)] == cells).all()
+    row, cell = tree.within(x[:9], np.full(9, np.inf))
+    assert sorted(zip(row.tolist(), cell.tolist())) == [(i, c) for i in range(9) for c in range(64)]
+    near = 0.97 * x + (1 - 0.97**2) ** 0.5 * r.standard_normal(x.shape).astype(np.float32)
+    p = tree.stays(x, np.full(len(x), 0.97))
+    assert abs(p.mean() - (tree.route(near) == cells).mean()) < 0.08
+    reach = tree.reach(x, np.full(len(x), 0.97), 0.8, r)
+    assert (tree.gaps(x, near) <= reach).mean() > 0.75
+    assert neighbours.trees_needed(0, 0.9, 0.98) == 1 and neighbours.trees_needed(7, 0.9, 0.98) == 10 < neighbours.trees_needed(12, 0.9, 0.98)

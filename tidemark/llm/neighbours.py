@@ -14,10 +14,12 @@ from tidemark.plans.durable import BROADCAST_ROWS, cut, grouped, spread
 from tidemark.plans.skew import salted_join
 
 SEED = 20240229
-#: Vectors the driver's trees are fitted on, and the most cells a tree may have; all vectors are indexed.
-SAMPLE_ROWS, MAX_CELLS = 20_000, 4_096
-#: Aimed size of a cell; rows of a block of the tree inside a cell.
-CELL_ROWS, BLOCK_ROWS = 4_096, 256
+#: Vectors the driver's trees are fitted on; all vectors are indexed. Samples that a fitted leaf needs.
+SAMPLE_ROWS, LEAF_SAMPLE = 20_000, 8
+#: Aimed size of a cell, for tables of up to so many rows (:func:`cell_size`); rows of a block of the tree inside a cell.
+CELL_ROWS, CELL_BASE, BLOCK_ROWS = 4_096, 1 << 19, 256
+#: Trees at least; the probability below which a row is sent to further cells.
+TREES, FLOOR = 10, 0.9
 #: Places that a neighbour is drawn at, for each row and tree, to see how far beyond its own cell a row is to be sent.
 DRAWS = 16
 #: Added to cosines of 32-bit sums where a bound is to hold.
@@ -77,26 +79,109 @@ def projections(dim: int, m: int, trees: int) -> np.ndarray:
     return np.random.default_rng(SEED + 1).standard_normal((dim, m * trees)).astype(np.float32)
 
 
-def fit_tree(points: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """A kd-tree's splits, as a heap: each halves its sample at the median of the widest dimension."""
-    dims, cuts = np.zeros((1 << depth) - 1, np.int32), np.zeros((1 << depth) - 1, np.float32)
-    held = {0: np.arange(len(points))}
-    for node in range(len(dims)):
-        own = held.pop(node, np.zeros(0, int))
-        if len(own) > 1:
-            dims[node] = d = int(points[own].std(axis=0).argmax())
-            cuts[node] = np.median(points[own, d])
-        side = points[own, dims[node]] > cuts[node]
-        held[2 * node + 1], held[2 * node + 2] = own[~side], own[side]
-    return dims, cuts
+def cell_size(n: int) -> float:
+    """The aimed size of a cell: it grows with the third root of large tables, so that the trees needed grow less."""
+    return CELL_ROWS * max(1.0, n / CELL_BASE) ** (1 / 3)
 
 
-def route(points: np.ndarray, tree: tuple[np.ndarray, np.ndarray], depth: int) -> np.ndarray:
-    dims, cuts = tree
-    node, rows = np.zeros(len(points), np.int64), np.arange(len(points))
-    for _ in range(depth):
-        node = 2 * node + 1 + (points[rows, dims[node]] > cuts[node])
-    return node - ((1 << depth) - 1)
+def trees_needed(depth: int, cosine: float, probability: float) -> int:
+    """So many own cells that two vectors of that cosine share one with ``probability``: a median split parts them at the share of their angle."""
+    same = (1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi) ** depth
+    return 1 if same >= probability else math.ceil(math.log(1 - probability) / math.log(1 - same))
+
+
+def _normal(z: np.ndarray) -> np.ndarray:
+    """The normal distribution, to 2e-4."""
+    z = np.clip(z, -8, 8)
+    return 1 / (1 + np.exp(-(1.5976 * z + 0.07056 * z**3)))
+
+
+class Tree:
+    """A kd-tree's upper splits, fitted on a sample: each halves it at the median of the widest dimension.
+
+    A leaf that the sample can't split further is halved once more along each dimension, at the medians of its
+    sample, so ``depth`` may exceed what the sample carries by as many levels as there are dimensions.
+    """
+
+    def __init__(self, points: np.ndarray, depth: int):
+        m = points.shape[1]
+        self.base = min(depth, int(math.log2(max(1, len(points) // LEAF_SAMPLE))))
+        self.depth = min(depth, self.base + m)
+        self.dims, self.cuts = np.zeros((1 << self.base) - 1, np.int32), np.zeros((1 << self.base) - 1, np.float32)
+        self.middle = np.zeros((1 << self.base, m), np.float32)
+        held = {0: np.arange(len(points))}
+        for node in range((1 << self.base) - 1):
+            own = held.pop(node)
+            if len(own) > 1:
+                self.dims[node] = d = int(points[own].std(axis=0).argmax())
+                self.cuts[node] = np.median(points[own, d])
+            side = points[own, self.dims[node]] > self.cuts[node]
+            held[2 * node + 1], held[2 * node + 2] = own[~side], own[side]
+        for node, own in held.items():
+            if len(own):
+                self.middle[node - ((1 << self.base) - 1)] = np.median(points[own], axis=0)
+
+    def split(self, level: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The dimension and place of the split below each node of a level."""
+        if level < self.base:
+            return self.dims[node], self.cuts[node]
+        d = np.full(len(node), level - self.base)
+        leaf = ((node + 1) >> (level - self.base)) - (1 << self.base)
+        return d, self.middle[leaf, d]
+
+    def cell(self, node: np.ndarray) -> np.ndarray:
+        return node - ((1 << self.depth) - 1)
+
+    def route(self, points: np.ndarray) -> np.ndarray:
+        """The cell of each point."""
+        node, rows = np.zeros(len(points), np.int64), np.arange(len(points))
+        for level in range(self.depth):
+            d, c = self.split(level, node)
+            node = 2 * node + 1 + (points[rows, d] > c)
+        return self.cell(node)
+
+    def stays(self, points: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+        """The probability that a neighbour at ``cosine`` lies in the same cell, from below: its projection is normal with that correlation."""
+        node, rows, p = np.zeros(len(points), np.int64), np.arange(len(points)), np.ones(len(points))
+        wide = np.sqrt(np.maximum(1 - cosine * cosine, 1e-6))
+        for level in range(self.depth):
+            d, c = self.split(level, node)
+            own = points[rows, d]
+            side = own > c
+            p *= _normal(np.where(side, 1, -1) * (cosine * own - c) / wide)
+            node = 2 * node + 1 + side
+        return p
+
+    def gaps(self, points: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Squared distance of each point to the cell that the other point of its row lies in."""
+        node, rows, off = np.zeros(len(points), np.int64), np.arange(len(points)), np.zeros_like(points)
+        for level in range(self.depth):
+            d, c = self.split(level, node)
+            own, side = points[rows, d], others[rows, d] > c
+            off[rows, d] = np.where((own > c) != side, np.maximum(off[rows, d], np.abs(own - c)), off[rows, d])
+            node = 2 * node + 1 + side
+        return (off * off).sum(axis=1)
+
+    def within(self, points: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, cells): each point's own cell, and all others whose squared distance to it is at most ``reach``."""
+        row, node, off = np.arange(len(points)), np.zeros(len(points), np.int64), np.zeros_like(points)
+        for level in range(self.depth):
+            d, c = self.split(level, node)
+            own = points[row, d]
+            side = own > c
+            over = off.copy()
+            i = np.arange(len(row))
+            over[i, d] = np.maximum(over[i, d], np.abs(own - c))
+            ok = (over * over).sum(axis=1) <= reach[row]
+            row, off = np.concatenate([row, row[ok]]), np.concatenate([off, over[ok]])
+            node = np.concatenate([2 * node + 1 + side, 2 * node[ok] + 1 + ~side[ok]])
+        return row, self.cell(node)
+
+    def reach(self, points: np.ndarray, cosine: np.ndarray, share: float, random: np.random.Generator) -> np.ndarray:
+        """The squared distance to cells within which a neighbour at ``cosine`` lies with a probability of ``share``: places of it are drawn."""
+        c = cosine[:, None]
+        drawn = [self.gaps(points, (c * points + np.sqrt(1 - c * c) * random.standard_normal(points.shape)).astype(np.float32)) for _ in range(DRAWS)]
+        return np.sort(np.stack(drawn), axis=0)[min(DRAWS, math.ceil(share * DRAWS)) - 1]
 
 
 def _blocks(points: np.ndarray, most: int) -> list[np.ndarray]:
@@ -112,45 +197,6 @@ def _blocks(points: np.ndarray, most: int) -> list[np.ndarray]:
     return out
 
 
-def _gaps(points: np.ndarray, others: np.ndarray, tree: tuple[np.ndarray, np.ndarray], depth: int) -> np.ndarray:
-    """Squared distance of each point to the cell that the other point of its row lies in."""
-    dims, cuts = tree
-    node, rows, off = np.zeros(len(points), np.int64), np.arange(len(points)), np.zeros_like(points)
-    for _ in range(depth):
-        d, c = dims[node], cuts[node]
-        own, side = points[rows, d], others[rows, d] > c
-        off[rows, d] = np.where((own > c) != side, np.maximum(off[rows, d], np.abs(own - c)), off[rows, d])
-        node = 2 * node + 1 + side
-    return (off * off).sum(axis=1)
-
-
-def cells_within(points: np.ndarray, reach: np.ndarray, tree: tuple[np.ndarray, np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, cells): each point's own cell, and all others whose squared distance to it is at most ``reach``."""
-    dims, cuts = tree
-    row, node, off = np.arange(len(points)), np.zeros(len(points), np.int64), np.zeros_like(points)
-    for _ in range(depth):
-        d, c = dims[node], cuts[node]
-        own = points[row, d]
-        side = own > c
-        over = off.copy()
-        i = np.arange(len(row))
-        over[i, d] = np.maximum(over[i, d], np.abs(own - c))
-        ok = (over * over).sum(axis=1) <= reach[row]
-        row, off = np.concatenate([row, row[ok]]), np.concatenate([off, over[ok]])
-        node = np.concatenate([2 * node + 1 + side, 2 * node[ok] + 1 + ~side[ok]])
-    return row, node - ((1 << depth) - 1)
-
-
-def reach_of(points: np.ndarray, cosine: np.ndarray, tree: tuple[np.ndarray, np.ndarray], depth: int, share: float, random: np.random.Generator) -> np.ndarray:
-    """The squared distance to cells within which a neighbour at ``cosine`` lies with a probability of ``share``.
-
-    Projections of two unit vectors are normal with their cosine as correlation, so places of the neighbour are drawn from that.
-    """
-    c = cosine[:, None]
-    drawn = [_gaps(points, (c * points + np.sqrt(1 - c * c) * random.standard_normal(points.shape)).astype(np.float32), tree, depth) for _ in range(DRAWS)]
-    return np.sort(np.stack(drawn), axis=0)[min(DRAWS, math.ceil(share * DRAWS)) - 1]
-
-
 def _wider(cosine: np.ndarray, angle: np.ndarray) -> np.ndarray:
     """The cosine of an angle larger by ``angle``."""
     wide = np.cos(np.minimum(np.arccos(np.clip(cosine, -1, 1)) + angle, math.pi)) - ROUNDING
@@ -233,17 +279,19 @@ def _vectors(df: DataFrame, vec_col: str, dim: int) -> DataFrame:
     return df.select(F.col(vec_col).alias("v")).mapInArrow(run, "h long, x binary")
 
 
-def _first_cells(df: DataFrame, id_col: str, vec_col: str, dim: int, m: int, trees: int) -> tuple[DataFrame, list, int]:
-    """Rows (cell, h, wrong, q): each vector in 8 bits, the angle it is wrong by, and its cell in the first tree; the trees, their depth."""
+def _first_cells(
+    df: DataFrame, id_col: str, vec_col: str, dim: int, m: int, trees: int | None, cosine: float, probability: float
+) -> tuple[DataFrame, list[Tree], np.ndarray, int]:
+    """Rows (cell, h, wrong, q): each vector in 8 bits, the angle it is wrong by, and its cell in the first tree; the trees, their projections, the number of rows."""
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(vec_col).alias("v")).where(F.size("v") == dim)
     n = df.count()
-    wide = projections(dim, m, trees)
     sample = rows.sample(False, min(1.0, SAMPLE_ROWS / max(n, 1)), SEED).limit(2 * SAMPLE_ROWS).toArrow()
     _, x = _dense(sample.column("v"), dim) if sample.num_rows else (None, np.zeros((0, dim), np.float32))
     x = np.unique(x, axis=0) if len(x) else x
-    depth = max(0, math.ceil(math.log2(max(1, n / CELL_ROWS))))
-    depth = min(depth, int(math.log2(MAX_CELLS)), int(math.log2(max(1, len(x) // 8))) if len(x) >= 8 else 0)
-    forest = [fit_tree(x @ wide[:, t * m : (t + 1) * m], depth) for t in range(trees)]
+    depth = max(0, math.ceil(math.log2(max(1, n / cell_size(n)))))
+    trees = trees or max(TREES, trees_needed(depth, cosine, probability))
+    wide = projections(dim, m, trees)
+    forest = [Tree(x @ wide[:, t * m : (t + 1) * m], depth) for t in range(trees)]
     tree = forest[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,10 +310,10 @@ def _first_cells(df: DataFrame, id_col: str, vec_col: str, dim: int, m: int, tre
             off = np.sqrt(((q * scale[:, None].astype(np.float64) - x) ** 2).sum(axis=1))
             wrong = np.arcsin(np.minimum(off, 1)) * 1.001 + 1e-6
             data = pa.array([r.tobytes() for r in q], pa.binary())
-            cell = route(_unit(q) @ wide[:, :m], tree, depth)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(h), pa.array(wrong.astype(np.float32)), data], ["cell", "h", "wrong", "q"])
+            cell = tree.route(_unit(q) @ wide[:, :m])
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(h), pa.array(wrong.astype(np.float32)), data], ["cell", "h", "wrong", "q"])
 
-    return spread(rows).mapInArrow(run, "cell int, h long, wrong float, q binary"), forest, depth
+    return spread(rows).mapInArrow(run, "cell long, h long, wrong float, q binary"), forest, wide, n
 
 
 def _unit(q: np.ndarray) -> np.ndarray:
@@ -274,7 +322,7 @@ def _unit(q: np.ndarray) -> np.ndarray:
 
 
 def similar_pairs(
-    df: DataFrame, id_col: str, vec_col: str, *, k: int = 5, min_cosine: float = 0.9, dim: int = 64, m: int = 8, trees: int = 8, probability: float = 0.98
+    df: DataFrame, id_col: str, vec_col: str, *, k: int = 5, min_cosine: float = 0.9, dim: int = 64, m: int = 8, trees: int | None = None, probability: float = 0.98
 ) -> DataFrame:
     """Rows (a, b, cosine), a < b: one of the two is among the ``k`` most similar of the other, at ``min_cosine`` or more.
 
@@ -283,49 +331,78 @@ def similar_pairs(
     search; among ids equally similar the smaller come first, so of a group of copies each member pairs with the first
     ``k`` others. Extra columns are ignored; an empty table gives no rows.
 
-    Method: ``trees`` Gaussian projections to ``m`` dimensions, each indexed by a kd-tree whose upper splits are fitted
-    on at most 2 x 20,000 sampled vectors. Splits at medians keep cells even where vectors crowd. A first round searches
-    the first tree's cells alone, which bounds each row's k-th best. Then each row is sent to its own cell of every tree and
-    to all cells near enough (:func:`reach_of`) that a neighbour at that bound, or at ``min_cosine``, is in a cell met of at least
-    one tree with ``probability``, however deep the trees are; nearer ones more likely. A cell is searched through a
-    kd-tree of its own until the chi-square test of ``probability`` holds. Cosines there are of 8-bit vectors, whose error in
-    angle is known: every candidate that can be among the k best goes on, and exact cosines decide.
+    Method: Gaussian projections to ``m`` dimensions, each indexed by a kd-tree whose upper splits are fitted on at most
+    2 x 20,000 sampled vectors (:class:`Tree`). Splits at medians keep cells even where vectors crowd. There are as many trees, ten
+    at least, as two vectors at ``min_cosine`` need to share a cell of one with ``probability``; that number grows with the trees' depth, cells
+    with the third root of the table. A first round searches the first tree's cells, which gives a bound for each row's k-th
+    best. Rows go on to their own cells of the other trees; where these would meet a neighbour at that bound with less than
+    a probability of 0.9, as in a crowd whose members are hardly nearer than the cells are wide, also to all cells near enough that it
+    is met with ``probability``. A cell is searched through a kd-tree of its own until the chi-square test of
+    ``probability`` holds. Cosines there are of 8-bit vectors, whose error in angle is known: every candidate that can be among the k
+    best goes on, and exact cosines decide.
     """
     chi = chi_square_quantile(probability, m)
     ids = _hashes(df, id_col, vec_col, dim)
     members = cut(ids.groupBy("id").agg(F.min("h").alias("h"), (F.min("h") < F.max("h")).alias("several")))
-    first_cells, forest, depth = _first_cells(df, id_col, vec_col, dim, m, trees)
+    first_cells, forest, wide, n_rows = _first_cells(df, id_col, vec_col, dim, m, trees, min_cosine, probability)
+    trees, depth = len(forest), forest[0].depth
     if not members.where("several").isEmpty():  # vectors that are no id's must not take a place among the k best
         first_cells = first_cells.join(ids.join(members.select("h"), "h", "left_anti").select("h").distinct(), "h", "left_anti").select("cell", "h", "wrong", "q")
     members = members.select("id", "h")
-    wide, share = projections(dim, m, trees), 1 - (1 - probability) ** (1 / trees)
+    share = 1 - (1 - probability) ** (1 / max(1, trees - 1))
     shared = df.sparkSession.sparkContext.broadcast(forest)
 
     def read(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         q = np.frombuffer(b"".join(table.column("q").to_pylist()), np.int8).reshape(-1, dim)
         return q, table.column("wrong").to_numpy().astype(np.float64)
 
+    def rows_in(table: pa.Table, cell: np.ndarray, home: bool) -> pa.Table:
+        return pa.table({"cell": cell.astype(np.int64), "home": np.full(len(cell), home), **{c: table.column(c) for c in ("h", "wrong", "sure", "q")}})
+
+    def pairs_of(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        lo, hi = np.minimum(h[a], h[b]), np.maximum(h[a], h[b])
+        return np.unique(np.stack([lo, hi], axis=1), axis=0) if len(lo) else np.zeros((0, 2), np.int64)
+
+    def as_rows(pairs: np.ndarray) -> pa.Table:
+        """Pairs of the first round go with the vectors of the second, in groups below 0."""
+        none = np.zeros(len(pairs))
+        names = pa.array([x.tobytes() for x in pairs[:, 1]], pa.binary())
+        cell = -1 - (pairs[:, 0] & np.int64(1023))
+        return pa.table({"cell": cell, "home": none.astype(bool), "h": pairs[:, 0], "wrong": none.astype(np.float32), "sure": none, "q": names})
+
     def send(table: pa.Table) -> pa.Table:
         _, first = np.unique(table.column("h").to_numpy(), return_index=True)
         table = table.take(pa.array(first))
         q, wrong = read(table)
         x = _unit(q)
         p = x @ wide
-        sure = _search(x, p[:, :m], np.arange(len(x)), x, p[:, :m], k, np.full(len(x), min_cosine), wrong + wrong.max(), chi)[3]
+        a, b, _, sure = _search(x, p[:, :m], np.arange(len(x)), x, p[:, :m], k, np.full(len(x), min_cosine), wrong + wrong.max(), chi)
         random = np.random.default_rng(SEED + 2)
         table = table.append_column("sure", pa.array(sure))
-        out = []
+        out = [as_rows(pairs_of(table.column("h").to_numpy(), a, b))]
+        place = lambda t: p[:, t * m : (t + 1) * m]
+        missed = np.ones(len(x))
         for t in range(trees):
-            for i in range(0, len(x), 1024):
-                at = p[i : i + 1024, t * m : (t + 1) * m]
-                row, cell = cells_within(at, reach_of(at, sure[i : i + 1024], shared.value[t], depth, share, random), shared.value[t], depth)
-                home = route(at, shared.value[t], depth)[row] == cell
-                part = table.take(pa.array(row + i))
-                out.append(pa.table({"cell": (cell + (t << depth)).astype(np.int32), "home": home, **{c: part.column(c) for c in ("h", "wrong", "sure", "q")}}))
+            missed *= 1 - shared.value[t].stays(place(t), sure)
+        far = np.flatnonzero(missed > 1 - FLOOR)
+        for t in range(1, trees):
+            tree = shared.value[t]
+            own = tree.route(place(t))
+            out.append(rows_in(table, own + (t << depth), True))
+            for i in range(0, len(far), 1024):
+                some = far[i : i + 1024]
+                at = place(t)[some]
+                row, cell = tree.within(at, tree.reach(at, sure[some], share, random))
+                other = own[some][row] != cell
+                out.append(rows_in(table.take(pa.array(some[row[other]])), cell[other] + (t << depth), False))
         return pa.concat_tables(out)
 
     def search(table: pa.Table) -> pa.Table:
-        tree = table.column("cell")[0].as_py() >> depth
+        cell = table.column("cell")[0].as_py()
+        if cell < 0:
+            pairs = np.stack([table.column("h").to_numpy(), np.frombuffer(b"".join(table.column("q").to_pylist()), np.int64)], axis=1)
+            return pa.table({"ha": pairs[:, 0], "hb": pairs[:, 1]})
+        tree = cell >> depth
         home = table.column("home").to_numpy()
         table = pa.concat_tables([table.filter(pa.array(home)), table.filter(pa.array(~home))])
         h, n = table.column("h").to_numpy(), int(home.sum())
@@ -336,12 +413,12 @@ def similar_pairs(
         if not n:
             return pa.table({"ha": np.zeros(0, np.int64), "hb": np.zeros(0, np.int64)})
         a, b, _, _ = _search(x, p, own, x[:n], p[:n], k, table.column("sure").to_numpy(), wrong + wrong[:n].max(), chi)
-        lo, hi = np.minimum(h[a], h[b]), np.maximum(h[a], h[b])
-        pairs = np.unique(np.stack([lo, hi], axis=1), axis=0) if len(lo) else np.zeros((0, 2), np.int64)
+        pairs = pairs_of(h, a, b)
         return pa.table({"ha": pairs[:, 0], "hb": pairs[:, 1]})
 
-    cells = grouped(first_cells, "cell").groupBy("cell").applyInArrow(send, "cell int, home boolean, h long, wrong float, sure double, q binary")
-    rough = cut(grouped(cells, "cell").groupBy("cell").applyInArrow(search, "ha long, hb long").distinct())
+    size = n_rows * (dim + 32)
+    cells = grouped(first_cells, "cell", size).groupBy("cell").applyInArrow(send, "cell long, home boolean, h long, wrong float, sure double, q binary")
+    rough = cut(grouped(cells, "cell", size * (trees - 1)).groupBy("cell").applyInArrow(search, "ha long, hb long").distinct())
     wanted = rough.select(F.explode(F.array("ha", "hb")).alias("h")).distinct()
     if rough.count() <= BROADCAST_ROWS:  # at most two ids of 8 bytes a pair
         wanted = F.broadcast(wanted)
