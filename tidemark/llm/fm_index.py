@@ -96,8 +96,8 @@ class FMIndex:
     def __init__(self, texts: list[np.ndarray], owner: np.ndarray, many: np.ndarray):
         letters = np.unique(np.concatenate(texts)) if texts else np.zeros(0, np.uint32)
         self.letters = letters
-        self.parts = [np.searchsorted(letters, t).astype(np.int64) + 1 for t in texts]
-        sep = np.zeros(1, np.int64)
+        self.parts = [(np.searchsorted(letters, t) + 1).astype(np.int32) for t in texts]
+        sep = np.zeros(1, np.int32)
         joined = np.concatenate([x for p in self.parts for x in (p, sep)])
         order = suffix_order(joined)
         last = joined[order - 1]
@@ -107,11 +107,12 @@ class FMIndex:
         self.before = np.concatenate([[0], np.cumsum(count)])
         self.base = self.tree.rank(np.arange(len(letters) + 1), np.zeros(len(letters) + 1, np.int64))
         lengths = np.array([len(p) + 1 for p in self.parts])
-        text_of = np.repeat(np.arange(len(lengths)), lengths)[order]
-        change = np.zeros(len(order) + 1, np.int64)
+        text_of = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[order]
+        change = np.zeros(len(order) + 1, np.int32)  # rows are fewer than 2**31
         change[2:] = np.cumsum(owner[text_of][1:] != owner[text_of][:-1])
         self.change = change
-        self.many = np.concatenate([[0], np.cumsum(many[text_of])])
+        self.many = np.zeros(len(order) + 1, np.int32)
+        self.many[1:] = np.cumsum(many[text_of])
         self.size = len(order)
 
     def shared(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -141,7 +142,7 @@ def shared_ranges(index: FMIndex, least: int, chunk: int = 600) -> list[np.ndarr
     """
     parts = index.parts
     size = np.array([len(p) for p in parts], np.int64)
-    text = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    text = np.concatenate(parts) if parts else np.zeros(0, np.int32)
     begin = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else np.zeros(0, np.int64)
     pieces = np.maximum(0, -(-(size - least + 1) // chunk))
     who = np.repeat(np.arange(len(size)), pieces)

@@ -31,8 +31,8 @@ class Windows:
     Two equal windows have equal grams, so they lie in runs of one mark, wherever they stand.
     """
 
-    def __init__(self, least: int):
-        self.least, self.gram = least, min(GRAM, max(1, least // 2))
+    def __init__(self, least: int, gram: int | None = None):
+        self.least, self.gram = least, gram or min(GRAM, max(1, least // 2))
         self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
     def _powers(self, n: int) -> None:
@@ -86,11 +86,11 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def _marks(docs: DataFrame, least: int) -> DataFrame:
+def _marks(texts: DataFrame, least: int, gram: int | None) -> DataFrame:
     """Rows (mark, id): the different marks of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(least)
+        windows = Windows(least, gram)
         for b in batches:
             ids, marks = [], []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -99,34 +99,34 @@ def _marks(docs: DataFrame, least: int) -> DataFrame:
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(marks).view(np.int64)), pa.array(np.concatenate(ids))], ["mark", "id"])
 
-    return docs.mapInArrow(run, "mark long, id long")
+    return texts.select("id", "text").mapInArrow(run, "mark long, id long")
 
 
-def _regions(docs: DataFrame, least: int) -> DataFrame:
+def _cut_out(texts: DataFrame, least: int, gram: int | None) -> DataFrame:
     """Rows (id, grp, at, piece): the stretches of each text whose marks belong to one group, neighbours joined.
 
-    ``docs`` has id, text and ``wanted``, an array of structs (mark, grp).
+    ``texts`` has id, at (where the text begins in its document), text and ``wanted``, an array of structs (mark, grp).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(least)
+        windows = Windows(least, gram)
         for b in batches:
             rows: list[tuple] = []
-            for i, text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for i, at, text, wanted in zip(*(b.column(c).to_pylist() for c in range(4))):
                 group = {x["mark"]: x["grp"] for x in wanted}
                 held: dict[int, list[tuple[int, int]]] = {}
                 for m, first, last in zip(*(z.tolist() for z in _signed(windows.runs(text)))):
                     if m in group:
                         held.setdefault(group[m], []).append((first, last + least))
                 for g, spans in held.items():
-                    rows += [(i, g, s, text[s:e]) for s, e in merge_spans(spans)]
+                    rows += [(i, g, at + s, text[s:e]) for s, e in merge_spans(spans)]
                 if len(rows) > 2000:
                     yield _region_batch(rows)
                     rows = []
             if rows:
                 yield _region_batch(rows)
 
-    return docs.select("id", "text", "wanted").mapInArrow(run, "id long, grp long, at long, piece string")
+    return texts.select("id", "at", "text", "wanted").mapInArrow(run, "id long, grp long, at long, piece string")
 
 
 def _signed(runs: tuple) -> tuple:
@@ -138,7 +138,24 @@ def _region_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["id", "grp", "at", "piece"])
 
 
-def _search(pieces: DataFrame, least: int, shards: int) -> DataFrame:
+def _regions(texts: DataFrame, least: int, gram: int | None, by_mark: bool) -> DataFrame:
+    """Rows (id, grp, at, piece, p1, p2): the stretches of ``texts`` (id, at, text) whose marks another document has too.
+
+    A mark's group is the smallest document that has it, or with ``by_mark`` the mark itself. Texts without such a mark
+    are left out before the rest moves, as long as the ids of the others are few enough to be broadcast.
+    """
+    marks = cut(_marks(texts, least, gram))
+    shared = marks.groupBy("mark").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
+    shared = shared.select("mark", F.col("mark" if by_mark else "low").alias("grp"))
+    hits = salted_join(marks, shared, ["mark"], "id", 4)
+    wanted = cut(hits.groupBy("id").agg(F.collect_set(F.struct("mark", "grp")).alias("wanted")))  # a text has no more than its own marks
+    if wanted.count() <= BROADCAST_ROWS:  # rows of 8 bytes
+        texts = texts.join(F.broadcast(wanted.select("id")), "id", "left_semi")
+    found = texts.join(wanted.hint("merge"), "id").dropDuplicates(["id", "at"])
+    return cut(_cut_out(found, least, gram).withColumn("p1", F.xxhash64("piece")).withColumn("p2", F.xxhash64("piece", F.lit(5))))
+
+
+def _search(pieces: DataFrame, least: int, shards: int, size: int) -> DataFrame:
     """Rows (grp, p1, p2, ranges) of the different pieces: a compressed index for each shard, all its pieces streamed through."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -152,28 +169,7 @@ def _search(pieces: DataFrame, least: int, shards: int) -> DataFrame:
         return pa.Table.from_arrays([*part.columns, ranges], ["grp", "p1", "p2", "ranges"])
 
     sharded = pieces.withColumn("shard", F.pmod(F.xxhash64("grp"), F.lit(shards)))
-    return grouped(sharded, "shard").groupBy("shard").applyInArrow(run, "grp long, p1 long, p2 long, ranges array<struct<s:long,e:long>>")
-
-
-def _window_ranges(regions: DataFrame, least: int) -> DataFrame:
-    """Rows (id, s, e) for groups too large for one shard: each window by a 128-bit hash, counted with map-side combining."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for b in batches:
-            rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())
-            for i, at, piece in ((i, at + k, p[k : k + SLICE // 10 + least - 1]) for i, at, p in rows for k in range(0, len(p) - least + 1, SLICE // 10)):
-                data = piece.encode("utf-32-le", "surrogatepass")
-                n = len(piece) - least + 1
-                digests = b"".join(xxhash.xxh3_128_digest(data[4 * k : 4 * (k + least)]) for k in range(n))
-                h = np.frombuffer(digests, np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i)), pa.array(at + np.arange(n)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["id", "s", "h1", "h2"])
-
-    windows = regions.select("id", "at", "piece").mapInArrow(run, "id long, s long, h1 long, h2 long")
-    known = windows.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("h1", "h2")
-    hits = salted_join(windows, known, ["h1", "h2"], "id")
-    return hits.select("id", "s", (F.col("s") + least).alias("e"))
+    return grouped(sharded, "shard", 4 * size).groupBy("shard").applyInArrow(run, "grp long, p1 long, p2 long, ranges array<struct<s:long,e:long>>")
 
 
 def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least: int = 300, shard: int = SHARD) -> DataFrame:
@@ -188,32 +184,32 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document that has them; a document's stretches of a group move to the shard of that group, equal ones
     collapsed into one that knows whether it stands for several documents. Each shard is an FM-index (suffix order, BWT in
     a wavelet tree); its texts are streamed through it by backward search, vectorised over all of them, and matching statistics
-    give the ranges of at least ``least`` whose rows belong to two documents. A group of more than four shards'
-    text, as of a notice that a third of all pages hold, has its windows counted by 128-bit hashes instead, which no task holds whole.
+    give the ranges of at least ``least`` whose rows belong to two documents.
+
+    A group whose different stretches fill more than a shard, as around a notice that a third of all pages hold, is cut finer and
+    goes through the same index: first into a group for each mark, then, where a gram alone stands in that many different
+    surroundings, by marks of whole windows, whose groups are single stretches of ``least``.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & (F.length("text") >= least))
-    docs = spread(docs)
-    marks = cut(_marks(docs, least))
-    shared = marks.groupBy("mark").agg(F.min("id").alias("grp"), F.max("id").alias("high")).where("grp <> high").select("mark", "grp")
-    hits = salted_join(marks, shared, ["mark"], "id", 4)
-    wanted = cut(hits.groupBy("id").agg(F.collect_set(F.struct("mark", "grp")).alias("wanted")))
-    if (wanted.select(F.sum(F.size("wanted"))).collect()[0][0] or 0) <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    found = docs.join(wanted, "id").dropDuplicates(["id"])
-    regions = cut(_regions(found, least).withColumn("p1", F.xxhash64("piece")).withColumn("p2", F.xxhash64("piece", F.lit(5))))
-    pieces = regions.groupBy("grp", "p1", "p2").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.first("piece").alias("piece"))
-    pieces = cut(pieces)
-    sizes = pieces.groupBy("grp").agg(F.sum(F.length("piece")).alias("size"))
-    total = sizes.agg(F.sum("size"), F.max("size")).collect()[0]
-    large = sizes.where(F.col("size") > 4 * shard).select("grp")
-    has_large = (total[1] or 0) > 4 * shard
-    small = pieces.join(F.broadcast(large), "grp", "left_anti") if has_large else pieces  # at most size / (4 * shard) groups
-    shards = max(shuffle_parts(df.sparkSession), -(-(total[0] or 0) // shard))
-    ranges = cut(_search(small, least, shards))
-    at = salted_join(regions.select("id", "grp", "at", "p1", "p2"), ranges, ["grp", "p1", "p2"], "id", 4)
-    spans = at.select("id", "at", F.explode("ranges").alias("r")).select("id", (F.col("at") + F.col("r.s")).alias("s"), (F.col("at") + F.col("r.e")).alias("e"))
-    if has_large:
-        spans = spans.union(_window_ranges(regions.join(F.broadcast(large), "grp", "left_semi"), least))
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.lit(0).cast("long").alias("at"), F.col(text_col).alias("text"))
+    texts = spread(docs.where(F.col("id").isNotNull() & (F.length("text") >= least)))
+    spans = None
+    for gram, by_mark in ((None, False), (None, True), (least, True)):
+        regions = _regions(texts, least, gram, by_mark)
+        pieces = cut(regions.groupBy("grp", "p1", "p2").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.first("piece").alias("piece")))
+        sizes = pieces.groupBy("grp").agg(F.sum(F.length("piece")).alias("size"))
+        total, most = sizes.agg(F.sum("size"), F.max("size")).collect()[0]
+        finer = gram != least and (most or 0) > shard
+        if finer:  # at most size / shard groups
+            large = F.broadcast(sizes.where(F.col("size") > shard).select("grp"))
+            texts = cut(regions.join(large, "grp", "left_semi").select("id", "at", F.col("piece").alias("text")))
+            pieces, regions = pieces.join(large, "grp", "left_anti"), regions.join(large, "grp", "left_anti")
+        shards = max(shuffle_parts(df.sparkSession), -(-(total or 0) // shard))
+        ranges = cut(_search(pieces, least, shards, total or 0))
+        at = salted_join(regions.select("id", "grp", "at", "p1", "p2"), ranges, ["grp", "p1", "p2"], "id", 4)
+        part = at.select("id", "at", F.explode("ranges").alias("r")).select("id", (F.col("at") + F.col("r.s")).alias("s"), (F.col("at") + F.col("r.e")).alias("e"))
+        spans = part if spans is None else spans.union(part)
+        if not finer:
+            break
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
