@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tidemark.plans.durable import BROADCAST_ROWS, cut, grouped, shuffle_parts, spread
 from tidemark.plans.skew import salted_join
 
-#: Bits of a text's bitmap; rows of a tile.
-BITS, TILE = 1024, 512
+#: Bits of a text's bitmap; rows of a tile that a bucket is cut into; rows of the tiles compared at once.
+BITS, TILE, STEP = 1024, 4096, 128
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -106,7 +106,7 @@ def compare_tiles(rep: np.ndarray, n: np.ndarray, bits: np.ndarray, left: np.nda
     """
     ones = np.bitwise_count(bits).sum(axis=1, dtype=np.int32)
     left, right = left[np.argsort(ones[left], kind="stable")], right[np.argsort(ones[right], kind="stable")]
-    step, out = 128, []
+    step, out = STEP, []
     for i in range(0, len(left), step):
         a = left[i : i + step]
         for j in range(0, len(right), step):
@@ -121,18 +121,48 @@ def compare_tiles(rep: np.ndarray, n: np.ndarray, bits: np.ndarray, left: np.nda
     return np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1)
 
 
+def compare_small(n: np.ndarray, ones: np.ndarray, bits: np.ndarray, rows: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (left, right) of the pairs that may reach ``t`` in many units of one small size, a unit in each row of ``rows``.
+
+    The same comparison as :func:`compare_tiles`, a unit being one tile: pairs whose counts lie further apart than their radius are
+    skipped before the exclusive-or.
+    """
+    i, j = np.triu_indices(rows.shape[1], 1)
+    left, right, step = [], [], max(1, 100_000 // max(1, len(i)))
+    for at in range(0, len(rows), step):
+        a, b = rows[at : at + step][:, i].ravel(), rows[at : at + step][:, j].ravel()
+        most = radius(n[a], n[b], t)
+        near = np.abs(ones[a] - ones[b]) <= most
+        a, b, most = a[near], b[near], most[near]
+        ok = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int32) <= most
+        left.append(a[ok]), right.append(b[ok])
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _candidates(sig: DataFrame, t: float) -> DataFrame:
     """Rows (ra, rb): representatives that share a bucket and pass the exact tile comparison."""
     parts = shuffle_parts(sig.sparkSession)
-    entries = sig.select("rep", F.explode("keys").alias("key"))
-    full = entries.groupBy("key").count().where("count > 1")
-    # A hot bucket is cut into tiles by hash; each pair of tiles is a unit of its own.
-    full = full.withColumn("tiles", F.ceil(F.col("count") / TILE).cast("int"))
+    # Sets of similarity t differ in size by a factor of t at most, so they lie in the same class of sizes or in neighbouring ones.
+    size_class = F.floor(F.log("n") / float(np.log(1 / t) * (1 + 1e-9))).cast("int")
+    entries = sig.select("rep", size_class.alias("c"), F.explode("keys").alias("key"))
+    full = cut(entries.groupBy("key").count().where("count > 1"))
+    hot = full.where(F.col("count") > TILE)
+    none = F.lit(None).cast("map<int,bigint>")
+    if hot.isEmpty():
+        full = full.withColumn("classes", none)
+    else:  # one key for each TILE entries at most; a key has as many classes as the logarithm of the longest text
+        of_hot = entries.join(F.broadcast(hot.select("key")), "key").groupBy("key", "c").count()
+        of_hot = of_hot.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("c", "count"))).alias("classes"))
+        full = full.join(F.broadcast(of_hot), "key", "left")
     placed = salted_join(entries, full, ["key"], "rep", 4)
+    # A hot bucket becomes a group of each two neighbouring classes; each is cut into tiles by hash, and each pair of tiles is a unit.
+    own = lambda c: F.coalesce(F.col("classes")[c], F.lit(0))
+    placed = placed.withColumn("g", F.explode(F.when(F.col("classes").isNull(), F.array(F.lit(-1))).otherwise(F.array("c", F.col("c") + 1))))
+    placed = placed.withColumn("tiles", F.when(F.col("g") < 0, 1).otherwise(F.ceil((own(F.col("g")) + own(F.col("g") - 1)) / TILE)).cast("int"))
     placed = placed.withColumn("tile", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("tiles").cast("long")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     lo, hi = F.least("tile", "other"), F.greatest("tile", "other")
-    units = placed.select("rep", F.xxhash64("key", lo, hi).alias("unit"), (F.col("tile") == lo).alias("first"), (lo == hi).alias("same"))
+    units = placed.select("rep", F.xxhash64("key", "g", lo, hi).alias("unit"), (F.col("tile") == lo).alias("first"), (lo == hi).alias("same"))
     loaded = units.join(sig.select("rep", "n", "bits"), "rep")
     packed = loaded.withColumn("pack", F.pmod("unit", F.lit(4 * parts)))
 
@@ -144,14 +174,10 @@ def _candidates(sig: DataFrame, t: float) -> DataFrame:
         ends = np.flatnonzero(np.diff(unit[order], append=unit[order][-1:] ^ 1))
         starts = np.concatenate([[0], ends[:-1] + 1])
         sizes, out = ends - starts + 1, []
-        for size in np.unique(sizes[sizes <= 32]):  # small units of one size are one array operation
-            rows = order[starts[sizes == size][:, None] + np.arange(size)]
-            i, j = np.triu_indices(size, 1)
-            for at in range(0, len(rows), max(1, 100_000 // max(1, len(i)))):
-                a, b = rows[at : at + max(1, 100_000 // max(1, len(i)))][:, i].ravel(), rows[at : at + max(1, 100_000 // max(1, len(i)))][:, j].ravel()
-                differ = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int32)
-                ok = differ <= radius(n[a], n[b], t)
-                out.append(np.sort(np.stack([rep[a[ok]], rep[b[ok]]], axis=1), axis=1))
+        ones = np.bitwise_count(bits).sum(axis=1, dtype=np.int32)
+        for size in np.unique(sizes[(sizes > 1) & (sizes <= 32)]):  # small units of one size are one array operation
+            a, b = compare_small(n, ones, bits, order[starts[sizes == size][:, None] + np.arange(size)], t)
+            out.append(np.sort(np.stack([rep[a], rep[b]], axis=1), axis=1))
         for s, e in zip(starts[sizes > 32], ends[sizes > 32]):
             rows = order[s : e + 1]
             if same[rows[0]]:
@@ -179,7 +205,8 @@ def near_duplicates(
     at similarity s two texts share no bucket with probability (1 - s**rows)**bands, below 1e-4 at 0.65
     and 1e-10 at 0.8 with the defaults. Within a bucket every pair is compared, in tiles, by exclusive-or and bit counts of 1,024-bit
     maps whose distance bounds the sets' difference from below (:func:`compare_tiles`); what is left is
-    decided on the shingle sets. Hot buckets are cut into tiles, and pairs of tiles are units of work.
+    decided on the shingle sets. Hot buckets are cut by classes of set size, of which only neighbours can be similar, and these into tiles;
+    pairs of tiles are units of work.
     """
     sig = cut(_signatures(df, id_col, text_col, width, bands, rows))
     members = sig.select("id", "s1", "s2").distinct()
@@ -218,8 +245,10 @@ def near_duplicates(
 def expand(links: DataFrame, members: DataFrame) -> DataFrame:
     """Rows (doc_a, doc_b), doc_a < doc_b: every pair of documents, copies included. As many rows as there are pairs."""
     a, b = members.select(F.col("rep").alias("ra"), F.col("id").alias("a")), members.select(F.col("rep").alias("rb"), F.col("id").alias("b"))
-    across = links.select("ra", "rb").join(a, "ra").join(b, "rb")
-    within = members.alias("x").join(members.alias("y"), (F.col("x.rep") == F.col("y.rep")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    across = salted_join(b, salted_join(a, links.select("ra", "rb"), ["ra"], "a", 4), ["rb"], "b", 4)
+    copied = members.groupBy("rep").count().where("count > 1").select("rep")
+    copies = salted_join(members, copied, ["rep"], "id", 4)  # a text may have any number of them
+    within = salted_join(copies.select("rep", F.col("id").alias("a")), copies.select("rep", F.col("id").alias("b")), ["rep"], "a").where("a < b").select("a", "b")
     pairs = across.select("a", "b").union(within)
     return pairs.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"))
 
@@ -228,15 +257,16 @@ def classes(links: DataFrame, members: DataFrame, rounds: int = 40) -> DataFrame
     """Rows (id, class_id, copies, links): each document's group over links and copies, named by its smallest document.
 
     Representatives take the smallest label among themselves and those they link to, then that label's own label, until
-    nothing changes; each round is a join and an aggregate, cut from its lineage. ``links`` counts the representatives linked to.
+    nothing changes; each round is a join and an aggregate, cut from its lineage, with joins salted, as a group may hold a third of all. ``links`` counts the representatives linked to.
     """
     both = cut(links.select("ra", "rb").union(links.select("rb", "ra")))
     label = cut(both.groupBy(F.col("ra").alias("v")).agg(F.least(F.min("rb"), F.min("ra")).alias("c")))
     for _ in range(rounds):
-        near = both.join(label.select(F.col("v").alias("rb"), "c"), "rb").groupBy(F.col("ra").alias("v")).agg(F.min("c").alias("m"))
+        near = salted_join(both, label.select(F.col("v").alias("rb"), "c"), ["rb"], "ra", 4).groupBy(F.col("ra").alias("v")).agg(F.min("c").alias("m"))
         step = label.join(near, "v").select("v", F.least("c", "m").alias("n"), "c")
-        jump = step.select(F.col("v").alias("n"), F.col("n").alias("j"))
-        new = cut(step.join(jump, "n", "left").select("v", F.least("n", F.coalesce("j", "n")).alias("n"), "c"))
+        step = cut(step)
+        jump = step.select(F.col("v").alias("n"), F.col("n").alias("j"))  # every label is a representative itself
+        new = cut(salted_join(step, jump, ["n"], "v").select("v", F.least("n", "j").alias("n"), "c"))  # a label may stand for most of them
         changed = new.where("n <> c").limit(1).count()
         label = new.select("v", F.col("n").alias("c"))
         if not changed:
