@@ -177,9 +177,9 @@ def test_one_ranking(spark):
         (2, 1, [("bm25", 5.0)]), (2, 2, [("bm25", 5.0)]), (None, 1, [("bm25", 1.0)]), (3, None, [("bm25", 1.0)]), (4, 7, [("bm25", float("inf")), ("x", 1e-320)]),
     ]
     df = spark.createDataFrame([(*r, "n") for r in rows], "query_id long, chunk_id int, metrics array<struct<name string, value double>>, name string")
-    for influence, hot in (("component", 10), ("equal", 10), ("component", 1), ("equal", 2)):
-        got = {(r.query_id, r.chunk_id): r.place for r in ranking.fuse(df, influence=influence, hot_rows=hot).collect()}
-        assert {(r.query_id, r.chunk_id, r.place) for r in ranking.top(df, 2, influence=influence, hot_rows=hot).collect()} == {(*k, p) for k, p in got.items() if p <= 2}
+    for influence in ("component", "equal"):
+        got = {(r.query_id, r.chunk_id): r.place for r in ranking.fuse(df, influence=influence).collect()}
+        assert {(r.query_id, r.chunk_id, r.place) for r in ranking.top(df, 2, influence=influence).collect()} == {(*k, p) for k, p in got.items() if p <= 2}
         assert set(got) == {(1, 10), (1, 11), (1, 12), (1, 13), (1, 14), (2, 1), (2, 2), (4, 7)}
         assert {got[1, 10], got[1, 11]} == {1, 2} and (got[1, 12], got[1, 13], got[1, 14]) == (3, 4, 5) and (got[2, 1], got[2, 2]) == (1, 2)
     assert ranking.fuse(df.limit(0)).count() == 0
@@ -291,8 +291,15 @@ def test_opposing_metrics_both_count(spark):
     rows = [(q, c, [("bm25", float(c)), ("cosine_similarity", -float(c))]) for q in range(20) for c in range(6)]
     df = spark.createDataFrame(rows, "query_id long, chunk_id int, metrics array<struct<name string, value double>>")
     names = ["bm25", "cosine_similarity"]
-    w = ranking.loadings(ranking.rank_scores(df, names, ranking.SMALLER_IS_BETTER, ranking.HOT_ROWS), names)
-    assert all(abs(w[n] - 0.5**0.5) < 1e-9 for n in names)
+    found = {r.name: r for r in ranking.component(df).collect()}
+    assert all(abs(found[n].weight - 0.5**0.5) < 1e-9 for n in names) and found["bm25"].loading * found["cosine_similarity"].loading < 0
+
+
+def test_ranks_of_missing_scores(spark):
+    rows = [(1, c, [("a", float(v))] if v else [("b", 1.0)] if c == 9 else []) for c, v in [(1, 3), (2, 2), (3, 2), (4, 0), (9, 0)]] + [(2, 1, None)]
+    df = spark.createDataFrame(rows, "query_id long, chunk_id int, metrics array<struct<name string, value double>>")
+    z = {(r.query_id, r.chunk_id): list(r.z) for r in ranking.rank_scores(df, ["a", "b"]).collect()}
+    assert z == {(1, 1): [1.0, 0.5], (1, 2): [0.375, 0.5], (1, 3): [0.375, 0.5], (1, 4): [0.375, 0.5], (1, 9): [0.375, 0.5], (2, 1): [None, None]}
 
 
 def test_sources_of_no_share_count_in_the_mix(spark):

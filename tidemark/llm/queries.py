@@ -64,6 +64,10 @@ def p6_order(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.fuse(_table(spark, folder, "retrieved_chunks"))
 
 
+def p6_loadings(spark: SparkSession, folder: str) -> DataFrame:
+    return ranking.component(_table(spark, folder, "retrieved_chunks")).select("name", F.round("loading", 6).alias("loading"), F.round("weight", 6).alias("weight"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.found(_table(spark, folder, "documents"), 1600)
 
@@ -102,7 +106,7 @@ def p10_shared(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     own = (
-        p1_found, p1_similar, p2_found, p2_groups, p3_found, p3_body, p5_found, p5_cleaned, p6_found, p6_order, p7_found, p7_pieces, p8_ids,
+        p1_found, p1_similar, p2_found, p2_groups, p3_found, p3_body, p5_found, p5_cleaned, p6_found, p6_order, p6_loadings, p7_found, p7_pieces, p8_ids,
         p9_found, p9_mix, p9_shares, p10_found, p10_shared,
     )
     return {q.__name__: q for q in own}

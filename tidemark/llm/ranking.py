@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.plans.durable import cut, shuffle_parts
+from tidemark.plans.durable import cut
 from tidemark.plans.prefix import magnitude_bucket, running_sum
+from tidemark.plans.skew import salted_join
 
 #: Names whose smaller values are better.
 SMALLER_IS_BETTER = ("cosine_distance", "negative_inner_product")
@@ -18,10 +19,6 @@ SMALLER_IS_BETTER = ("cosine_distance", "negative_inner_product")
 #: Most different metric names; their correlation matrix goes to the driver.
 MAX_NAMES = 500
 
-#: Rows from which on a query is spread over tasks; those of smaller ones are ranked in one.
-HOT_ROWS = 50_000
-
-
 def metric_name(name: Column) -> Column:
     """Names are compared trimmed, lower-cased, with - as _."""
     return F.translate(F.lower(F.trim(name)), "-", "_")
@@ -35,28 +32,6 @@ def _scores(df: DataFrame, smaller: tuple[str, ...]) -> DataFrame:
     return m.groupBy("query_id", "chunk_id", "name").agg(F.max(good).alias("goodness"))
 
 
-def rank_spread(df: DataFrame, smaller: tuple[str, ...] = SMALLER_IS_BETTER) -> DataFrame:
-    """Rows (query_id, chunk_id, name, z): each name's values in a query as mid-ranks from 0 (worst) to 1 (best).
-
-    A chunk without a name that others of its query have ranks with that name's worst. Where all chunks are equal z is 0.5
-    for all. Ranks come from running counts over buckets of the value, so no task holds a whole query.
-    """
-    scores = cut(_scores(df, smaller))
-    chunks = df.select("query_id", "chunk_id").where(F.col("query_id").isNotNull() & F.col("chunk_id").isNotNull()).distinct()
-    names = scores.groupBy("query_id", "name").agg(F.min("goodness").alias("worst"))
-    full = chunks.join(names, "query_id").join(scores, ["query_id", "chunk_id", "name"], "left")
-    full = full.select("query_id", "chunk_id", "name", F.coalesce("goodness", "worst").alias("g"))
-    # Ties share a rank: count equal values first, then run over the different values only.
-    values = full.groupBy("query_id", "name", "g").agg(F.count("*").alias("n"))
-    upto = running_sum(values, ["query_id", "name"], magnitude_bucket(F.col("g")), [F.col("g")], F.col("n"), "upto")
-    total = values.groupBy("query_id", "name").agg(F.sum("n").alias("total"))
-    mid = upto.join(total, ["query_id", "name"]).select(
-        "query_id", "name", "g",
-        F.when(F.col("total") > 1, (F.col("upto") - (F.col("n") + 1) / 2) / (F.col("total") - 1)).otherwise(0.5).alias("z"),
-    )
-    return full.join(mid, ["query_id", "name", "g"]).select("query_id", "chunk_id", "name", "z")
-
-
 def _names(df: DataFrame) -> list[str]:
     """The different metric names, in order."""
     m = df.select(F.explode("metrics").alias("m")).select(metric_name(F.col("m.name")).alias("name"))
@@ -66,111 +41,43 @@ def _names(df: DataFrame) -> list[str]:
     return sorted(r[0] for r in rows)
 
 
-def mid_ranks(group: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Ranks from 0 (worst) to 1 (best) within each group of a column; ties share the middle, a lone value has 0.5."""
-    order = np.lexsort((values, group))
-    g, v = group[order], values[order]
-    new_group = np.concatenate([[True], g[1:] != g[:-1]])
-    new_value = new_group | np.concatenate([[True], v[1:] != v[:-1]])
-    at = np.arange(len(g))
-    start = np.maximum.accumulate(np.where(new_group, at, 0))
-    first = np.maximum.accumulate(np.where(new_value, at, 0))
-    ends = np.append(np.flatnonzero(new_value)[1:], len(g)) - 1
-    last = ends[np.cumsum(new_value) - 1]
-    ends = np.append(np.flatnonzero(new_group)[1:], len(g)) - 1
-    size = ends[np.cumsum(new_group) - 1] - start + 1
-    out = np.empty(len(g))
-    out[order] = np.where(size > 1, ((first + last) / 2 - start) / np.maximum(size - 1, 1), 0.5)
-    return out
-
-
-def _rank_whole(query: np.ndarray, chunk: np.ndarray, row: np.ndarray, name: np.ndarray, good: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, chunk, ranks by name) of complete queries; ``row``, ``name`` and ``good`` are the metrics of their rows."""
-    pairs, own = np.unique(np.stack([query, chunk], axis=1), axis=0, return_inverse=True)
-    own = own.reshape(-1)
-    best = np.full((len(pairs), k), -np.inf)
-    given = np.zeros((len(pairs), k), bool)
-    np.maximum.at(best, (own[row], name), good)
-    given[own[row], name] = True
-    group = np.unique(pairs[:, 0], return_inverse=True)[1].reshape(-1)
-    z = np.full((len(pairs), k), np.nan)
-    for j in range(k):
-        worst = np.full(group.max(initial=-1) + 1, np.inf)
-        some = np.zeros(len(worst), bool)
-        at = given[:, j]
-        np.minimum.at(worst, group[at], best[at, j])
-        some[group[at]] = True
-        inside = some[group]
-        filled = np.where(at, best[:, j], worst[group])
-        z[inside, j] = mid_ranks(group[inside], filled[inside]) if inside.any() else []
-    return pairs[:, 0], pairs[:, 1], z
-
-
-def rank_scores(df: DataFrame, names: list[str], smaller: tuple[str, ...] = SMALLER_IS_BETTER, hot_rows: int = HOT_ROWS) -> DataFrame:
+def rank_scores(df: DataFrame, names: list[str], smaller: tuple[str, ...] = SMALLER_IS_BETTER) -> DataFrame:
     """Rows (query_id, chunk_id, z): the rank of each of ``names`` in the query, from 0 (worst) to 1 (best); null where no chunk has the name.
 
-    A chunk without a name that others of its query have ranks with that name's worst. One shuffle brings a query's rows together;
-    ranks are array operations over many queries at once. Queries of more than ``hot_rows`` rows go through
-    :func:`rank_spread`.
+    Ties share the middle rank; where all chunks of a query are equal it is 0.5. A chunk without a name that others of its query have
+    ranks with that name's worst: such chunks are counted, not listed. Ranks come from running counts over buckets of the different
+    values, so a query of any size is many tasks; joins on what a hot query has many of are salted.
     """
-    rows = df.where(F.col("query_id").isNotNull() & F.col("chunk_id").isNotNull())
-    kinds = [rows.schema[c].dataType for c in ("query_id", "chunk_id")]
-    hot = cut(rows.groupBy("query_id").count().where(F.col("count") > hot_rows).select("query_id"))
-    parts = []
-    if hot.limit(1).count():
-        spread = rank_spread(rows.join(F.broadcast(hot), "query_id", "left_semi"), smaller)  # one row for each hot_rows rows at most
-        found = spread.groupBy("query_id", "chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "z"))).alias("m"))
-        whole = rows.join(F.broadcast(hot), "query_id", "left_semi").select("query_id", "chunk_id").distinct()
-        listed = whole.join(found, ["query_id", "chunk_id"], "left")
-        parts.append(listed.select("query_id", "chunk_id", F.array(*(F.col("m")[n] for n in names)).cast("array<double>").alias("z")))
-        rows = rows.join(F.broadcast(hot), "query_id", "left_anti")
-    known = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
-    place = lambda m: (F.array_position(known, metric_name(m["name"])) - 1).cast("int")
-    usable = F.filter(F.coalesce("metrics", F.array().cast(df.schema["metrics"].dataType)), lambda m: m["value"].isNotNull() & ~F.isnan(m["value"]) & (F.coalesce(place(m), F.lit(-1)) >= 0))
-    lists = rows.select(
-        F.col("query_id").cast("long"), F.col("chunk_id").cast("long"), F.transform(usable, place).alias("k"),
-        F.transform(usable, lambda m: F.when(metric_name(m["name"]).isin(*smaller), -m["value"]).otherwise(m["value"])).alias("g"),
-    )
-    size = len(names)
-
-    def rank(batch: pa.Table) -> pa.RecordBatch:
-        batch = batch.combine_chunks()
-        query, chunk = (batch.column(c).to_numpy() for c in ("query_id", "chunk_id"))
-        k, g = (batch.column(c).combine_chunks() for c in ("k", "g"))
-        row = np.repeat(np.arange(len(query)), k.value_lengths().to_numpy(zero_copy_only=False))
-        q, c, z = _rank_whole(query, chunk, row, k.flatten().to_numpy(zero_copy_only=False), g.flatten().to_numpy(zero_copy_only=False), size)
-        flat = pa.array(z.ravel(), from_pandas=True)
-        offsets = pa.array(np.arange(len(q) + 1, dtype=np.int32) * size)
-        return pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.ListArray.from_arrays(offsets, flat)], ["query_id", "chunk_id", "z"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None  # rows from the last query on, which may go on in the next batch
-        for b in batches:
-            table = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            query = table.column("query_id").to_numpy()
-            if not len(query):
-                continue
-            cut_at = int(np.searchsorted(query, query[-1]))
-            if cut_at:
-                yield rank(table.slice(0, cut_at))
-            held = table.slice(cut_at)
-        if held is not None and held.num_rows:
-            yield rank(held)
-
-    together = lists.repartition(shuffle_parts(df.sparkSession), "query_id").sortWithinPartitions("query_id")
-    out = together.mapInArrow(run, "query_id long, chunk_id long, z array<double>")
-    out = out.select(F.col("query_id").cast(kinds[0]).alias("query_id"), F.col("chunk_id").cast(kinds[1]).alias("chunk_id"), "z")
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+    by = ["query_id", "name"]
+    scores = cut(_scores(df, smaller))
+    chunks = cut(df.select("query_id", "chunk_id").where(F.col("query_id").isNotNull() & F.col("chunk_id").isNotNull()).distinct())
+    if not names:
+        return chunks.withColumn("z", F.array().cast("array<double>"))
+    totals = chunks.groupBy("query_id").agg(F.count("*").alias("total"))
+    values = cut(scores.groupBy(*by, F.col("goodness").alias("g")).agg(F.count("*").alias("n")))
+    per = values.groupBy(*by).agg(F.sum("n").alias("given"), F.min("g").alias("worst"), F.min_by("n", "g").alias("at_worst"))
+    per = cut(per.join(totals, "query_id").withColumn("missing", F.col("total") - F.col("given")))
+    scale = lambda x: F.when(F.col("total") > 1, x / (F.col("total") - 1)).otherwise(0.5)
+    upto = running_sum(values, by, magnitude_bucket(F.col("g")), [F.col("g")], F.col("n"), "upto")
+    ranked = salted_join(upto, per, by, "g")
+    lowest = F.col("g") == F.col("worst")
+    less = F.col("upto") - F.col("n") + F.when(lowest, 0).otherwise(F.col("missing"))
+    ties = F.col("n") + F.when(lowest, F.col("missing")).otherwise(0)
+    mid = ranked.select(*by, F.col("g").alias("goodness"), scale(less + (ties - 1) / 2).alias("z"))
+    own = salted_join(scores, mid, [*by, "goodness"], "chunk_id", 4).groupBy("query_id", "chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "z"))).alias("own"))
+    fill = per.select(*by, scale((F.col("at_worst") + F.col("missing") - 1) / 2).alias("z")).groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "z"))).alias("fill"))
+    some = salted_join(chunks, fill, ["query_id"], "chunk_id").join(own, ["query_id", "chunk_id"], "left")
+    listed = some.select("query_id", "chunk_id", F.array(*(F.coalesce(F.col("own")[n], F.col("fill")[n]) for n in names)).alias("z"))
+    bare = chunks.join(fill.select("query_id"), "query_id", "left_anti")  # queries without any metric
+    return listed.unionByName(bare.withColumn("z", F.array(*(F.lit(None).cast("double") for _ in names))))
 
 
 def loadings(ranks: DataFrame, names: list[str]) -> dict[str, float]:
-    """The first principal component of the rank-transformed scores, every loading in its metric's declared direction.
+    """The first principal component of the rank-transformed scores, turned so that its loadings add up to 0 or more.
 
     Sums of products over pairs of names are taken in each batch and added up; only that matrix of names reaches the
-    driver. A pair of names counts where a query has both. Ranks are oriented already, so each loading counts by its
-    size, also of a name that opposes the others.
+    driver. A pair of names counts where a query has both. Ranks are oriented already, so a loading below 0 is that of a name that
+    opposes the others; it counts in its declared direction, by its size.
     """
     k = len(names)
     if not k:
@@ -196,20 +103,27 @@ def loadings(ranks: DataFrame, names: list[str]) -> dict[str, float]:
     c = np.where(spread > 1e-12, (xy - x * x.T / n) / np.maximum(spread, 1e-12), 0.0)
     np.fill_diagonal(c, 1.0)
     first = np.linalg.eigh((c + c.T) / 2)[1][:, -1]
-    return {name: float(abs(v)) for name, v in zip(names, first)}
+    return {name: float(v) for name, v in zip(names, first if first.sum() >= 0 else -first)}
+
+
+def component(df: DataFrame, *, smaller: tuple[str, ...] = SMALLER_IS_BETTER) -> DataFrame:
+    """Rows (name, loading, weight): how the metrics load on the first component, and the weights that :func:`fuse` gives their ranks."""
+    names = _names(df)
+    found = loadings(cut(rank_scores(df, names, smaller)), names)
+    return df.sparkSession.createDataFrame([(n, v, abs(v)) for n, v in found.items()], "name string, loading double, weight double")
 
 
-def _scored(df: DataFrame, smaller: tuple[str, ...], influence: str, hot_rows: int) -> DataFrame:
+def _scored(df: DataFrame, smaller: tuple[str, ...], influence: str) -> DataFrame:
     """Rows (query_id, chunk_id, score)."""
     names = _names(df)
-    ranks = cut(rank_scores(df, names, smaller, hot_rows))
-    weights = loadings(ranks, names) if influence == "component" else dict.fromkeys(names, 1.0)
+    ranks = cut(rank_scores(df, names, smaller))
+    weights = {n: abs(v) for n, v in loadings(ranks, names).items()} if influence == "component" else dict.fromkeys(names, 1.0)
     w = F.array(*(F.lit(weights[n]) for n in names)) if names else F.array().cast("array<double>")
     total = F.aggregate(F.zip_with("z", w, lambda z, x: F.coalesce(z * x, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
     return ranks.select("query_id", "chunk_id", F.round(total, 9).alias("score"))
 
 
-def fuse(df: DataFrame, *, smaller: tuple[str, ...] = SMALLER_IS_BETTER, influence: str = "component", hot_rows: int = HOT_ROWS) -> DataFrame:
+def fuse(df: DataFrame, *, smaller: tuple[str, ...] = SMALLER_IS_BETTER, influence: str = "component") -> DataFrame:
     """Rows (query_id, chunk_id, score, place): each query's chunks in one order.
 
     ``influence`` "component" weighs the rank-transformed scores by the first principal component, "equal" weighs all
@@ -218,12 +132,12 @@ def fuse(df: DataFrame, *, smaller: tuple[str, ...] = SMALLER_IS_BETTER, influen
     come last with score 0; rows of a null query or chunk are left out; an empty table gives no rows. Ids are integers.
     Places are running counts over buckets of the score, so no query is one task.
     """
-    scored = _scored(df, smaller, influence, hot_rows).withColumn("neg", -F.col("score"))
+    scored = _scored(df, smaller, influence).withColumn("neg", -F.col("score"))
     return running_sum(scored, ["query_id"], magnitude_bucket(F.col("neg")), [F.col("neg"), F.col("chunk_id")], F.lit(1), "place").drop("neg")
 
 
-def top(df: DataFrame, n: int = 3, *, smaller: tuple[str, ...] = SMALLER_IS_BETTER, influence: str = "component", hot_rows: int = HOT_ROWS) -> DataFrame:
+def top(df: DataFrame, n: int = 3, *, smaller: tuple[str, ...] = SMALLER_IS_BETTER, influence: str = "component") -> DataFrame:
     """The first ``n`` chunks of each query as in :func:`fuse`. Each task sends on its best ``n`` of a query only."""
     first = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    scored = _scored(df, smaller, influence, hot_rows)
+    scored = _scored(df, smaller, influence)
     return scored.withColumn("place", F.row_number().over(first).cast("long")).where(F.col("place") <= n)
