@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.durable import cut, parts_for
+
 
 def running_sum(
     df: DataFrame, keys: list[str], bucket: Column, order: list[Column], value: Column, out: str
@@ -33,6 +35,23 @@ def running_sum(
     )
 
 
+def range_sum(df: DataFrame, order: list[Column], value: Column, out: str) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over all rows up to and including this one in ``order``, which must be total.
+
+    The rows are sorted over the cluster by ranges of ``order``; each range's sum, one row a partition, is added up before it. The sorted
+    rows are cut from their lineage, so that both readings see the same ranges. Null values count as 0.
+    """
+    part, held, base = "__part", "__held", "__base"
+    parts = parts_for(df.sparkSession)
+    ranged = df.withColumn(held, F.coalesce(value, F.lit(0))).repartitionByRange(parts, *order).withColumn(part, F.spark_partition_id())
+    ranged = cut(ranged.sortWithinPartitions(*order))
+    sums = ranged.groupBy(part).agg(F.sum(held).alias("__sum"))  # a row for each partition
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(part, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias(base))
+    within = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.join(F.broadcast(bases), part).withColumn(out, F.col(base) + F.sum(held).over(within)).drop(part, held, base)
+
+
 def magnitude_bucket(x: Column) -> Column:
     """A bigint that never falls as the double ``x`` rises: 4,096 steps in each power of two, on either side of 0."""
     size = F.when(F.abs(x) < 1e-300, F.lit(0.0)).otherwise(F.log2(F.least(F.abs(x), F.lit(1e300))) + 1100)
