@@ -48,21 +48,21 @@ def chi_square_quantile(p: float, m: int) -> float:
     return hi
 
 
-def _dense(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+def _dense(vectors: pa.Array, dim: int, kind: type = np.float32) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of the usable vectors, and these scaled to length 1."""
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
     size = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
     rows = np.flatnonzero(size == dim)
     if not len(rows):
-        return rows, np.zeros((0, dim), np.float32)
+        return rows, np.zeros((0, dim), kind)
     flat = vectors.take(pa.array(rows)).flatten()
     x = flat.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dim)  # nulls become NaN
     with np.errstate(all="ignore"):
         x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow in the squares
         x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
     good = np.isfinite(x).all(axis=1)
-    return rows[good], x[good].astype(np.float32)
+    return rows[good], x[good].astype(kind, copy=False)
 
 
 def _hash(x: np.ndarray) -> np.ndarray:
@@ -496,7 +496,7 @@ def most_similar(
     Both tables have ``id_col`` (whole numbers) and ``vec_col``. Usable vectors are as in :func:`similar_pairs`; a repeated row counts once;
     equally similar ids are in order; queries without a usable vector and rows of a null id have no result.
 
-    Queries go out in blocks of at most 50,000 (13 MB), by hash of their id; every task indexes its rows by a kd-tree over ``m``
+    Queries go out in blocks of at most 50,000 (26 MB), by hash of their id; every task indexes its rows by a kd-tree over ``m``
     projections and sends on each query's best ``k`` of them. A neighbour is missed with a probability of at most
     1 - ``probability``, less where blocks hold more than was asked.
     """
@@ -508,25 +508,28 @@ def most_similar(
     found = None
     for n in range(blocks):
         table = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).toArrow()
-        keep, q = _dense(table.column("v"), dim) if table.num_rows else (np.zeros(0, int), np.zeros((0, dim), np.float32))
+        keep, q = _dense(table.column("v"), dim, np.float64) if table.num_rows else (np.zeros(0, int), np.zeros((0, dim)))
         shared = df.sparkSession.sparkContext.broadcast((table.column("id").to_numpy()[keep] if len(keep) else np.zeros(0, np.int64), q))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, q = shared.value
+            names, exact_q = shared.value
+            q = exact_q.astype(np.float32)
             held: list[tuple[np.ndarray, np.ndarray]] = []
 
             def search() -> Iterator[pa.RecordBatch]:
                 ids, first = np.unique(np.concatenate([h[0] for h in held]), return_index=True)
-                x = np.concatenate([h[1] for h in held])[first]
+                exact_x = np.concatenate([h[1] for h in held])[first]
+                x = exact_x.astype(np.float32)
                 if not len(x) or not len(q):
                     return
-                c, r = search_index(q, q @ wide, x, x @ wide, k + 1, chi)
+                _, r = search_index(q, q @ wide, x, x @ wide, k + 1, chi)
+                c = np.stack([(exact_q * exact_x[r[:, j]]).sum(axis=1) for j in range(k + 1)], axis=1)
                 who, other = np.repeat(names, k + 1), np.where(r.ravel() >= 0, ids[r.ravel()], -1)
                 ok = (r.ravel() >= 0) & (who != other)
-                yield pa.RecordBatch.from_arrays([pa.array(who[ok]), pa.array(other[ok]), pa.array(c.ravel()[ok].astype(np.float64))], ["query_id", "neighbour_id", "cosine"])
+                yield pa.RecordBatch.from_arrays([pa.array(who[ok]), pa.array(other[ok]), pa.array(c.ravel()[ok])], ["query_id", "neighbour_id", "cosine"])
 
             for b in batches:
-                rows, x = _dense(b.column(1), dim)
+                rows, x = _dense(b.column(1), dim, np.float64)
                 held.append((b.column(0).to_numpy()[rows], x))
                 if sum(len(h[0]) for h in held) >= INDEX_BLOCK:
                     yield from search()

@@ -90,7 +90,7 @@ def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _mix(spark, folder)[1].where(~F.col("reachable")).select("source")
+    return mixing.starved(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets"))
 
 
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
@@ -172,6 +172,34 @@ k AS (SELECT doc_id, array_to_string(list(line ORDER BY line_no), chr(10)) AS ke
 SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text FROM documents LEFT JOIN k USING (doc_id)
 """
 
+_UNIT = """
+WITH u AS (SELECT chunk_id, min(embedding) AS e FROM stored_chunks
+           WHERE chunk_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY chunk_id),
+v AS (SELECT chunk_id, list_transform(e, lambda x: x::DOUBLE / sqrt(list_inner_product(e::DOUBLE[], e::DOUBLE[]))) AS e FROM u),
+"""
+
+#: Cosines of copies differ by rounding alone; equal ones go by id.
+P1_SQL = _UNIT + """
+p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, round(list_inner_product(a.e, b.e), 6) AS c FROM v a JOIN v b ON a.chunk_id <> b.chunk_id
+      WHERE list_inner_product(a.e, b.e) >= 0.9),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM p)
+SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM r WHERE k <= 5
+"""
+
+P1_SIMILAR_SQL = _UNIT + """
+p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_inner_product(a.e, b.e) AS c FROM v a JOIN v b ON a.chunk_id <> b.chunk_id WHERE a.chunk_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(c, 6) DESC, b) AS k FROM p)
+SELECT a::BIGINT AS query_id, b::BIGINT AS neighbour_id, round(c, 4) AS cosine, k::INTEGER AS rank FROM r WHERE k <= 5
+"""
+
+#: The cases are the same for any tokenizer; here bytes are the tokens.
+P9_SQL = """
+WITH t AS (SELECT lower(trim(source)) AS key, min(source) AS name, max(target_share) AS share, max(max_repeats) AS cap FROM mix_targets WHERE trim(source) <> '' GROUP BY 1),
+s AS (SELECT t.*, coalesce(sum(strlen(d.text)), 0) AS size FROM t LEFT JOIN documents d ON lower(trim(d.source)) = t.key GROUP BY ALL)
+SELECT name AS source FROM s WHERE share > 0 AND (size = 0 OR size * cap < share * (SELECT sum(size) FROM s))
+"""
+
 P2_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 s AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
@@ -202,6 +230,6 @@ FROM documents LEFT JOIN t USING (doc_id)
 def oracle_sql() -> dict[str, str]:
     """For the queries that SQL answers on whole tables; the others are tested against brute force or round trips."""
     return {
-        "p2_found": P2_SQL, "p5_found": P5_SQL, "p5_boilerplate": P5_BOILERPLATE_SQL, "p5_cleaned": P5_CLEANED_SQL, "p6_found": P6_SQL, "p7_found": P7_SQL,
+        "p1_found": P1_SQL, "p1_similar": P1_SIMILAR_SQL, "p2_found": P2_SQL, "p9_found": P9_SQL, "p5_found": P5_SQL, "p5_boilerplate": P5_BOILERPLATE_SQL, "p5_cleaned": P5_CLEANED_SQL, "p6_found": P6_SQL, "p7_found": P7_SQL,
         "p10_found": P10_SQL, "p10_shared": P10_SHARED_SQL,
     }
