@@ -9,25 +9,29 @@ from tidemark.plans.durable import cut, parts_for
 
 
 def running_sum(
-    df: DataFrame, keys: list[str], bucket: Column, order: list[Column], value: Column, out: str
+    df: DataFrame, keys: list[str], bucket: Column, order: list[Column], value: Column, out: str, null_keys: bool = True
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows of ``keys`` up to and including this one in ``order``.
 
     ``bucket`` is any integer that never falls as ``order`` rises, so a hot group is spread over its buckets: sums
     are taken per (keys, bucket) with map-side combining, a window runs over those few sums alone, and a second
-    window runs within a bucket. ``order`` must be total. Null values count as 0; keys may be null.
+    window runs within a bucket. ``order`` must be total. Null values count as 0; keys may be null, unless the caller
+    says that they aren't, which saves a shuffle.
     """
     b, v, base = "__bucket", "__value", "__base"
     rows = df.withColumn(b, bucket).withColumn(v, F.coalesce(value, F.lit(0)))
     sums = rows.groupBy(*keys, b).agg(F.sum(v).alias("__sum"))
     before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(*keys, b, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias(base))
+    within = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    if not null_keys:
+        summed = rows.withColumn(out, F.sum(v).over(within))
+        return summed.join(bases, [*keys, b]).withColumn(out, F.col(base) + F.col(out)).drop(b, v, base)
     right = bases.select(*(F.col(k).alias(f"__r_{k}") for k in [*keys, b]), base)
     match = None
     for k in [*keys, b]:
         one = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
         match = one if match is None else match & one
-    within = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         rows.join(right, match)
         .withColumn(out, F.col(base) + F.sum(v).over(within))
