@@ -169,7 +169,9 @@ def test_repeated_lines(spark):
     assert site_lines.repeated_occurrences(df.limit(0)).count() == 0
 
 
-def test_one_ranking(spark):
+@pytest.mark.parametrize("bucket_rows", [10_000, 1])
+def test_one_ranking(spark, monkeypatch, bucket_rows):
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", bucket_rows)
     nan = float("nan")
     rows = [
         (1, 10, [("BM25", 900.0), (" Cosine-Distance ", 0.1)]), (1, 11, [("bm25", 1.0), ("cosine_distance", 0.2), ("cosine_distance", 0.05)]),

@@ -19,17 +19,22 @@ SMALLER_IS_BETTER = ("cosine_distance", "negative_inner_product")
 #: Most different metric names; their correlation matrix goes to the driver.
 MAX_NAMES = 500
 
+#: Chunks of a query from which on its values are counted in buckets, each a task of its own.
+BUCKET_ROWS = 10_000
+
+
 def metric_name(name: Column) -> Column:
     """Names are compared trimmed, lower-cased, with - as _."""
     return F.translate(F.lower(F.trim(name)), "-", "_")
 
 
-def _scores(df: DataFrame, smaller: tuple[str, ...]) -> DataFrame:
-    """Rows (query_id, chunk_id, name, goodness): the better value of each name, larger is better."""
-    m = df.select("query_id", "chunk_id", F.explode("metrics").alias("m")).select("query_id", "chunk_id", metric_name(F.col("m.name")).alias("name"), F.col("m.value").alias("v"))
+def _best(df: DataFrame, names: list[str], smaller: tuple[str, ...]) -> DataFrame:
+    """Rows (query_id, chunk_id, g): for each of ``names`` the best value of the chunk, larger is better, or null."""
+    m = df.select("query_id", "chunk_id", F.explode_outer("metrics").alias("m")).where(F.col("query_id").isNotNull() & F.col("chunk_id").isNotNull())
+    m = m.select("query_id", "chunk_id", metric_name(F.col("m.name")).alias("name"), F.nanvl("m.value", F.lit(None).cast("double")).alias("v"))
     good = F.when(F.col("name").isin(*smaller), -F.col("v")).otherwise(F.col("v"))
-    m = m.where(F.col("name").isNotNull() & (F.col("name") != "") & F.col("v").isNotNull() & ~F.isnan("v"))
-    return m.groupBy("query_id", "chunk_id", "name").agg(F.max(good).alias("goodness"))
+    best = m.groupBy("query_id", "chunk_id").agg(*(F.max(F.when(F.col("name") == n, good)).alias(f"g{i}") for i, n in enumerate(names)))
+    return best.select("query_id", "chunk_id", F.array(*(f"g{i}" for i in range(len(names)))).cast("array<double>").alias("g"))
 
 
 def _names(df: DataFrame) -> list[str]:
@@ -48,27 +53,32 @@ def rank_scores(df: DataFrame, names: list[str], smaller: tuple[str, ...] = SMAL
     ranks with that name's worst: such chunks are counted, not listed. Ranks come from running counts over buckets of the different
     values, so a query of any size is many tasks; joins on what a hot query has many of are salted.
     """
-    by = ["query_id", "name"]
-    scores = cut(_scores(df, smaller))
-    chunks = cut(df.select("query_id", "chunk_id").where(F.col("query_id").isNotNull() & F.col("chunk_id").isNotNull()).distinct())
+    by = ["query_id", "j"]
+    best = cut(_best(df, names, smaller)) if names else df.select("query_id", "chunk_id").where("query_id is not null and chunk_id is not null").distinct()
     if not names:
-        return chunks.withColumn("z", F.array().cast("array<double>"))
-    totals = chunks.groupBy("query_id").agg(F.count("*").alias("total"))
-    values = cut(scores.groupBy(*by, F.col("goodness").alias("g")).agg(F.count("*").alias("n")))
-    per = values.groupBy(*by).agg(F.sum("n").alias("given"), F.min("g").alias("worst"), F.min_by("n", "g").alias("at_worst"))
-    per = cut(per.join(totals, "query_id").withColumn("missing", F.col("total") - F.col("given")))
-    scale = lambda x: F.when(F.col("total") > 1, x / (F.col("total") - 1)).otherwise(0.5)
-    upto = running_sum(values, by, magnitude_bucket(F.col("g")), [F.col("g")], F.col("n"), "upto")
-    ranked = salted_join(upto, per, by, "g")
-    lowest = F.col("g") == F.col("worst")
-    less = F.col("upto") - F.col("n") + F.when(lowest, 0).otherwise(F.col("missing"))
-    ties = F.col("n") + F.when(lowest, F.col("missing")).otherwise(0)
-    mid = ranked.select(*by, F.col("g").alias("goodness"), scale(less + (ties - 1) / 2).alias("z"))
-    own = salted_join(scores, mid, [*by, "goodness"], "chunk_id", 4).groupBy("query_id", "chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "z"))).alias("own"))
-    fill = per.select(*by, scale((F.col("at_worst") + F.col("missing") - 1) / 2).alias("z")).groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "z"))).alias("fill"))
-    some = salted_join(chunks, fill, ["query_id"], "chunk_id").join(own, ["query_id", "chunk_id"], "left")
-    listed = some.select("query_id", "chunk_id", F.array(*(F.coalesce(F.col("own")[n], F.col("fill")[n]) for n in names)).alias("z"))
-    bare = chunks.join(fill.select("query_id"), "query_id", "left_anti")  # queries without any metric
+        return best.withColumn("z", F.array().cast("array<double>"))
+    totals = best.groupBy("query_id").agg(F.count("*").alias("total"))
+    hot = totals.where(F.col("total") > BUCKET_ROWS).select("query_id", F.lit(True).alias("hot"))
+    rows = best.select("query_id", "chunk_id", F.posexplode("g").alias("j", "g")).where(F.col("g").isNotNull())
+    values = rows.groupBy(*by, "g").agg(F.count("*").alias("n")).join(hot, "query_id", "left")
+    bucket = F.when(F.col("hot"), magnitude_bucket(F.col("g"))).otherwise(0)  # those of a small query are one bucket
+    upto = cut(running_sum(values, by, bucket, [F.col("g")], F.col("n"), "upto", null_keys=False).select(*by, "g", "n", "upto"))
+    per = upto.groupBy(*by).agg(F.sum("n").alias("given"), F.min("g").alias("worst"), F.min_by("n", "g").alias("at_worst"))
+    per = per.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("j", F.struct("given", "worst", "at_worst")))).alias("per")).join(totals, "query_id")
+    placed = salted_join(rows, upto, [*by, "g"], "chunk_id", 2)
+    own = placed.groupBy("query_id", "chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("j", F.struct("g", "n", "upto")))).alias("own"))
+    both = salted_join(best.select("query_id", "chunk_id"), per, ["query_id"], "chunk_id", 2).join(own, ["query_id", "chunk_id"], "left")
+
+    def rank(j: int) -> Column:
+        all_of, mine = F.col("per")[j], F.col("own")[j]
+        missing, lowest = F.col("total") - all_of["given"], mine["g"] == all_of["worst"]
+        less = mine["upto"] - mine["n"] + F.when(lowest, 0).otherwise(missing)
+        given = less + (mine["n"] + F.when(lowest, missing).otherwise(0) - 1) / 2
+        place = F.when(mine.isNotNull(), given).otherwise((all_of["at_worst"] + missing - 1) / 2)
+        return F.when(all_of.isNotNull(), F.when(F.col("total") > 1, place / (F.col("total") - 1)).otherwise(0.5))
+
+    listed = both.select("query_id", "chunk_id", F.array(*map(rank, range(len(names)))).alias("z"))
+    bare = best.select("query_id", "chunk_id").join(per.select("query_id"), "query_id", "left_anti")  # queries without any metric
     return listed.unionByName(bare.withColumn("z", F.array(*(F.lit(None).cast("double") for _ in names))))
 
 
