@@ -9,16 +9,15 @@ from pyspark.sql import functions as F
 BLOCK = 64
 
 
-def offsets(lengths: Column) -> Column:
-    """Running sums of an int array before each element, in blocks, so that long arrays don't cost their square."""
+def offsets(lengths: Column, levels: int = 2) -> Column:
+    """Running sums of an int array before each element, in blocks, and blocks of blocks, so that long arrays don't cost their square."""
     total = lambda a: F.aggregate(a, F.lit(0).cast("int"), lambda acc, x: acc + x)
+    if not levels:
+        return F.transform(lengths, lambda _, i: total(F.slice(lengths, F.lit(1), i)))
     n = F.size(lengths)
     blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.slice(lengths, b * BLOCK + 1, BLOCK))
-    sums = F.transform(blocks, total)
-    inside = F.transform(
-        blocks,
-        lambda part, b: F.transform(part, lambda _, i: total(F.slice(sums, F.lit(1), b)) + total(F.slice(part, F.lit(1), i))),
-    )
+    bases = offsets(F.transform(blocks, total), levels - 1)
+    inside = F.zip_with(blocks, bases, lambda part, base: F.transform(part, lambda _, i: base + total(F.slice(part, F.lit(1), i))))
     return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.flatten(inside))
 
 

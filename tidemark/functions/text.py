@@ -100,6 +100,11 @@ def seconds(value: Column) -> Column:
     return F.when(value.rlike(r"^(?:[0-9.]+(?:h|ms|m|s))+$"), total)
 
 
+def content_hash(text: Column) -> Column:
+    """The SHA-256 of a text, that of an empty one for null."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
 def prompted(prefix: str | None, text: Column) -> Column:
     """A text with the prompt of its kind before it."""
     return F.concat(F.lit(prefix), text) if prefix else text

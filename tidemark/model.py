@@ -16,7 +16,7 @@ CHUNK = T.StructType([
     T.StructField("char_count", T.IntegerType()), T.StructField("context", T.StringType()), T.StructField("origin", T.StringType()),
 ])
 METRIC = T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.DoubleType())])
-RETRIEVED = T.StructType([*CHUNK.fields, T.StructField("metrics", T.ArrayType(METRIC)), T.StructField("chunk_ids", T.ArrayType(T.IntegerType()))])
+RETRIEVED = T.StructType([*CHUNK.fields, T.StructField("metrics", T.ArrayType(METRIC)), T.StructField("chunk_ids", T.ArrayType(T.LongType()))])
 
 
 class VectorMethod(StrEnum):

@@ -9,9 +9,10 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.arrays import offsets
 from tidemark.operators.markdown import Heading, blocks, line_starts
 from tidemark.plans.durable import spread
 
@@ -162,15 +163,11 @@ PIECES = {"line": r"(?s).*?(?:\r\n|\n|\r)", "sentence": r"(?sU).*?[.!?]\s+", "wo
 def boundary_starts(df: DataFrame, id_col: str, text_col: str, kind: str) -> DataFrame:
     """Rows (id_col, start_index): where the lines, sentences or words of each text begin; lines include 0.
 
-    The pieces' lengths are summed by a window within a document, which is bounded by its own text; only lengths are shuffled.
+    One narrow stage: array functions sum the pieces' lengths within each row.
     """
-    rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.regexp_extract_all(text_col, F.lit(PIECES[kind]), F.lit(0)).alias("p"))
-    sizes = rows.select("__id", F.monotonically_increasing_id().alias("__row"), F.transform("p", F.length).alias("n"))
-    sizes = sizes.select("__id", "__row", F.posexplode("n").alias("i", "n"))
-    w = Window.partitionBy("__id", "__row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    ends = sizes.select(F.col("__id").alias(id_col), F.sum("n").over(w).cast("int").alias("start_index"))
-    zero = rows.select(F.col("__id").alias(id_col), F.lit(0).alias("start_index"))
-    return zero.unionByName(ends) if kind == "line" else ends
+    rows = df.where(F.col(text_col).isNotNull()).select(id_col, F.transform(F.regexp_extract_all(text_col, F.lit(PIECES[kind]), F.lit(0)), F.length).alias("__n"))
+    ends = F.zip_with(offsets(F.col("__n")), "__n", lambda at, n: at + n)
+    return rows.select(id_col, F.explode(F.concat(F.array(F.lit(0)), ends) if kind == "line" else ends).alias("start_index"))
 
 
 def slice_text(text: Column, start: Column, end: Column) -> Column:

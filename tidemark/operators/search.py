@@ -141,15 +141,24 @@ def lengths(df: DataFrame, id_col: str, text: Column, *, stemmed: bool = False)
     return df.select(F.col(id_col).alias("id"), F.size(words).alias("dl"))
 
 
-def bm25(index: DataFrame, sizes: DataFrame, query: str, *, k: float = 1.2, b: float = 0.75, conjunctive: bool = False, stemmed: bool = False) -> DataFrame:
-    """Rows (id, score): Okapi BM25 of the texts that hold a term of the query, or all of them.
+def query_terms(query: str, stemmed: bool = False) -> list[str]:
+    """The different terms of a query, in order."""
+    plain = "".join(c if c.isascii() and c.isalnum() else " " for c in query.lower())
+    return sorted(set(analyse(query) if stemmed else plain.split()))
+
+
+def bm25(index: DataFrame, sizes: DataFrame | tuple[int, float], query: str, *, k: float = 1.2, b: float = 0.75, conjunctive: bool = False, stemmed: bool = False) -> DataFrame:
+    """Rows (id, score): Okapi BM25 of the texts that hold a term of the query, or all of them. ``sizes``: the texts' lengths, or their number and mean.
 
     Each term adds log10((N - df + .5) / (df + .5) + 1) * tf * (k + 1) / (tf + k * (1 - b + b * dl / avgdl)). Only the query's postings are read; corpus
     figures come with one aggregate, broadcast as a row, document frequencies as a row a term.
     """
-    wanted = sorted(set(analyse(query) if stemmed else [t for t in "".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split()]))
+    wanted = query_terms(query, stemmed)
     hits = index.where(F.col("term").isin(wanted)) if wanted else index.limit(0)
-    whole = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    if isinstance(sizes, tuple):
+        whole = index.sparkSession.createDataFrame([(int(sizes[0]), float(sizes[1]))], "n long, avgdl double")
+    else:
+        whole = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df_ = hits.groupBy("term").agg(F.count("*").alias("df"))  # at most one row for each word of the query
     idf = F.log10((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k + 1) / (F.col("tf") + k * (1 - b + b * F.col("dl") / F.col("avgdl")))
@@ -158,6 +167,30 @@ def bm25(index: DataFrame, sizes: DataFrame, query: str, *, k: float = 1.2, b: f
     return (out.where(F.col("n_terms") == len(wanted)) if conjunctive else out).select("id", "score")
 
 
+def bm25_scan(df: DataFrame, id_col: str, text: Column, query: str, *, k: float = 1.2, b: float = 0.75, conjunctive: bool = False) -> DataFrame:
+    """As :func:`bm25` without stems, of texts that have no index: rows (id, score).
+
+    Each text gives its length and how often it holds each term of the query, in one narrow pass without an index of all its terms; one row of
+    corpus figures comes from an aggregate with map-side sums and is broadcast.
+    """
+    wanted = query_terms(query)
+    if not wanted:
+        return df.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
+    own = df.select(F.col(id_col).alias("id"), terms(F.coalesce(text, F.lit(""))).alias("w"))
+    known = F.array(*map(F.lit, wanted))
+    own = own.select("id", F.size("w").alias("dl"), F.filter("w", lambda t: F.array_contains(known, t)).alias("w"))
+    counts = own.select("id", "dl", *(F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"t{i}") for i, t in enumerate(wanted)))
+    whole = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(wanted))))
+    score, hits = F.lit(0.0), F.lit(0)
+    for i in range(len(wanted)):
+        tf, df_ = F.col(f"t{i}"), F.col(f"d{i}")
+        score += F.log10((F.col("n") - df_ + 0.5) / (df_ + 0.5) + 1) * tf * (k + 1) / (tf + k * (1 - b + b * F.col("dl") / F.col("avgdl")))
+        hits += (tf > 0).cast("int")
+    least = len(wanted) if conjunctive else 1
+    matching = counts.where(F.greatest(*(F.col(f"t{i}") for i in range(len(wanted))), F.lit(0)) > 0)
+    return matching.crossJoin(F.broadcast(whole)).where(hits >= least).select("id", score.alias("score"))  # one row
+
+
 def bm25_top(df: DataFrame, scores: DataFrame, n: int | None, *, id_col: str = "chunk_id", drop_unmatched: bool = False) -> DataFrame:
     """The ``n`` best rows of ``df`` by score, or all in any order for None, with ``metric_value``; texts without a match follow with null, unless dropped; ties by ``id_col``."""
     joined = df.join(scores.withColumnRenamed("score", "metric_value").withColumnRenamed("id", id_col), id_col, "inner" if drop_unmatched else "left")

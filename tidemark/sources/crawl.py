@@ -43,7 +43,7 @@ class Scope:
 
 
 class Fetcher(Protocol):
-    """Rows (origin, ...) to rows as in :data:`SOURCE`; what can't be fetched is left out."""
+    """Rows (origin, ...) to rows as in :data:`SOURCE`; what can't be fetched is left out, or has an ``error`` in its metadata."""
 
     def __call__(self, origins: DataFrame) -> DataFrame: ...
 
@@ -99,7 +99,7 @@ def crawl(spark: SparkSession, scope: Scope, fetch: Fetcher) -> DataFrame:
         if not batch.limit(1).count():
             break
         visited = batch.select(*keys) if visited is None else cut(visited.union(batch.select(*keys)))
-        got = cut(batch.join(fetch(batch.select("origin").distinct()), "origin"))
+        got = cut(batch.join(fetch(batch.select("origin").distinct()), "origin").where(F.col("metadata")["error"].isNull()))
         label = F.coalesce(F.col("metadata")["type_label"], X.type_label(F.regexp_extract("origin", r"^[^?#]*", 0), F.col("content_type")))
         wanted = urls.matches(F.col("origin"), scope.include_patterns) & urls.matches_types(label, scope.include_types, scope.exclude_types)
         seen = got.where(wanted).withColumn("depth", F.lit(depth)).drop("scope", "host")
@@ -287,23 +287,38 @@ def cached_fetch(cache: SourceCache, fetch: Fetcher, now: Column, stale_after: s
 
 
 def http_fetch(timeout: float = 30.0) -> Fetcher:
-    """Fetch over the network, in the executors' batches; failures are left out."""
+    """Fetch over the network, in the executors' batches: rows as in :data:`SOURCE`.
 
-    def run(batches):
+    Origins that come with ``metadata`` of an earlier fetch are asked for conditionally, by its etag or last-modified; an unchanged page is a
+    row of status 304 without a body. A failure is a row too: with the status, if there was an answer, and the reason as
+    ``error`` in its metadata; crawls neither follow nor report it.
+    """
+
+    def one(u: str, known: dict) -> tuple:
+        import urllib.error
         import urllib.request
 
+        ask = {"User-Agent": "tidemark"} | {h: known[k] for k, h in (("etag", "If-None-Match"), ("last-modified", "If-Modified-Since")) if known.get(k)}
+        try:
+            with urllib.request.urlopen(urllib.request.Request(u, headers=ask), timeout=timeout) as r:
+                tags = {k.lower(): v for k, v in r.headers.items() if k.lower() in ("etag", "last-modified")}
+                return u, urls.canonical_url(r.geturl()), r.read().decode("utf-8", "ignore"), r.headers.get("Content-Type"), r.status, tags, None, None
+        except urllib.error.HTTPError as e:
+            return u, None, None, None, e.code, known if e.code == 304 else {"error": str(e.reason)}, None, None
+        except (OSError, ValueError) as e:
+            return u, None, None, None, None, {"error": str(e)}, None, None
+
+    def run(batches):
         for pdf in batches:
-            rows = []
-            for u in pdf["origin"]:
-                try:
-                    with urllib.request.urlopen(urllib.request.Request(u, headers={"User-Agent": "tidemark"}), timeout=timeout) as r:
-                        tags = {k.lower(): v for k, v in r.headers.items() if k.lower() in ("etag", "last-modified")}
-                        rows.append((u, urls.canonical_url(r.geturl()), r.read().decode("utf-8", "ignore"), r.headers.get("Content-Type"), r.status, tags, None, None))
-                except (OSError, ValueError):
-                    continue
-            yield pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in SOURCE.replace("string,string", "").split(",")])
-
-    return lambda origins: origins.select("origin").mapInPandas(run, SOURCE)
+            rows = [one(u, dict(m) if m is not None else {}) for u, m in zip(pdf["origin"], pdf["metadata"])]
+            frame = pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in SOURCE.replace("string,string", "").split(",")])
+            yield frame.astype({"status_code": "Int32"})
+
+    def fetch(origins: DataFrame) -> DataFrame:
+        known = F.col("metadata") if "metadata" in origins.columns else F.lit(None).cast("map<string,string>")
+        return origins.select("origin", known.alias("metadata")).mapInPandas(run, SOURCE)
+
+    return fetch
 
 
 def remote_crawl(start: Callable[[dict], str], status: Callable[[str], str], records: Callable[[str, str | None], tuple[list[dict], str | None]], scope: Scope, *, polls: int = 60, pause: Callable[[], None] = lambda: None) -> list[dict]:

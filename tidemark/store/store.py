@@ -14,18 +14,20 @@ from pyspark.sql import types as T
 from tidemark.embed import QUERY, EmbeddingProvider, embed_column, provider_from_config
 from tidemark.operators import filters, search
 from tidemark.operators.chunking import explode_chunks, slice_text
-from tidemark.plans.durable import cut
+from tidemark.plans.durable import cut, parts_for
 from tidemark.plans.prefix import running_sum
 from tidemark.store import attributes as A
 from tidemark.store.files import Files
 
-MANIFEST, LOCK, FORMAT = "manifest.json", "writer.lock", 1
+MANIFEST, LOCK, FORMAT = "manifest.json", "writer.lock", 2
+#: Files that a bucket is written as, each by its own task.
+WRITERS = 8
 #: Seconds after which a writer's lock counts as left behind.
 STALE_LOCK = 6 * 3600
 
 DOCUMENTS = [T.StructField("origin", T.StringType()), T.StructField("text", T.StringType()), T.StructField("layout", T.StringType())]
 SPANS = [
-    T.StructField("origin", T.StringType()), T.StructField("chunk_id", T.IntegerType()), T.StructField("start_index", T.IntegerType()),
+    T.StructField("origin", T.StringType()), T.StructField("chunk_id", T.LongType()), T.StructField("start_index", T.IntegerType()),
     T.StructField("end_index", T.IntegerType()), T.StructField("char_count", T.IntegerType()), T.StructField("context", T.StringType()),
 ]
 
@@ -59,6 +61,11 @@ def upsert_actions(incoming: DataFrame, stored: DataFrame, skip_if_unchanged: bo
     return incoming.join(old, "origin", "left").select("origin", action.alias("action"))
 
 
+def stale_ids(stored: DataFrame, current: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Rows (key): the different ids stored that are no longer current."""
+    return stored.select(key).where(F.col(key).isNotNull()).distinct().join(current.select(key), key, "left_anti")
+
+
 def latest_versions(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """The last row of each key: what a store keeps where several versions were written."""
     best = F.struct(*order)
@@ -66,11 +73,11 @@ def latest_versions(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), best).alias("__r")).select(key, "__r.*")
 
 
-def allocate_ids(df: DataFrame, after: int, order: Sequence[str] = ("origin", "start_index", "end_index"), buckets: int = 64) -> DataFrame:
-    """``df`` with chunk_id: after + 1, after + 2 ... by hash bucket and ``order``. No task sees all rows."""
+def allocate_ids(df: DataFrame, after: int, order: Sequence[str] = ("origin", "start_index", "end_index"), buckets: int = 1 << 16) -> DataFrame:
+    """``df`` with chunk_id, 64 bits wide: after + 1, after + 2 ... by hash bucket and ``order``. No task sees all rows."""
     b = F.pmod(F.xxhash64(order[0]), F.lit(buckets))
     one = running_sum(df.withColumn("__all", F.lit(0)).withColumn("__b", b), ["__all"], F.col("__b"), [F.col(c) for c in order], F.lit(1), "__n")
-    return one.withColumn("chunk_id", (F.col("__n") + after).cast("int")).drop("__all", "__b", "__n")
+    return one.withColumn("chunk_id", (F.col("__n") + after).cast("long")).drop("__all", "__b", "__n")
 
 
 class Store:
@@ -274,7 +281,7 @@ class Store:
         for table, new in (("documents", docs.join(changed, "origin").select("origin", "text", "layout")), ("embeddings", fresh)):
             kept = self._read(table, hit).join(changed, "origin", "left_anti").select(*new.columns)
             whole = kept.unionByName(new).withColumn("bucket", self._bucket(F.col("origin")).cast("string"))
-            whole.repartition("bucket").write.partitionBy("bucket").parquet(self.files.path(f"{folder}/{table}"))
+            whole.repartition(parts_for(self.spark), "bucket", F.pmod(F.xxhash64("origin", F.lit(1)), F.lit(WRITERS))).write.partitionBy("bucket").parquet(self.files.path(f"{folder}/{table}"))
         self._swap(buckets=self.manifest["buckets"] | {b: folder for b in hit}, version=self.manifest["version"] + 1, next_id=int(added))
 
     def _swap(self, **changes) -> None:
@@ -313,8 +320,8 @@ class Store:
             chunks = self.chunks
             post = search.postings(chunks, "chunk_id", text, stemmed=True)
             post.repartitionByRange("term").sortWithinPartitions("term", "id").write.parquet(self.files.path(f"{folder}/postings"))
-            search.lengths(chunks, "chunk_id", text, stemmed=True).write.parquet(self.files.path(f"{folder}/lengths"))
-            self._swap(index={"folder": folder, "version": self.manifest["version"]})
+            n, mean = search.lengths(chunks, "chunk_id", text, stemmed=True).agg(F.count("*"), F.avg("dl")).collect()[0]
+            self._swap(index={"folder": folder, "version": self.manifest["version"], "chunks": n, "mean_length": mean or 0.0})
         finally:
             self.files.delete(LOCK)
 
@@ -338,11 +345,14 @@ class Store:
         if index is None or index["version"] != self.manifest["version"]:
             also = " or build_index()" if self.manifest["embed"] else ""
             raise RuntimeError(f'the keyword index is not current; call build_index("bm25"){also}')
-        read = lambda t: self.spark.read.parquet(self.files.path(f"{index['folder']}/{t}"))
-        scores = search.bm25(read("postings"), read("lengths"), query, k=k, b=b, conjunctive=conjunctive, stemmed=True)
+        post = self.spark.read.parquet(self.files.path(f"{index['folder']}/postings"))
+        scores = search.bm25(post, (index["chunks"], index["mean_length"]), query, k=k, b=b, conjunctive=conjunctive, stemmed=True)
         where = self._filter(attributes_filter)
         rows = self.embeddings if where is None else self.embeddings.where(where)
-        best = search.bm25_top(rows, scores, top_k, drop_unmatched=where is not None or conjunctive)
+        best = cut(search.bm25_top(rows, scores, top_k, drop_unmatched=True))
+        if where is None and not conjunctive and (lacking := top_k - best.count()) > 0:  # the first of those without a match
+            rest = rows.join(F.broadcast(best.select("chunk_id")), "chunk_id", "left_anti").orderBy("chunk_id").limit(lacking)
+            best = best.unionByName(rest.withColumn("metric_value", F.lit(None).cast("double")))
         return self._result(best, "bm25")
 
     def retrieve_fts(self, query: str, top_k: int = 3, *, attributes_filter=None) -> DataFrame:
@@ -355,10 +365,12 @@ class Store:
 
     def _result(self, best: DataFrame, name: str) -> DataFrame:
         """At most top_k rows: their place, texts, and the metric as a list."""
-        down = name in ("bm25", "ts_rank")
+        best = cut(best.withColumn("__bucket", self._bucket(F.col("origin")).cast("string")))
+        buckets = [r[0] for r in best.select("__bucket").distinct().collect()]  # of at most top_k rows; only their documents are read
+        best, down = best.drop("__bucket"), name in ("bm25", "ts_rank")
         w = Window.partitionBy().orderBy(F.desc_nulls_last("metric_value") if down else F.asc("metric_value"), "chunk_id")
         placed = F.broadcast(best.drop("embedding").withColumn("arrival", F.row_number().over(w)))  # top_k rows
-        d = self.documents.withColumnRenamed("text", "__text")
+        d = self._read("documents", buckets).select("origin", F.col("text").alias("__text"))
         out = d.join(placed, "origin").withColumn("text", slice_text(F.col("__text"), F.col("start_index"), F.col("end_index")))
         out = out.withColumn("metrics", search.metric(name, F.col("metric_value"))).withColumn("chunk_ids", F.array("chunk_id"))
         spans = [f.name for f in SPANS]
