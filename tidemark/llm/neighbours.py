@@ -538,7 +538,7 @@ def most_similar(
                 yield from search()
 
         part = base.mapInArrow(run, "query_id long, neighbour_id long, cosine double")
-        w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "neighbour_id")
+        w = Window.partitionBy("query_id").orderBy(F.round("cosine", 9).desc(), "neighbour_id")  # copies differ by rounding
         once = part.groupBy("query_id", "neighbour_id").agg(F.max("cosine").alias("cosine"))
         part = cut(once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
         found = part if found is None else found.unionByName(part)

@@ -189,7 +189,7 @@ SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM r WHERE k
 
 P1_SIMILAR_SQL = _UNIT + """
 p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_inner_product(a.e, b.e) AS c FROM v a JOIN v b ON a.chunk_id <> b.chunk_id WHERE a.chunk_id % 20 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(c, 6) DESC, b) AS k FROM p)
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(c, 9) DESC, b) AS k FROM p)
 SELECT a::BIGINT AS query_id, b::BIGINT AS neighbour_id, round(c, 4) AS cosine, k::INTEGER AS rank FROM r WHERE k <= 5
 """
 

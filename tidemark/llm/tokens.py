@@ -76,12 +76,11 @@ def sentencepiece_model(ranks: dict[bytes, int]) -> bytes:
 class Encoder:
     """Pre-tokens are encoded once each by sentencepiece and remembered."""
 
-    def __init__(self, path: str):
+    def __init__(self, vocabulary: bytes):
         import regex
         import sentencepiece
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.pieces = sorted(ranks, key=ranks.get)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(ranks))
         self.cut = regex.compile(PRE_TOKEN).findall
@@ -109,13 +108,20 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+def encoder_of(vocabulary: bytes) -> Encoder:
     """One encoder a worker process, whatever the number of its tasks."""
-    return Encoder(path)
+    return Encoder(vocabulary)
+
+
+def encoder(path: str) -> Encoder:
+    with open(path, "rb") as f:
+        return encoder_of(f.read())
 
 
-def _path(name: str, folder: str | None) -> str:
-    return os.path.join(folder or FOLDER, f"{name}.tiktoken")
+def _vocabulary(df: DataFrame, name: str, folder: str | None):
+    """The file's bytes, about a megabyte, broadcast: executors need no folder of their own."""
+    with open(os.path.join(folder or FOLDER, f"{name}.tiktoken"), "rb") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
 
 
 def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, name: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
@@ -123,10 +129,10 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Each row of ``df`` gives one row, repeated ones too; other columns are ignored. One narrow stage of Arrow batches.
     """
-    path = _path(name, folder)
+    shared = _vocabulary(df, name, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path).encode
+        enc = encoder_of(shared.value).encode
         for b in batches:
             n = max(1, min(b.num_rows, 512))
             for at in range(0, b.num_rows, n):
@@ -141,12 +147,12 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def count_tokens(df: DataFrame, text_col: str = "text", out: str = "tokens", *, name: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """``df`` without ``text_col``, with ``out``: how many ids its text has (0 for null and empty ones)."""
-    path, keep = _path(name, folder), [c for c in df.columns if c != text_col]
+    shared, keep = _vocabulary(df, name, folder), [c for c in df.columns if c != text_col]
     rows = spread(df.select(*keep, text_col))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path).encode
+        enc = encoder_of(shared.value).encode
         for b in batches:
             n = pa.array([len(enc(x)) for x in b.column(len(keep)).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], n], [*keep, out])
@@ -156,10 +162,10 @@ def count_tokens(df: DataFrame, text_col: str = "text", out: str = "tokens", *,
 
 def decode_corpus(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", *, name: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """Rows (``id_col``, text): the texts that :func:`encode_corpus` had, an empty one for empty or null ids."""
-    path = _path(name, folder)
+    shared = _vocabulary(df, name, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dec = encoder(path).decode
+        dec = encoder_of(shared.value).decode
         for b in batches:
             texts = [dec(x or []) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["id", "text"])
