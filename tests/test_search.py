@@ -114,3 +114,13 @@ def test_batch_asks_any_number_of_queries(spark):
     queries = df.withColumnRenamed("id", "q")
     rows = [{tuple(r) for r in search.vector_top_batch(df, queries, 3, **ask, max_queries=n).collect()} for n in (40, 7)]
     assert rows[0] == rows[1] and len(rows[0]) == 120
+
+
+def test_scores_without_an_index_equal_those_of_postings(spark):
+    rows = [(i, " ".join(("ring ice moon red of" .split() * 3)[i % 4 : i % 4 + 1 + i % 7])) for i in range(40)] + [(90, None), (91, ""), (92, "Ring, RING; ring!")]
+    df = spark.createDataFrame(rows, "chunk_id int, text string")
+    post, size = search.postings(df, "chunk_id", F.col("text")), search.lengths(df, "chunk_id", F.col("text"))
+    for q, both in (("Ring moon", False), ("ring ice", True), ("absent", False)):
+        want = {r.id: round(r.score, 9) for r in search.bm25(post, size, q, conjunctive=both).collect()}
+        assert {r.id: round(r.score, 9) for r in search.bm25_scan(df, "chunk_id", F.col("text"), q, conjunctive=both).collect()} == want
+    assert search.bm25_scan(df, "chunk_id", F.col("text"), " ?!").count() == 0 == search.bm25_scan(df.limit(0), "chunk_id", F.col("text"), "ring").count()

@@ -173,3 +173,35 @@ def test_stream_ingest(spark, tmp_path, docs):
     q = stream_duplicates(stream()).writeStream.outputMode("update").foreachBatch(lambda d, _: out.extend(map(tuple, d.collect()))).option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
     q.awaitTermination(180)
     assert len(out) == 1 and out[0][1] == 2
+
+
+def test_index_of_vectors(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    from tidemark.store import vectors
+
+    monkeypatch.setattr(vectors, "CELL_ROWS", 40)
+    words = [f"w{i}" for i in range(120)]
+    r = np.random.default_rng(2)
+    rows = [(f"d{i}", " ".join(r.choice(words[10 * (i % 12) : 10 * (i % 12) + 14], 12)), f"t{i % 3}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "origin string, content string, tenant string")
+    s = Store.create(spark, str(tmp_path / "v"), embed=HashingEmbedding(32), attributes={"tenant": str}, buckets=2)
+    s.ingest(docs, lambda d: chunk_documents(d, MarkdownChunker(400, 0.5)))
+    s.build_index("vss")
+    index = s.manifest["vectors"]
+    assert index["cells"] == 15 and all(v >= 0.95 for v in index["recall"].values()) and all(1 <= p <= 15 for p in index["probes"].values())
+    hit = total = 0
+    for q in (rows[i][1] for i in range(0, 600, 60)):
+        for method in ("cosine_distance", "l2_distance"):
+            want = [x.metric_value for x in s.retrieve_vss(q, 5, method=method, exact=True).collect()]
+            got = [x.metric_value for x in s.retrieve_vss(q, 5, method=method).collect()]
+            hit, total = hit + sum(abs(a - b) < 1e-9 for a, b in zip(got, want)), total + len(want)
+            assert got == sorted(got) and len(got) == 5
+    assert hit / total >= 0.9
+    few = s.retrieve_vss(rows[0][1], 150, attributes_filter="tenant = 't1'", probes=1).collect()
+    assert len(few) == 150 and {x.tenant for x in few} == {"t1"}  # more than a cell holds: all are read
+    s.build_index("bm25")
+    s.vacuum()
+    assert len(s.retrieve("w1 w2", 3).collect()) >= 3
+    s.ingest(docs.limit(1).withColumn("content", F.lit("w1 w2 w3")), lambda d: chunk_documents(d, MarkdownChunker(400, 0.5)))
+    assert s.retrieve_vss("w1 w2 w3", 1).collect()[0].metric_value < 1e-6  # an index of an older version isn't used

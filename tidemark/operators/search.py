@@ -178,8 +178,9 @@ def bm25_scan(df: DataFrame, id_col: str, text: Column, query: str, *, k: float
         return df.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
     own = df.select(F.col(id_col).alias("id"), terms(F.coalesce(text, F.lit(""))).alias("w"))
     known = F.array(*map(F.lit, wanted))
+    is_term = lambda t: lambda x: x == t
     own = own.select("id", F.size("w").alias("dl"), F.filter("w", lambda t: F.array_contains(known, t)).alias("w"))
-    counts = own.select("id", "dl", *(F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"t{i}") for i, t in enumerate(wanted)))
+    counts = own.select("id", "dl", *(F.size(F.filter("w", is_term(t))).alias(f"t{i}") for i, t in enumerate(wanted)))
     whole = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(wanted))))
     score, hits = F.lit(0.0), F.lit(0)
     for i in range(len(wanted)):

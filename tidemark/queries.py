@@ -87,17 +87,18 @@ def _filtered(given: str | dict, columns: list[str]) -> Query:
     return run
 
 
-for _name, _given in {
-    "filter_eq_and_or": "tenant = 'museum' AND (priority >= 2 OR topic = 'index')",
-    "filter_ne_null": "lang != 'en' AND topic != 'it''s'",
-    "filter_in": "lang IN ('de', 'fr') OR priority IN (1, 5)",
-    "filter_nin": {"type": "nin", "key": "lang", "value": ["en", "de"]},
-    "filter_is_null": "topic IS NULL OR lang IS NULL",
-    "filter_is_not_null": "topic IS NOT NULL AND lang IS NOT NULL",
-    "filter_range": "n_chars > 1000 AND n_chars <= 3000 AND priority < 4",
-}.items():
+for _name, _given, _where in (
+    ("filter_eq_and_or", "tenant = 'museum' AND (priority >= 2 OR topic = 'index')", "tenant = 'museum' AND (priority >= 2 OR topic = 'index')"),
+    ("filter_ne_null", "lang != 'en' AND topic != 'it''s'", "lang <> 'en' AND topic <> 'it''s'"),
+    ("filter_in", "lang IN ('de', 'fr') OR priority IN (1, 5)", "lang = 'de' OR lang = 'fr' OR priority = 1 OR priority = 5"),
+    ("filter_nin", {"type": "nin", "key": "lang", "value": ["en", "de"]}, "lang <> 'en' AND lang <> 'de'"),
+    ("filter_is_null", "topic IS NULL OR lang IS NULL", "coalesce(topic, lang) IS NULL OR topic IS NULL OR lang IS NULL"),
+    ("filter_is_not_null", "topic IS NOT NULL AND lang IS NOT NULL", "NOT (topic IS NULL OR lang IS NULL)"),
+    ("filter_range", "n_chars > 1000 AND n_chars <= 3000 AND priority < 4", "n_chars BETWEEN 1001 AND 3000 AND NOT priority >= 4"),
+    ("filter_precedence", "lang = 'en' OR lang = 'de' AND priority = 1", "lang = 'en' OR (lang = 'de' AND priority = 1)"),
+):
     QUERIES[_name] = _filtered(_given, ["doc_id", "lang", "topic", "priority"])
-    SQL[_name] = f"SELECT doc_id, lang, topic, priority FROM documents WHERE {filters.to_sql(filters.parse(_given))}"
+    SQL[_name] = f"SELECT doc_id, lang, topic, priority FROM documents WHERE {_where}"
 
 
 @query("""
@@ -203,6 +204,21 @@ def _latest(spark: SparkSession, folder: str) -> DataFrame:
 _LATEST_D = "(SELECT d.* FROM documents d JOIN (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY origin ORDER BY fetched_at DESC NULLS LAST, doc_id DESC) r FROM documents WHERE origin IS NOT NULL) WHERE r = 1) USING (doc_id))"
 
 
+def _first(spark: SparkSession, folder: str) -> DataFrame:
+    """The version of each origin that was fetched first."""
+    d = _table(spark, folder, "documents").where(F.col("origin").isNotNull()).select("origin", "doc_id", "text", "tenant", "priority", "topic", "fetched_at")
+    age = -F.unix_micros(F.coalesce("fetched_at", F.timestamp_micros(F.lit(0))))
+    return store.latest_versions(d.withColumn("age", age).withColumn("back", -F.col("doc_id")), "origin", ["age", "back"])
+
+
+_FIRST_D = "(SELECT d.* FROM documents d JOIN (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY origin ORDER BY epoch_us(coalesce(fetched_at, TIMESTAMP '1970-01-01')), doc_id) r FROM documents WHERE origin IS NOT NULL) WHERE r = 1) USING (doc_id))"
+
+
+@query(f"SELECT origin, doc_id FROM {_FIRST_D}")
+def first_version(spark: SparkSession, folder: str) -> DataFrame:
+    return _first(spark, folder).select("origin", "doc_id")
+
+
 @query(f"SELECT origin, doc_id FROM {_LATEST_D}")
 def latest_version(spark: SparkSession, folder: str) -> DataFrame:
     return _latest(spark, folder).select("origin", "doc_id")
@@ -220,12 +236,17 @@ def chunk_view_slice(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""
 WITH p AS (SELECT c.origin, CASE WHEN c.origin IS NULL OR c.origin = '' THEN 'origin' WHEN d.text IS NULL THEN 'document'
-    WHEN NOT coalesce(start_index >= 0 AND start_index <= end_index AND end_index <= length(d.text), FALSE) THEN 'span' END AS problem
+    WHEN NOT coalesce(start_index >= 0 AND start_index <= end_index AND end_index <= length(d.text), FALSE) THEN 'span'
+    WHEN c.priority >= 4 THEN 'text' END AS problem
     FROM stored_chunks c LEFT JOIN {_LATEST_D} d ON c.origin = d.origin)
 SELECT origin, problem, count(*) AS chunks FROM p WHERE problem IS NOT NULL GROUP BY origin, problem
 """)
 def chunk_validate(spark: SparkSession, folder: str) -> DataFrame:
-    return chunking.check_chunks(_table(spark, folder, "stored_chunks").drop("text"), _latest(spark, folder).select("origin", "text"))
+    """What is wrong with the stored chunks; those of a high priority come with a text that isn't their slice."""
+    docs = _latest(spark, folder).select("origin", "text")
+    c = _table(spark, folder, "stored_chunks").select("origin", "start_index", "end_index", "priority").join(docs.withColumnRenamed("text", "whole"), "origin", "left")
+    own = chunking.slice_text(F.col("whole"), F.col("start_index"), F.col("end_index"))
+    return chunking.check_chunks(c.withColumn("text", F.when(F.col("priority") >= 4, F.concat(F.lit("x"), own)).otherwise(own)).drop("whole"), docs)
 
 
 @query()
@@ -300,21 +321,23 @@ def _index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Data
     return d, search.postings(d, "doc_id", F.col("text")), search.lengths(d, "doc_id", F.col("text"))
 
 
-_BM25 = """
-WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
+_BM25_OF = """
+WITH t AS (SELECT {id}, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM {table}),
 c AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
-p AS (SELECT doc_id, term, len(any_value(w)) AS dl, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM t) WHERE term IN ('rare', 'lantern', 'of', 'the', 'decoder') GROUP BY doc_id, term),
+p AS (SELECT {id}, term, len(any_value(w)) AS dl, count(*) AS tf FROM (SELECT {id}, w, unnest(w) AS term FROM t) WHERE term IN ({terms}) GROUP BY {id}, term),
 f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-s AS (SELECT doc_id, count(*) AS k, sum(log10((n - df + 0.5) / (df + 0.5) + 1) * tf * ({k} + 1) / (tf + {k} * (1 - {b} + {b} * dl / avgdl))) AS v
-      FROM p JOIN f USING (term), c GROUP BY doc_id)
+s AS (SELECT {id}, count(*) AS k, sum(log10((n - df + 0.5) / (df + 0.5) + 1) * tf * ({k} + 1) / (tf + {k} * (1 - {b} + {b} * dl / avgdl))) AS v
+      FROM p JOIN f USING (term), c GROUP BY {id})
 """
+_TERMS = "'rare', 'lantern', 'of', 'the', 'decoder'"
+_BM25 = _BM25_OF.format(id="doc_id", table="documents", terms=_TERMS, k=1.2, b=0.75)
 
 
-def _bm25(n: int | None, where: Column | None = None, drop: bool = False, **options) -> Query:
+def _bm25(n: int | None, where: Column | None = None, drop: bool = False, words: str = WORDS, **options) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        d, post, sizes = _index(spark, folder)
-        d = d if where is None else d.where(where)
-        best = search.bm25_top(d.select("doc_id"), search.bm25(post, sizes, WORDS, **options), n, id_col="doc_id", drop_unmatched=drop)
+        d = _table(spark, folder, "documents")
+        scores = search.bm25_scan(d, "doc_id", F.col("text"), words, **options)
+        best = search.bm25_top((d if where is None else d.where(where)).select("doc_id"), scores, n, id_col="doc_id", drop_unmatched=drop)
         return best.select("doc_id", F.round("metric_value", 6).alias("metric_value"))
 
     return run
@@ -322,18 +345,27 @@ def _bm25(n: int | None, where: Column | None = None, drop: bool = False, **opti
 
 _TOP = "SELECT doc_id, round(v, 6) AS metric_value FROM s ORDER BY v DESC, doc_id LIMIT 10"
 QUERIES |= {
-    "bm25_topk": _bm25(10, drop=True), "bm25_params": _bm25(10, drop=True, k=2.0, b=0.3), "bm25_conjunctive": _bm25(10, drop=True, conjunctive=True),
+    "bm25_topk": _bm25(10, drop=True), "bm25_params": _bm25(10, drop=True, k=2.0, b=0.3), "bm25_conjunctive": _bm25(10, drop=True, words="Which decoder, the", conjunctive=True),
     "bm25_filtered": lambda spark, folder: _bm25(10, F.col("lang") == "en", True)(spark, folder), "bm25_null_tail": _bm25(None),
 }
 SQL |= {
-    "bm25_topk": _BM25.format(k=1.2, b=0.75) + _TOP,
-    "bm25_params": _BM25.format(k=2.0, b=0.3) + _TOP,
-    "bm25_conjunctive": _BM25.format(k=1.2, b=0.75) + "SELECT doc_id, round(v, 6) AS metric_value FROM s WHERE k = 5 ORDER BY v DESC, doc_id LIMIT 10",
-    "bm25_filtered": _BM25.format(k=1.2, b=0.75) + "SELECT doc_id, round(v, 6) AS metric_value FROM s JOIN documents USING (doc_id) WHERE lang = 'en' ORDER BY v DESC, doc_id LIMIT 10",
-    "bm25_null_tail": _BM25.format(k=1.2, b=0.75) + "SELECT doc_id, round(v, 6) AS metric_value FROM documents LEFT JOIN s USING (doc_id)",
+    "bm25_topk": _BM25 + _TOP,
+    "bm25_params": _BM25_OF.format(id="doc_id", table="documents", terms=_TERMS, k=2.0, b=0.3) + _TOP,
+    "bm25_conjunctive": _BM25_OF.format(id="doc_id", table="documents", terms="'which', 'decoder', 'the'", k=1.2, b=0.75)
+    + "SELECT doc_id, round(v, 6) AS metric_value FROM s WHERE k = 3 ORDER BY v DESC, doc_id LIMIT 10",
+    "bm25_filtered": _BM25 + "SELECT doc_id, round(v, 6) AS metric_value FROM s JOIN documents USING (doc_id) WHERE lang = 'en' ORDER BY v DESC, doc_id LIMIT 10",
+    "bm25_null_tail": _BM25 + "SELECT doc_id, round(v, 6) AS metric_value FROM documents LEFT JOIN s USING (doc_id)",
 }
 
 
+@query(_BM25 + _TOP)
+def bm25_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same search by postings and lengths."""
+    d, post, sizes = _index(spark, folder)
+    best = search.bm25_top(d.select("doc_id"), search.bm25(post, sizes, WORDS), 10, id_col="doc_id", drop_unmatched=True)
+    return best.select("doc_id", F.round("metric_value", 6).alias("metric_value"))
+
+
 @query("""
 WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents)
 SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(w) AS term FROM t) GROUP BY term
@@ -360,25 +392,36 @@ def fts_rank(spark: SparkSession, folder: str) -> DataFrame:
 # --------------------------------------------------- fusion, merging, reading
 
 
-@query(_BM25.format(k=1.2, b=0.75) + """,
-l AS (SELECT doc_id, v FROM s ORDER BY v DESC, doc_id LIMIT 20),
-r AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS v FROM documents WHERE n_chars IS NOT NULL ORDER BY n_chars, doc_id LIMIT 20),
-b AS (SELECT doc_id, 0 AS m, 'bm25' AS name, v FROM l UNION ALL SELECT doc_id, 1, 'length', v FROM r)
-SELECT doc_id, array_to_string(list(name ORDER BY m), ',') AS names, round(sum(v), 6) AS total FROM b GROUP BY doc_id
+_CHUNK_TEXTS = f"""(SELECT c.chunk_id, any_value(c.embedding) AS embedding, any_value(d.text[c.start_index + 1:c.end_index]) AS text FROM stored_chunks c JOIN {_LATEST_D} d USING (origin)
+    WHERE c.chunk_id IS NOT NULL AND c.start_index >= 0 AND c.start_index < c.end_index AND len(c.embedding) = 64 AND len(list_filter(c.embedding, lambda x: x IS NULL OR isnan(x))) = 0
+      AND len(list_filter(c.embedding, lambda x: x <> 0)) > 0 GROUP BY c.chunk_id)"""
+
+
+@query(_BM25_OF.format(id="chunk_id", table=_CHUNK_TEXTS, terms=_TERMS, k=1.2, b=0.75) + f""",
+e AS (SELECT chunk_id, embedding::DOUBLE[] AS e FROM {_CHUNK_TEXTS}),
+q AS (SELECT arg_min(e, chunk_id) AS q FROM e),
+l AS (SELECT chunk_id, v FROM s ORDER BY v DESC, chunk_id LIMIT 20),
+r AS (SELECT chunk_id, 1 - list_cosine_similarity(e, q) AS v FROM e, q ORDER BY round(v, 9), chunk_id LIMIT 20),
+b AS (SELECT chunk_id, 0 AS m, 'cosine_distance' AS name, v FROM r UNION ALL SELECT chunk_id, 1, 'bm25', v FROM l)
+SELECT chunk_id, array_to_string(list(name ORDER BY m), ',') AS names, round(sum(v), 5) AS total FROM b GROUP BY chunk_id
 """)
 def hybrid_fuse(spark: SparkSession, folder: str) -> DataFrame:
-    """Two methods' results fused by document: the metrics of both, in the order of the methods."""
-    d, post, sizes = _index(spark, folder)
-    best = search.bm25_top(d.select("doc_id"), search.bm25(post, sizes, WORDS), 20, id_col="doc_id", drop_unmatched=True)
-    short = d.where(F.col("n_chars").isNotNull()).orderBy("n_chars", "doc_id").limit(20).select("doc_id", F.col("n_chars").alias("metric_value"))
-    as_result = lambda r, n: r.select("doc_id", F.lit(0).alias("arrival"), search.metric(n, F.col("metric_value")).alias("metrics"))
-    fused = search.fuse_methods([as_result(best, "bm25"), as_result(short, "length")], ("doc_id",))
+    """Vector and keyword search over chunks, fused by chunk: the metrics of both, in the order of the methods. The smallest chunk's vector asks."""
+    c = _table(spark, folder, "stored_chunks").where("chunk_id is not null and start_index >= 0 and start_index < end_index and size(embedding) = 64")
+    c = c.where(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)) & F.exists("embedding", lambda x: x != 0))
+    c = c.join(_latest(spark, folder).select("origin", "text"), "origin").withColumn("text", chunking.slice_text(F.col("text"), F.col("start_index"), F.col("end_index")))
+    c = cut(c.select("chunk_id", "embedding", "text").dropDuplicates(["chunk_id"]))
+    near = search.vector_top(c, c.orderBy("chunk_id").first()["embedding"], 20)
+    best = search.bm25_top(c.select("chunk_id"), search.bm25_scan(c, "chunk_id", F.col("text"), WORDS), 20, drop_unmatched=True)
+    as_result = lambda r, n: r.select("chunk_id", F.lit(0).alias("arrival"), search.metric(n, F.col("metric_value")).alias("metrics"))
+    fused = search.fuse_methods([as_result(near, "cosine_distance"), as_result(best, "bm25")], ("chunk_id",))
     total = F.aggregate("metrics", F.lit(0.0), lambda acc, m: acc + m["value"])
-    return fused.select("doc_id", F.array_join(F.transform("metrics", lambda m: m["name"]), ",").alias("names"), F.round(total, 6).alias("total"))
+    return fused.select("chunk_id", F.array_join(F.transform("metrics", lambda m: m["name"]), ",").alias("names"), F.round(total, 5).alias("total"))
 
 
 _SPANS = """
-WITH r AS (SELECT query_id, origin, start_index, min(end_index) AS end_index, chunk_id, min(context) AS context FROM retrieved_chunks
+WITH r AS (SELECT query_id, origin, start_index, min(end_index) AS end_index, chunk_id, min(context) AS context, sum(len(metrics)) AS n_metrics,
+                  max(list_max(list_transform(list_filter(metrics, lambda m: m.name IS NOT NULL AND m.value IS NOT NULL AND NOT isnan(m.value)), lambda m: m.value))) AS best FROM retrieved_chunks
            WHERE query_id IS NOT NULL AND origin IS NOT NULL AND chunk_id IS NOT NULL AND start_index >= 0 AND start_index < end_index GROUP BY query_id, origin, start_index, chunk_id),
 m AS (SELECT *, max(end_index) OVER w AS pe FROM r WINDOW w AS (PARTITION BY query_id, origin ORDER BY start_index, chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 i AS (SELECT *, sum(CASE WHEN pe IS NULL OR start_index >= pe THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, origin ORDER BY start_index, chunk_id) AS k FROM m)
@@ -386,15 +429,30 @@ i AS (SELECT *, sum(CASE WHEN pe IS NULL OR start_index >= pe THEN 1 ELSE 0 END)
 
 
 def _retrieved(spark: SparkSession, folder: str) -> DataFrame:
-    """Each chunk a query retrieved, once, as a row that can be merged."""
+    """Each chunk a query retrieved, once, as a row that can be merged: with the text of its slice, where the document is known, and all its metrics."""
     r = _table(spark, folder, "retrieved_chunks").where("query_id is not null and origin is not null and chunk_id is not null and start_index >= 0 and start_index < end_index")
-    r = r.groupBy("query_id", "origin", "start_index", "chunk_id").agg(F.min("end_index").alias("end_index"), F.min("context").alias("context"))
+    lists = F.flatten(F.collect_list(F.coalesce("metrics", F.array().cast(search.METRIC_LIST))))
+    r = r.groupBy("query_id", "origin", "start_index", "chunk_id").agg(F.min("end_index").alias("end_index"), F.min("context").alias("context"), lists.alias("metrics"))
+    r = r.join(_latest(spark, folder).select("origin", "text"), "origin", "left")
     return r.select(
-        F.struct("query_id", "origin").alias("place"), "start_index", "end_index", "context", F.lit("").alias("text"), F.array("chunk_id").alias("chunk_ids"),
-        F.array().cast(search.METRIC_LIST).alias("metrics"), F.col("chunk_id").alias("arrival"), F.col("chunk_id").alias("rank"),
+        F.struct("query_id", "origin").alias("place"), "start_index", "end_index", "context",
+        F.coalesce(chunking.slice_text(F.col("text"), F.col("start_index"), F.col("end_index")), F.lit("")).alias("text"), F.array("chunk_id").alias("chunk_ids"),
+        F.col("metrics").cast(search.METRIC_LIST).alias("metrics"), F.col("chunk_id").alias("arrival"), F.col("chunk_id").alias("rank"),
     )
 
 
+@query(_SPANS + f""", g AS (SELECT query_id, origin, min(start_index) AS s, max(end_index) AS e, sum(n_metrics) AS n, max(best) AS best, arg_min(context, (start_index, chunk_id)) FILTER (context IS NOT NULL) AS context
+                            FROM i GROUP BY query_id, origin, k)
+SELECT g.query_id, g.origin, CAST(s AS INTEGER) AS start_index, sha256(coalesce(d.text[s + 1:e], '')) AS hash, CAST(coalesce(n, 0) AS BIGINT) AS n_metrics, best
+FROM g LEFT JOIN {_LATEST_D} d ON g.origin = d.origin
+""")
+def deoverlap_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts of merged chunks, put together from what each adds, and how many metrics they have, with the greatest value."""
+    out = search.deoverlap(_retrieved(spark, folder), key="place")
+    values = F.transform(F.filter("metrics", lambda m: m["name"].isNotNull() & ~F.isnan(m["value"])), lambda m: m["value"])
+    return out.select("place.query_id", "place.origin", "start_index", X.content_hash(F.col("text")).alias("hash"), F.size("metrics").cast("long").alias("n_metrics"), F.array_max(values).alias("best"))
+
+
 @query(_SPANS + """
 SELECT query_id, origin, min(start_index) AS start_index, max(end_index) AS end_index, count(DISTINCT chunk_id) AS chunks, max(end_index) - min(start_index) AS char_count
 FROM i GROUP BY query_id, origin, k
@@ -413,58 +471,67 @@ def deoverlap_attr_lists(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("place.query_id", "place.origin", "start_index", F.array_join(F.col("rank").cast("array<string>"), ",").alias("ranks"))
 
 
-@query(_BM25.format(k=1.2, b=0.75) + """,
+@query(_BM25 + """,
 a AS (SELECT doc_id FROM s ORDER BY v DESC, doc_id LIMIT 10)
 SELECT doc_id, round(v, 6) AS metric_value FROM s WHERE doc_id NOT IN (SELECT doc_id FROM a) ORDER BY v DESC, doc_id LIMIT 10
 """)
 def seen_exclusion(spark: SparkSession, folder: str) -> DataFrame:
     """The next page of results: what was seen is filtered out before."""
-    d, post, sizes = _index(spark, folder)
-    scores = search.bm25(post, sizes, WORDS)
+    d = _table(spark, folder, "documents")
+    scores = search.bm25_scan(d, "doc_id", F.col("text"), WORDS)
     first = search.bm25_top(d.select("doc_id"), scores, 10, id_col="doc_id", drop_unmatched=True).select("doc_id")
     rest = d.select("doc_id").join(F.broadcast(first), "doc_id", "left_anti")  # ten rows
     return search.bm25_top(rest, scores, 10, id_col="doc_id", drop_unmatched=True).select("doc_id", F.round("metric_value", 6).alias("metric_value"))
 
 
-@query()
+@query(_BM25 + """,
+a AS (SELECT doc_id FROM s ORDER BY v DESC, doc_id LIMIT 5)
+SELECT sha256(string_agg(coalesce(lang, '-') || ':' || coalesce(topic, '-'), '|' ORDER BY doc_id)) AS hash, count(*) AS chunks FROM documents SEMI JOIN a USING (doc_id)
+""")
 def tool_json(spark: SparkSession, folder: str) -> DataFrame:
-    d, post, sizes = _index(spark, folder)
-    best = search.bm25_top(d.select("doc_id", "text", "topic"), search.bm25(post, sizes, WORDS), 5, id_col="doc_id", drop_unmatched=True)
-    return search.tool_json(best.select(F.col("topic").alias("context"), "text", F.col("doc_id").alias("arrival")))
+    """The five best documents as one JSON text for a tool call, read back from it."""
+    d = _table(spark, folder, "documents")
+    best = search.bm25_top(d.select("doc_id", "lang", "topic"), search.bm25_scan(d, "doc_id", F.col("text"), WORDS), 5, id_col="doc_id", drop_unmatched=True)
+    told = search.tool_json(best.select(F.coalesce("lang", F.lit("-")).alias("context"), F.coalesce("topic", F.lit("-")).alias("text"), F.col("doc_id").alias("arrival")))
+    back = F.from_json("json", "array<struct<context:string,text:string>>")
+    return told.select(F.sha2(F.array_join(F.transform(back, lambda x: F.concat(x["context"], F.lit(":"), x["text"])), "|"), 256).alias("hash"), F.size(back).cast("long").alias("chunks"))
 
 
 # -------------------------------------------------------------------- writing
 
 
 def _stored_and_incoming(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """As stored: all but every 5th latest document. As incoming: all but every 7th, every 3rd with another text."""
-    d = _latest(spark, folder).where(F.col("text").isNotNull()).select("origin", "doc_id", "text", F.lit("one").alias("layout"))
-    incoming = d.where("doc_id % 7 <> 0").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
-    return d.where("doc_id % 5 <> 0").drop("doc_id"), incoming.withColumn("layout", F.when(F.col("doc_id") % 11 == 0, "two").otherwise("one")).drop("doc_id")
+    """As stored: the first version of each document that has a text. As incoming: the latest. The layout is that of one chunk under the topic."""
+
+    def laid_out(d: DataFrame) -> DataFrame:
+        d = d.where(F.col("text").isNotNull()).select("origin", "text", "topic")
+        n = F.length("text")
+        chunk = d.select("origin", F.lit(0).alias("start_index"), n.alias("end_index"), n.alias("char_count"), F.col("topic").alias("context"))
+        return d.select("origin", "text").join(chunk.groupBy("origin").agg(store.layout_signature().alias("layout")), "origin")
+
+    return laid_out(_first(spark, folder)), laid_out(_latest(spark, folder))
 
 
 _ACTIONS = f"""
-WITH d AS (SELECT origin, doc_id FROM {_LATEST_D} WHERE text IS NOT NULL AND doc_id % 7 <> 0),
-a AS (SELECT origin, CASE WHEN doc_id % 5 = 0 THEN 'inserted' WHEN doc_id % 3 = 0 OR doc_id % 11 = 0 THEN 'replaced' ELSE 'skipped' END AS action FROM d)
+WITH n AS (SELECT origin, text, topic FROM {_LATEST_D} WHERE text IS NOT NULL), o AS (SELECT origin, text, topic FROM {_FIRST_D} WHERE text IS NOT NULL),
+a AS (SELECT n.origin, CASE WHEN o.origin IS NULL THEN 'inserted' WHEN n.text <> o.text OR {{also}} THEN 'replaced' ELSE 'skipped' END AS action FROM n LEFT JOIN o ON n.origin = o.origin)
 """
+_LAYOUT = "n.topic IS DISTINCT FROM o.topic"
 
 
-@query(_ACTIONS + "SELECT origin, action FROM a")
+@query(_ACTIONS.format(also=_LAYOUT) + "SELECT origin, action FROM a")
 def upsert_actions(spark: SparkSession, folder: str) -> DataFrame:
     stored, incoming = _stored_and_incoming(spark, folder)
     return store.upsert_actions(incoming, stored)
 
 
-@query(_ACTIONS + "SELECT action, count(*) AS documents FROM a GROUP BY action")
+@query(_ACTIONS.format(also=_LAYOUT) + "SELECT action, count(*) AS documents FROM a GROUP BY action")
 def ingest_summary(spark: SparkSession, folder: str) -> DataFrame:
     stored, incoming = _stored_and_incoming(spark, folder)
     return store.upsert_actions(incoming, stored).groupBy("action").agg(F.count("*").alias("documents"))
 
 
-@query(f"""
-WITH d AS (SELECT origin, doc_id FROM {_LATEST_D} WHERE text IS NOT NULL AND doc_id % 7 <> 0)
-SELECT origin, CASE WHEN doc_id % 5 = 0 THEN 'inserted' WHEN doc_id % 3 = 0 THEN 'replaced' ELSE 'skipped' END AS action FROM d
-""")
+@query(_ACTIONS.format(also="FALSE") + "SELECT origin, action FROM a")
 def upsert_actions_text_only(spark: SparkSession, folder: str) -> DataFrame:
     stored, incoming = _stored_and_incoming(spark, folder)
     return store.upsert_actions(incoming, stored, skip_on="text")
@@ -498,7 +565,7 @@ def snapshot_rebuild(spark: SparkSession, folder: str) -> DataFrame:
     return g.select("origin", layout.alias("layout"), first.alias("priority"))
 
 
-@query(_KEPT + "SELECT count(*) AS chunks, count(*) AS ids, CAST(101 AS INTEGER) AS first_id, CAST(count(*) + 100 AS INTEGER) AS last_id FROM c")
+@query(_KEPT + "SELECT count(*) AS chunks, count(*) AS ids, CAST(101 AS BIGINT) AS first_id, count(*) + 100 AS last_id FROM c")
 def chunk_id_alloc(spark: SparkSession, folder: str) -> DataFrame:
     """New chunks get consecutive ids after the last one given."""
     given = store.allocate_ids(_spans(spark, folder), 100)
@@ -509,13 +576,7 @@ def chunk_id_alloc(spark: SparkSession, folder: str) -> DataFrame:
 SELECT chunk_id FROM (SELECT DISTINCT chunk_id FROM stored_chunks WHERE chunk_id IS NOT NULL) WHERE chunk_id NOT IN (SELECT chunk_id FROM retrieved_chunks WHERE chunk_id IS NOT NULL)
 """)
 def stale_ids(spark: SparkSession, folder: str) -> DataFrame:
-    old, new = _table(spark, folder, "stored_chunks").select("chunk_id"), _table(spark, folder, "retrieved_chunks").select("chunk_id")
-    return old.where("chunk_id is not null").distinct().join(new, "chunk_id", "left_anti")
-
-
-@query("SELECT count(DISTINCT origin) AS documents FROM documents")
-def store_size(spark: SparkSession, folder: str) -> DataFrame:
-    return _table(spark, folder, "documents").agg(F.count_distinct("origin").alias("documents"))
+    return store.stale_ids(_table(spark, folder, "stored_chunks"), _table(spark, folder, "retrieved_chunks"))
 
 
 # ----------------------------------------------------------- scalar functions
@@ -523,7 +584,7 @@ def store_size(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS hash FROM documents")
 def content_hash(spark: SparkSession, folder: str) -> DataFrame:
-    return _table(spark, folder, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
+    return _table(spark, folder, "documents").select("doc_id", X.content_hash(F.col("text")).alias("hash"))
 
 
 @query(r"""

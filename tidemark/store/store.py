@@ -17,6 +17,7 @@ from tidemark.operators.chunking import explode_chunks, slice_text
 from tidemark.plans.durable import cut, parts_for
 from tidemark.plans.prefix import running_sum
 from tidemark.store import attributes as A
+from tidemark.store import vectors
 from tidemark.store.files import Files
 
 MANIFEST, LOCK, FORMAT = "manifest.json", "writer.lock", 2
@@ -91,6 +92,7 @@ class Store:
     def __init__(self, spark: SparkSession, files: Files, manifest: dict):
         self.spark, self.files, self.manifest = spark, files, manifest
         self.attributes = A.from_json(manifest["attributes"])
+        self._centroids: tuple | None = None
 
     # ------------------------------------------------------------------ open
 
@@ -112,7 +114,7 @@ class Store:
         manifest = {
             "format": FORMAT, "name": name or location.rstrip("/").rsplit("/", 1)[-1], "title": title, "profile": profile,
             "embed": embed.config() if embed else None, "dimension": embed.dimension() if embed else None, "attributes": A.to_json(declared),
-            "bucket_count": buckets, "buckets": {}, "version": 0, "next_id": 0, "index": None,
+            "bucket_count": buckets, "buckets": {}, "version": 0, "next_id": 0, "index": None, "vectors": None,
         }
         files.create(MANIFEST, manifest)
         return cls(spark, files, manifest)
@@ -297,7 +299,7 @@ class Store:
 
     def vacuum(self) -> None:
         """Delete the folders that the manifest no longer names. Readers of older versions must be done."""
-        held = {*self.manifest["buckets"].values(), *([self.manifest["index"]["folder"]] if self.manifest["index"] else [])}
+        held = {*self.manifest["buckets"].values(), *(i["folder"] for i in (self.manifest["index"], self.manifest["vectors"]) if i)}
         for s in self.files._fs.listStatus(self.files._path(self.files.root)):
             name = s.getPath().getName()
             if s.isDirectory() and name not in held:
@@ -306,22 +308,27 @@ class Store:
     # ----------------------------------------------------------------- index
 
     def build_index(self, kind: str | Sequence[str] | None = None) -> None:
-        """Build the keyword index over contexts and texts. "vss" needs none here: vector search reads all vectors, exactly."""
-        kinds = {"bm25", "vss"} if kind is None else {kind} if isinstance(kind, str) else set(kind)
+        """Build the keyword index over contexts and texts ("bm25"), the index of the vectors ("vss", :mod:`tidemark.store.vectors`), or both."""
+        kinds = {"bm25", *(["vss"] if self.manifest["embed"] else [])} if kind is None else {kind} if isinstance(kind, str) else set(kind)
         if unknown := kinds - {"bm25", "vss"}:
             raise ValueError(f"unknown index {sorted(unknown)}")
-        if "bm25" not in kinds:
-            return
+        if "vss" in kinds and not self.manifest["embed"]:
+            raise ValueError("this store has no vectors")
         self._lock()
         try:
             self.manifest = self.files.read(MANIFEST)
-            folder = f"i{self.manifest['version']}-{uuid.uuid4().hex[:8]}"
-            text = F.concat_ws(" ", "context", "text")
-            chunks = self.chunks
-            post = search.postings(chunks, "chunk_id", text, stemmed=True)
-            post.repartitionByRange("term").sortWithinPartitions("term", "id").write.parquet(self.files.path(f"{folder}/postings"))
-            n, mean = search.lengths(chunks, "chunk_id", text, stemmed=True).agg(F.count("*"), F.avg("dl")).collect()[0]
-            self._swap(index={"folder": folder, "version": self.manifest["version"], "chunks": n, "mean_length": mean or 0.0})
+            version = self.manifest["version"]
+            if "bm25" in kinds:
+                folder = f"i{version}-{uuid.uuid4().hex[:8]}"
+                text = F.concat_ws(" ", "context", "text")
+                chunks = self.chunks
+                post = search.postings(chunks, "chunk_id", text, stemmed=True)
+                post.repartitionByRange("term").sortWithinPartitions("term", "id").write.parquet(self.files.path(f"{folder}/postings"))
+                n, mean = search.lengths(chunks, "chunk_id", text, stemmed=True).agg(F.count("*"), F.avg("dl")).collect()[0]
+                self._swap(index={"folder": folder, "version": version, "chunks": n, "mean_length": mean or 0.0})
+            if "vss" in kinds:
+                folder = f"v{version}-index-{uuid.uuid4().hex[:8]}"
+                self._swap(vectors={"folder": folder, "version": version, **vectors.build(self.embeddings, self.files.path(folder))})
         finally:
             self.files.delete(LOCK)
 
@@ -330,14 +337,28 @@ class Store:
     def _filter(self, given: str | Mapping | None) -> Column | None:
         return filters.to_column(filters.parse(given, A.filterable(self.attributes)))
 
-    def retrieve_vss(self, query: str | Sequence[float], top_k: int = 3, *, method: str = "cosine_distance", attributes_filter=None) -> DataFrame:
-        """The chunks nearest to a text or vector: filtered first, the best joined with their texts last."""
+    def retrieve_vss(
+        self, query: str | Sequence[float], top_k: int = 3, *, method: str = "cosine_distance", attributes_filter=None, exact: bool = False, probes: int | None = None
+    ) -> DataFrame:
+        """The chunks nearest to a text or vector: filtered first, the best joined with their texts last.
+
+        With a current vector index only the cells nearest to the query are read: as many as ``build_index`` found to hold 0.95 of the nearest, or
+        ``probes``. All vectors are read if there is no such index, if ``exact``, or if the cells hold fewer than ``top_k`` chunks that pass the filter.
+        """
         if isinstance(query, str):
             if (provider := self.provider) is None:
                 raise ValueError("this store has no embedding provider; ask with a vector")
             query = provider.embed([query], QUERY)[0]
-        best = search.vector_top(self.embeddings, query, top_k, method=method, where=self._filter(attributes_filter))
-        return self._result(best, method)
+        where, index = self._filter(attributes_filter), self.manifest["vectors"]
+        if not exact and index and index["version"] == self.manifest["version"] and index["cells"]:
+            path = self.files.path(index["folder"])
+            if self._centroids is None or self._centroids[0] != path:
+                self._centroids = path, vectors.read_centroids(self.spark, path)
+            near = vectors.candidates(self.spark, path, self._centroids[1], index, query, method, probes).select(*self._schema("embeddings").names)
+            best = cut(search.vector_top(near, query, top_k, method=method, where=where))
+            if best.count() == top_k:
+                return self._result(best, method)
+        return self._result(search.vector_top(self.embeddings, query, top_k, method=method, where=where), method)
 
     def retrieve_bm25(self, query: str, top_k: int = 3, *, k: float = 1.2, b: float = 0.75, conjunctive: bool = False, attributes_filter=None) -> DataFrame:
         """The chunks of the best BM25 scores. Without a filter, chunks without a match fill up the ``top_k``, with a null score."""
