@@ -12,7 +12,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.arrays import offsets
 from tidemark.operators.markdown import Heading, blocks, line_starts
 from tidemark.plans.durable import spread
 
@@ -156,18 +155,24 @@ def target_spans(df: DataFrame, id_col: str, text_col: str, size: int, overlap:
     return rows.select(id_col, "x.*")
 
 
-#: What ends a piece of text, for each kind of boundary: the next piece begins there.
-PIECES = {"line": r"(?s).*?(?:\r\n|\n|\r)", "sentence": r"(?sU).*?[.!?]\s+", "word": r"(?sU).*?\s+"}
+#: White space as Unicode has it, and what ends a piece of text, for each kind of boundary: the next piece begins there.
+SPACE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+PIECES = {"line": r"\r\n|\n|\r", "sentence": rf"[.!?]{SPACE}+", "word": rf"{SPACE}+"}
 
 
 def boundary_starts(df: DataFrame, id_col: str, text_col: str, kind: str) -> DataFrame:
     """Rows (id_col, start_index): where the lines, sentences or words of each text begin; lines include 0.
 
-    One narrow stage: array functions sum the pieces' lengths within each row.
+    One narrow stage: a pattern runs over each text in Arrow batches; nothing but places comes back.
     """
-    rows = df.where(F.col(text_col).isNotNull()).select(id_col, F.transform(F.regexp_extract_all(text_col, F.lit(PIECES[kind]), F.lit(0)), F.length).alias("__n"))
-    ends = F.zip_with(offsets(F.col("__n")), "__n", lambda at, n: at + n)
-    return rows.select(id_col, F.explode(F.concat(F.array(F.lit(0)), ends) if kind == "line" else ends).alias("start_index"))
+    ends, first = re.compile(PIECES[kind]), [0] if kind == "line" else []
+
+    @F.arrow_udf("array<int>")
+    def places(texts: pa.Array) -> pa.Array:
+        return pa.array([first + [m.end() for m in ends.finditer(t)] for t in texts.to_pylist()], pa.list_(pa.int32()))
+
+    rows = spread(df.where(F.col(text_col).isNotNull()).select(id_col, text_col))
+    return rows.select(id_col, F.explode(places(F.col(text_col))).alias("start_index"))
 
 
 def slice_text(text: Column, start: Column, end: Column) -> Column:

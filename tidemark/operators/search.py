@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.arrays import dot, ordered_distinct
 from tidemark.functions.text import analyse, terms
+from tidemark.plans.durable import cut, spread
 
 #: Distances by name. All sort upwards.
 METRICS = ("cosine_distance", "euclidean_distance", "negative_inner_product")
@@ -170,26 +173,39 @@ def bm25(index: DataFrame, sizes: DataFrame | tuple[int, float], query: str, *,
 def bm25_scan(df: DataFrame, id_col: str, text: Column, query: str, *, k: float = 1.2, b: float = 0.75, conjunctive: bool = False) -> DataFrame:
     """As :func:`bm25` without stems, of texts that have no index: rows (id, score).
 
-    Each text gives its length and how often it holds each term of the query, in one narrow pass without an index of all its terms; one row of
-    corpus figures comes from an aggregate with map-side sums and is broadcast.
+    One narrow pass of Arrow batches: each sends on the texts that hold a term, with their counts, and one row of its own figures, of which the
+    corpus's are made. Those rows, without texts, are cut from their lineage, so texts are read once.
     """
     wanted = query_terms(query)
+    kind = df.schema[id_col].dataType.simpleString()
     if not wanted:
         return df.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
-    own = df.select(F.col(id_col).alias("id"), terms(F.coalesce(text, F.lit(""))).alias("w"))
-    known = F.array(*map(F.lit, wanted))
-    is_term = lambda t: lambda x: x == t
-    own = own.select("id", F.size("w").alias("dl"), F.filter("w", lambda t: F.array_contains(known, t)).alias("w"))
-    counts = own.select("id", "dl", *(F.size(F.filter("w", is_term(t))).alias(f"t{i}") for i, t in enumerate(wanted)))
-    whole = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(wanted))))
-    score, hits = F.lit(0.0), F.lit(0)
+    names, split = pa.schema([("dl", pa.int32()), ("tf", pa.list_(pa.int32())), ("n", pa.int64()), ("words", pa.int64()), ("df", pa.list_(pa.int64()))]), re.compile("[a-z0-9]+").findall
+
+    def run(batches):
+        for b in batches:
+            size, tf = np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, len(wanted)), np.int64)
+            for i, text in enumerate(b.column(1).to_pylist()):
+                words = split((text or "").lower())
+                size[i], tf[i] = len(words), [words.count(t) for t in wanted]
+            hit = np.flatnonzero(tf.any(axis=1))
+            own = [None] * len(hit)
+            columns = [
+                pa.concat_arrays([b.column(0).take(pa.array(hit)), pa.nulls(1, b.column(0).type)]), [*size[hit].tolist(), None], [*tf[hit].tolist(), None],
+                [*own, b.num_rows], [*own, int(size.sum())], [*own, (tf > 0).sum(axis=0).tolist()],
+            ]
+            yield pa.RecordBatch.from_arrays([columns[0], *(pa.array(c, f.type) for c, f in zip(columns[1:], names))], ["id", *names.names])
+
+    counts = spread(df.select(F.col(id_col).alias("id"), text.alias("t"))).mapInArrow(run, f"id {kind}, dl int, tf array<int>, n long, words long, df array<long>")
+    counts = cut(counts)
+    df_ = [F.coalesce(F.sum(F.col("df")[i]), F.lit(0)).alias(f"d{i}") for i in range(len(wanted))]
+    whole = counts.where("n is not null").agg(F.sum("n").alias("__n"), (F.sum("words") / F.sum("n")).alias("avgdl"), *df_)
+    score = F.lit(0.0)
     for i in range(len(wanted)):
-        tf, df_ = F.col(f"t{i}"), F.col(f"d{i}")
-        score += F.log10((F.col("n") - df_ + 0.5) / (df_ + 0.5) + 1) * tf * (k + 1) / (tf + k * (1 - b + b * F.col("dl") / F.col("avgdl")))
-        hits += (tf > 0).cast("int")
-    least = len(wanted) if conjunctive else 1
-    matching = counts.where(F.greatest(*(F.col(f"t{i}") for i in range(len(wanted))), F.lit(0)) > 0)
-    return matching.crossJoin(F.broadcast(whole)).where(hits >= least).select("id", score.alias("score"))  # one row
+        tf, d = F.col("tf")[i], F.col(f"d{i}")
+        score += F.log10((F.col("__n") - d + 0.5) / (d + 0.5) + 1) * tf * (k + 1) / (tf + k * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    every = F.array_min("tf") > 0 if conjunctive else F.lit(True)
+    return counts.where("n is null").crossJoin(F.broadcast(whole)).where(every).select("id", score.alias("score"))  # one row
 
 
 def bm25_top(df: DataFrame, scores: DataFrame, n: int | None, *, id_col: str = "chunk_id", drop_unmatched: bool = False) -> DataFrame:

@@ -255,6 +255,39 @@ def chunk_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.explode_chunks(chunking.chunk_documents(_table(spark, folder, "documents").select("doc_id", "text"), None, "doc_id", "text").drop("text"))
 
 
+_MADE = """SELECT doc_id, '# Page ' || doc_id || chr(10) || chr(10) || repeat('word ', 30) || chr(10) || chr(10) AS head, 'Part ' || coalesce(priority, 0) || chr(10) || '----' || chr(10) || chr(10) AS part,
+    '```' || chr(10) || '# no heading' || chr(10) || '```' || chr(10) || chr(10) || repeat('next ', 20) || chr(10) || chr(10) AS code, '### Deep' || chr(10) || chr(10) || repeat('last ', 25) AS deep FROM documents"""
+
+
+@query(f"""
+WITH m AS ({_MADE}), n AS (SELECT *, length(head) AS a, length(head) + length(part) + length(code) AS b, length(head) + length(part) + length(code) + length(deep) AS c FROM m),
+t AS (SELECT doc_id, 0 AS s, a AS e, NULL AS context FROM n UNION ALL SELECT doc_id, a, b, rtrim(split_part(head, chr(10), 1)) FROM n
+      UNION ALL SELECT doc_id, b, c, split_part(head, chr(10), 1) || chr(10) || split_part(part, chr(10), 1) || chr(10) || '----' FROM n)
+SELECT doc_id, CAST(s AS INTEGER) AS start_index, CAST(e AS INTEGER) AS end_index, context FROM t
+""")
+def chunk_context(spark: SparkSession, folder: str) -> DataFrame:
+    """A page made of each document's fields, cut at its headings, ATX and underlined but none in code, with the headings that each chunk stands under."""
+    d = _table(spark, folder, "documents")
+    text = F.concat(
+        F.lit("# Page "), F.col("doc_id").cast("string"), F.lit("\n\n" + "word " * 30 + "\n\nPart "), F.coalesce("priority", F.lit(0)).cast("string"),
+        F.lit("\n----\n\n```\n# no heading\n```\n\n" + "next " * 20 + "\n\n### Deep\n\n" + "last " * 25),
+    )
+    c = chunking.MarkdownChunker(1000, 0.5, segment_by_heading_levels=(1, 2, 3))
+    chunks = chunking.chunk_documents(d.select("doc_id", text.alias("text")), c, "doc_id", "text")
+    return chunking.explode_chunks(chunks.select("doc_id", "chunks")).select("doc_id", "start_index", "end_index", "context")
+
+
+@query("SELECT doc_id, text IS NOT NULL AS chunked FROM documents")
+def chunk_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the full chunker's chunks, in order, cover each text without a hole, from its first to its last place, and equal their slices."""
+    d = chunking.chunk_documents(_table(spark, folder, "documents").select("doc_id", "text"), None, "doc_id", "text")
+    n = F.size("chunks")
+    pairs = F.zip_with(F.slice("chunks", F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice("chunks", F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: (a["start_index"] < b["start_index"]) & (b["start_index"] <= a["end_index"]))
+    equal = F.forall("chunks", lambda c: c["text"] == chunking.slice_text(F.col("text"), c["start_index"], c["end_index"]))
+    ends = (F.col("chunks")[0]["start_index"] == 0) & (F.array_max(F.transform("chunks", lambda c: c["end_index"])) == F.length("text"))
+    return d.select("doc_id", F.coalesce(ends & equal & F.forall(pairs, lambda x: x), F.lit(False)).alias("chunked"))
+
+
 # ------------------------------------------------------------- vector search
 
 
