@@ -17,7 +17,7 @@ from tidemark.plans.durable import spread
 SAMPLE_PAGES, REPEATS = 3_000, 5
 
 
-def fit(pages: list[str], repeated: set[str] = frozenset(), least: int = REPEATS, rounds: int = 200, rate: float = 1.0, decay: float = 1e-5) -> np.ndarray:
+def fit(pages: list[str], repeated: set[str] = frozenset(), least: int = REPEATS, rounds: int = 100, rate: float = 1.0, decay: float = 1e-5) -> np.ndarray:
     """Logistic weights of the line features, from lines that label themselves (:meth:`page_lines.Sample.weak_label`).
 
     ``repeated``: keys of lines that stand in many documents. Each different line counts once.
