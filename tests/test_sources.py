@@ -176,3 +176,14 @@ def test_remote_embeddings(monkeypatch):
     c = provider_from_config({"type": "cohere"})
     assert c.body(["x"], QUERY)["input_type"] == "search_query" and c.batch_size == 96 and c.wait(9, {}, "") == 60.0
     assert provider_from_config({"type": "nvidia"}).body(["x"], "document")["input_type"] == "passage"
+
+
+def test_cache_of_many_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(C, "MOST_PARTS", 3)
+    cache = C.SourceCache(spark, str(tmp_path / "parts"))
+    for n in range(5):
+        cache.upsert(spark.createDataFrame([("a", f"a{n}"), (f"b{n}", "b")], "origin string, body string"))
+        if n == 1:
+            cache.delete(spark.createDataFrame([("b0",)], "origin string"))
+    assert {r.origin: r.body for r in cache.entries().collect()} == {"a": "a4", "b1": "b", "b2": "b", "b3": "b", "b4": "b"}
+    assert len(cache._parts()) < 3

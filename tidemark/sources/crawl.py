@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Protocol
 from urllib.parse import urlsplit
 
@@ -98,7 +99,7 @@ def crawl(spark: SparkSession, scope: Scope, fetch: Fetcher) -> DataFrame:
         batch = cut(batch)
         if not batch.limit(1).count():
             break
-        visited = batch.select(*keys) if visited is None else cut(visited.union(batch.select(*keys)))
+        visited = batch.select(*keys) if visited is None else visited.union(batch.select(*keys))  # each round is cut already
         got = cut(batch.join(fetch(batch.select("origin").distinct()), "origin").where(F.col("metadata")["error"].isNull()))
         label = F.coalesce(F.col("metadata")["type_label"], X.type_label(F.regexp_extract("origin", r"^[^?#]*", 0), F.col("content_type")))
         wanted = urls.matches(F.col("origin"), scope.include_patterns) & urls.matches_types(label, scope.include_types, scope.exclude_types)
@@ -130,7 +131,7 @@ def bfs(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
         last = cut(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(d)))
         if not last.limit(1).count():
             break
-        seen = cut(seen.unionByName(last))
+        seen = seen.unionByName(last)
     return seen
 
 
@@ -154,7 +155,7 @@ def find_links(
         if known is not None and d:
             new = new.join(known.select("origin").distinct(), "origin", "left_semi")
         new = cut(new)
-        seen = cut(seen.unionByName(new))
+        seen = seen.unionByName(new)
         if d > depth or not new.limit(1).count():
             break
         got = new.join(fetch(new.select("origin").distinct()), "origin")
@@ -232,38 +233,60 @@ def is_fresh(fetched: Column, revalidated: Column, now: Column, stale_after: str
     return F.coalesce(now - freshest(fetched, revalidated) <= F.expr(f"interval {stale_after}"), F.lit(False))
 
 
+#: Parts that a cache may have before they are written anew as one.
+MOST_PARTS = 16
+
+
 @dataclass
 class SourceCache:
-    """Fetched sources as Parquet, a row a key; broken rows count as missing. Merging rewrites beside the old table, then swaps."""
+    """Fetched sources as Parquet, a row a key; broken rows count as missing.
+
+    A merge adds a part with its own rows, and a deletion one with keys alone; the last part that has a key holds for it. Parts are written
+    beside the old ones, and the list of parts then swaps. ``MOST_PARTS`` of them are written anew as one.
+    """
 
     spark: SparkSession
     path: str
     key: str = "origin"
-    _columns: list[str] = field(default_factory=list)
 
-    def entries(self) -> DataFrame:
+    def _files(self):
         from tidemark.store.files import Files
 
-        files = Files(self.spark, self.path)
-        if not files.exists("current.json"):
+        return Files(self.spark, self.path)
+
+    def _parts(self) -> list[str]:
+        files = self._files()
+        return files.read("current.json")["parts"] if files.exists("current.json") else []
+
+    def entries(self) -> DataFrame:
+        parts, files = self._parts(), self._files()
+        if not parts:
             return self.spark.createDataFrame([], SOURCE)
-        return self.spark.read.parquet(files.path(files.read("current.json")["folder"])).where(F.col(self.key).isNotNull())
+        rows = None
+        for i, p in enumerate(parts):
+            part = self.spark.read.parquet(files.path(p)).withColumn("__part", F.lit(i))
+            rows = part if rows is None else rows.unionByName(part)
+        rows = rows.where(F.col(self.key).isNotNull())
+        if len(parts) > 1:
+            last = rows.groupBy(self.key).agg(F.max("__part").alias("__part"))
+            rows = rows.join(last, [self.key, "__part"])
+        return rows.where(~F.col("__gone")).drop("__part", "__gone").select(*self.spark.createDataFrame([], SOURCE).columns)
 
     def upsert(self, rows: DataFrame) -> None:
-        self._swap(self.entries().join(rows, self.key, "left_anti").unionByName(_as_sources(rows)))
+        self._add(_as_sources(rows), False)
 
     def delete(self, keys: DataFrame) -> None:
-        self._swap(self.entries().join(keys, self.key, "left_anti"))
-
-    def _swap(self, rows: DataFrame) -> None:
-        import uuid
-
-        from tidemark.store.files import Files
+        self._add(_as_sources(keys.select(self.key)), True)
 
-        files = Files(self.spark, self.path)
+    def _add(self, rows: DataFrame, gone: bool) -> None:
+        files, parts = self._files(), self._parts()
         folder = f"s-{uuid.uuid4().hex}"
-        rows.write.parquet(files.path(folder))
-        files.swap("current.json", {"folder": folder})
+        rows.withColumn("__gone", F.lit(gone)).write.parquet(files.path(folder))
+        files.swap("current.json", {"parts": [*parts, folder]})
+        if len(parts) + 1 >= MOST_PARTS:
+            whole = f"s-{uuid.uuid4().hex}"
+            self.entries().withColumn("__gone", F.lit(False)).write.parquet(files.path(whole))
+            files.swap("current.json", {"parts": [whole]})
 
 
 def cached_fetch(cache: SourceCache, fetch: Fetcher, now: Column, stale_after: str | None = None, revalidate: Fetcher | None = None) -> Fetcher:
