@@ -416,7 +416,11 @@ def fts_match_all(spark: SparkSession, folder: str) -> DataFrame:
     return _table(spark, folder, "documents").where(search.matches_all(F.col("text"), "The decoder, which")).select("doc_id")
 
 
-@query()
+@query("""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+h AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = 'the' OR x = 'decoder')) AS h FROM t WHERE list_contains(w, 'the') AND list_contains(w, 'decoder'))
+SELECT doc_id, round(h / (h + 1.0) / (1 + ln(1.0 + n)), 6) AS metric_value FROM h
+""")
 def fts_rank(spark: SparkSession, folder: str) -> DataFrame:
     d = _table(spark, folder, "documents").where(search.matches_all(F.col("text"), "the decoder"))
     return d.select("doc_id", F.round(search.rank_all(F.col("text"), "the decoder"), 6).alias("metric_value"))
